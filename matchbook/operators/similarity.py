@@ -38,11 +38,12 @@ class Plan:
     """Block sizes, and which pairs may not be compared.
 
     ``exclude`` lists column tuples; a pair whose values agree on all columns of
-    one tuple is forbidden. ``self_sim`` lets a row meet itself with that score,
+    one tuple is forbidden, and ``require`` lists columns a pair must agree on. ``self_sim`` lets a row meet itself with that score,
     whatever the exclusions say.
     """
 
     exclude: tuple[tuple[str, ...], ...] = (FRAME,)
+    require: tuple[str, ...] = ()
     self_sim: float | None = None
     normalise: bool = True
     q_rows: int = 1024
@@ -96,6 +97,9 @@ class Block:
                 qc, gc = _codes(_values(q, c), _values(g, c))
                 same &= qc[:, None] == gc[None, :]
             allowed &= ~same
+        for c in plan.require:
+            qc, gc = _codes(_values(q, c), _values(g, c))
+            allowed &= qc[:, None] == gc[None, :]
         if plan.self_sim is not None:
             own = self.qo[:, None] == self.go[None, :]
             allowed |= own
@@ -181,7 +185,7 @@ def blocked(
     g_extra: Sequence[str] = (),
 ) -> DataFrame:
     """Run ``body`` on every pair of blocks. Counting both sides keeps each block bounded."""
-    keys = [c for rule in plan.exclude for c in rule]
+    keys = [c for rule in plan.exclude for c in rule] + list(plan.require)
     q_cols = list(dict.fromkeys(["ord", "emb", *keys, *q_extra]))
     g_cols = list(dict.fromkeys(["ord", "emb", *keys, *g_extra]))
     sizes = q.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(g.select(F.lit(0), F.lit(1)))
@@ -307,9 +311,9 @@ RESOLUTION = 4096
 
 
 def _buckets(b: Block) -> np.ndarray:
-    e = b.scores * RESOLUTION
-    b.refine(np.abs(e - np.rint(e)) < 1e-5)
     with np.errstate(invalid="ignore"):
+        e = b.scores * RESOLUTION
+        b.refine(np.abs(e - np.rint(e)) < 1e-5)
         return np.where(b.allowed, np.floor(b.scores * RESOLUTION), 0).astype(np.int64)
 
 
