@@ -1,12 +1,217 @@
-"""Neighbour-graph operators."""
+"""Neighbour graphs: mutual edges, k-reciprocal re-ranking, neighbourhood averaging.
+
+All graph data are edge tables. Their size is the number of rows times a small
+power of k; nothing of size gallery x gallery is kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchbook.functions.vectors import add, dot, scale, unit, vector_sum
+from matchbook.operators.similarity import FRAME, Plan, nearest
+from matchbook.session import durable
+
+#: Fixed value: distance of a forbidden pair, beyond the largest possible 4.
+FAR = 8.0
+
 
 def mutual(edges: DataFrame) -> DataFrame:
     """Edges whose reverse is also present."""
     back = edges.select(F.col("q_ord").alias("g_ord"), F.col("g_ord").alias("q_ord"))
     return edges.join(back, ["q_ord", "g_ord"], "left_semi")
+
+
+@dataclass(frozen=True)
+class GalleryGraph:
+    """Static part of k-reciprocal re-ranking, built once per gallery version.
+
+    ``nn`` (i, j, p, d): neighbour lists of length k1 + 1, p counting from 0;
+    ``before`` and ``after`` (i, j, w): row weights before and after averaging.
+    """
+
+    nn: DataFrame
+    before: DataFrame
+    after: DataFrame
+    k1: int
+    k2: int
+    plan: Plan
+
+
+def _reciprocal(nn: DataFrame, k: int) -> DataFrame:
+    near = nn.filter(F.col("p") <= k).select("i", "j")
+    back = near.select(F.col("j").alias("i"), F.col("i").alias("j"))
+    return near.join(back, ["i", "j"], "left_semi")
+
+
+def pair_distance(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``d`` to (i, j): 0 for a row itself, FAR inside one frame, else 2 - 2 cos."""
+    v = rows.select(F.col("ord"), F.col("frame"), unit(F.col("emb")).alias("v"))
+    a = v.select(F.col("ord").alias("i"), F.col("frame").alias("_fi"), F.col("v").alias("_vi"))
+    b = v.select(F.col("ord").alias("j"), F.col("frame").alias("_fj"), F.col("v").alias("_vj"))
+    d = (
+        F.when(F.col("i") == F.col("j"), F.lit(0.0))
+        .when(F.col("_fi") == F.col("_fj"), F.lit(FAR))
+        .otherwise(2.0 - 2.0 * dot(F.col("_vi"), F.col("_vj")))
+    )
+    return pairs.join(a, "i").join(b, "j").withColumn("d", d).drop("_fi", "_vi", "_fj", "_vj")
+
+
+def build_graph(g: DataFrame, k1: int = 20, k2: int = 6, plan: Plan = Plan(), check: bool = False) -> GalleryGraph:
+    """Neighbour lists, reciprocal expansion and row weights of a gallery."""
+    own = replace(plan, self_sim=1.0)
+    found = nearest(g, g, k1 + 1, own)
+    nn = durable(
+        found.select(
+            F.col("q_ord").alias("i"), F.col("g_ord").alias("j"), (F.col("pos") - 1).alias("p"),
+            (2.0 - 2.0 * F.col("sim")).alias("d"),
+        ),
+        "neighbours",
+    )
+    if check and nn.groupBy("i").count().filter(F.col("count") < k1 + 1).limit(1).count():
+        raise ValueError("gallery too sparse: a row has fewer than k1 eligible neighbours")
+    core = _reciprocal(nn, k1)
+    half = _reciprocal(nn, max(1, k1 // 2)).select(F.col("i").alias("j"), F.col("j").alias("m"))
+    size = half.groupBy("j").agg(F.count(F.lit(1)).alias("n"))
+    meet = core.select("i", F.col("j").alias("m"))
+    close = (
+        core.join(half, "j").join(meet, ["i", "m"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("c"))
+        .join(size, "j").filter(3 * F.col("c") > 2 * F.col("n"))
+    )
+    grown = close.join(half, "j").select("i", F.col("m").alias("j"))
+    expanded = core.union(grown).distinct()
+    weight = F.exp(-F.col("d"))
+    before = durable(
+        pair_distance(expanded, g).select("i", "j", (weight / F.sum(weight).over(Window.partitionBy("i"))).alias("w")),
+        "row-weights",
+    )
+    after = before if k2 == 1 else durable(
+        nn.filter(F.col("p") < k2).select("i", F.col("j").alias("n"))
+        .join(before.select(F.col("i").alias("n"), "j", "w"), "n")
+        .groupBy("i", "j").agg((F.sum("w") / k2).alias("w")),
+        "mean-weights",
+    )
+    return GalleryGraph(nn, before, after, k1, k2, plan)
+
+
+def query_weights(q: DataFrame, g: DataFrame, graph: GalleryGraph) -> DataFrame:
+    """``q_ord, j, v``: the query's weights, from its k2 - 1 nearest gallery rows and itself.
+
+    The query's own component never meets the gallery, so only its share of the mean is used.
+    """
+    near = nearest(q, g, max(graph.k2 - 1, 1), graph.plan).filter(F.col("pos") <= graph.k2 - 1)
+    return (
+        near.select("q_ord", F.col("g_ord").alias("i")).join(graph.before, "i")
+        .groupBy("q_ord", "j").agg((F.sum("w") / graph.k2).alias("v"))
+    )
+
+
+def overlap(v: DataFrame, after: DataFrame, key: str = "q_ord") -> DataFrame:
+    """``q_ord, g_ord, t``: sum of element-wise minima, for pairs that share a neighbour."""
+    return (
+        v.join(after.select(F.col("i").alias("g_ord"), "j", "w"), "j")
+        .groupBy(key, "g_ord").agg(F.sum(F.least("v", "w")).alias("t"))
+    )
+
+
+def jaccard_distance(t, d, lam: float):
+    t = F.coalesce(t, F.lit(0.0))
+    return (1.0 - lam) * (1.0 - t / (2.0 - t)) + lam * d
+
+
+def k_reciprocal(
+    q: DataFrame, g: DataFrame, k: int, graph: GalleryGraph, lam: float = 0.3, pool: DataFrame | None = None
+) -> DataFrame:
+    """Exact top-k after k-reciprocal re-ranking: ``q_ord, g_ord, sim, dist, pos``.
+
+    A pair without shared neighbours keeps Jaccard distance 1, so among those only
+    the k nearest by cosine can enter; together with the overlapping pairs they hold
+    every possible winner. ``pool`` (q_ord, g_ord) restricts which pairs are scored.
+    """
+    t = overlap(query_weights(q, g, graph), graph.after)
+    near = pool.select("q_ord", "g_ord") if pool is not None else nearest(q, g, k, graph.plan).select("q_ord", "g_ord")
+    if pool is None:
+        pairs = near.join(t, ["q_ord", "g_ord"], "full_outer")
+    else:
+        pairs = near.join(t, ["q_ord", "g_ord"], "left")
+    w = Window.partitionBy("q_ord").orderBy("dist", "g_ord")
+    return (
+        allowed_cosine(pairs, q, g, graph.plan)
+        .withColumn("dist", jaccard_distance(F.col("t"), 2.0 - 2.0 * F.col("sim"), lam))
+        .withColumn("pos", F.row_number().over(w))
+        .filter(F.col("pos") <= k)
+        .select("q_ord", "g_ord", "sim", "dist", "pos")
+    )
+
+
+def allowed_cosine(pairs: DataFrame, q: DataFrame, g: DataFrame, plan: Plan) -> DataFrame:
+    """Cosine of listed pairs, dropping forbidden ones."""
+    cols = sorted({c for rule in plan.exclude for c in rule} - {"ord"})
+    a = q.select(F.col("ord").alias("q_ord"), unit(F.col("emb")).alias("_a"), *[F.col(c).alias("_a_" + c) for c in cols])
+    b = g.select(F.col("ord").alias("g_ord"), unit(F.col("emb")).alias("_b"), *[F.col(c).alias("_b_" + c) for c in cols])
+    joined = pairs.join(a, "q_ord").join(b, "g_ord")
+    for rule in plan.exclude:
+        same = F.lit(True)
+        for c in rule:
+            same = same & ((F.col("q_ord") == F.col("g_ord")) if c == "ord" else (F.col("_a_" + c) == F.col("_b_" + c)))
+        joined = joined.filter(~same)
+    drop = ["_a", "_b", *["_a_" + c for c in cols], *["_b_" + c for c in cols]]
+    return joined.withColumn("sim", dot(F.col("_a"), F.col("_b"))).drop(*drop)
+
+
+def k_reciprocal_shared(rows: DataFrame, k: int, graph: GalleryGraph, lam: float = 0.3,
+                        sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Re-ranking when one set is both query and gallery; a row is never its own candidate.
+
+    With ``sources`` and ``targets`` the same graph ranks one part of it against another.
+    """
+    a = rows if sources is None else sources
+    b = rows if targets is None else targets
+    v = graph.after.select(F.col("i").alias("q_ord"), "j", F.col("w").alias("v"))
+    after = graph.after
+    if sources is not None:
+        v = v.join(a.select(F.col("ord").alias("q_ord")), "q_ord", "left_semi")
+    if targets is not None:
+        after = after.join(b.select(F.col("ord").alias("i")), "i", "left_semi")
+    plan = replace(graph.plan, exclude=(*graph.plan.exclude, ("ord",)))
+    pairs = overlap(v, after).join(nearest(a, b, k, plan).select("q_ord", "g_ord"), ["q_ord", "g_ord"], "full_outer")
+    w = Window.partitionBy("q_ord").orderBy("dist", "g_ord")
+    return (
+        allowed_cosine(pairs, a, b, plan)
+        .withColumn("dist", jaccard_distance(F.col("t"), 2.0 - 2.0 * F.col("sim"), lam))
+        .withColumn("pos", F.row_number().over(w))
+        .filter(F.col("pos") <= k)
+        .select("q_ord", "g_ord", "sim", "dist", "pos")
+    )
+
+
+def _average(base: DataFrame, edges: DataFrame, donors: DataFrame, alpha: float) -> DataFrame:
+    """Unit vectors of ``base`` plus their weighted neighbours, renormalised."""
+    w = F.pow(F.greatest(F.col("sim"), F.lit(0.0)), F.lit(alpha))
+    moved = vector_sum(
+        edges.join(donors.select(F.col("ord").alias("g_ord"), unit(F.col("emb")).alias("_v")), "g_ord"),
+        ["q_ord"], "_v", w, "_add",
+    ).withColumnRenamed("q_ord", "ord")
+    own = unit(F.col("emb"))
+    return (
+        base.join(moved, "ord", "left")
+        .withColumn("emb", unit(F.when(F.col("_add").isNull(), own).otherwise(add(own, F.col("_add")))))
+        .drop("_add")
+    )
+
+
+def neighbourhood_average(rows: DataFrame, k: int = 3, alpha: float = 1.0, mutual_only: bool = True,
+                          min_sim: float = 0.0, plan: Plan = Plan(exclude=(FRAME, ("ord",)))) -> DataFrame:
+    """Each vector plus its k (mutual) neighbours with similarity of at least ``min_sim``."""
+    edges = nearest(rows, rows, k, plan)
+    if mutual_only:
+        edges = mutual(durable(edges, "edges"))
+    return _average(rows, edges.filter(F.col("sim") >= min_sim), rows, alpha)
+
+
+def query_expansion(q: DataFrame, g: DataFrame, k: int = 3, alpha: float = 3.0, plan: Plan = Plan(exclude=())) -> DataFrame:
+    """Each query vector plus its k nearest gallery vectors weighted by similarity^alpha."""
+    return _average(q, nearest(q, g, k, plan), g, alpha)

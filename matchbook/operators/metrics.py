@@ -10,34 +10,45 @@ from matchbook.operators.similarity import JUNK, Plan, bucket_rows, score_bucket
 from matchbook.session import durable
 
 
-def average_precision_at_k(top: DataFrame, q: DataFrame, g: DataFrame, k: int) -> DataFrame:
+def average_precision_at_k(
+    top: DataFrame, q: DataFrame, g: DataFrame, k: int, strict: bool = False, runs: dict[str, list] | None = None
+) -> DataFrame:
     """AP@k per query that has a valid positive: ``q_ord, ap, first_hit, n_valid``.
 
     ``top`` is the emitted list (``q_ord, pos`` and both identities and cameras). It is
-    truncated before junk pairs leave, and the freed places are not refilled.
+    truncated before junk pairs leave, and the freed places are not refilled. ``strict``
+    drops every same-camera candidate. ``runs`` names a key column of ``top`` and its
+    values, to score several parameter points at once; every run counts every query.
     """
-    w = Window.partitionBy("q_ord").orderBy("pos")
+    keys = tuple(runs or ())
+    w = Window.partitionBy(*keys, "q_ord").orderBy("pos")
+    junk = F.col("g_camera_id") == F.col("q_camera_id")
+    if not strict:
+        junk = junk & (F.col("g_vehicle_id") == F.col("q_vehicle_id"))
     rel = (F.col("g_vehicle_id") == F.col("q_vehicle_id")).cast("int")
     clean = (
         top.filter(F.col("pos") <= k)
-        .filter(~((F.col("g_vehicle_id") == F.col("q_vehicle_id")) & (F.col("g_camera_id") == F.col("q_camera_id"))))
+        .filter(~junk)
         .select(
+            *keys,
             "q_ord",
             rel.alias("rel"),
             F.row_number().over(w).alias("at"),
             F.sum(rel).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"),
         )
-        .groupBy("q_ord")
+        .groupBy(*keys, "q_ord")
         .agg(
             F.sum(F.when(F.col("rel") == 1, F.col("hits") / F.col("at"))).alias("_s"),
             F.min(F.when(F.col("rel") == 1, F.col("at"))).alias("first_hit"),
         )
     )
+    counted = valid_positives(q, g).filter(F.col("n_valid") > 0)
+    for name, points in (runs or {}).items():
+        counted = counted.withColumn(name, F.explode(F.array(*[F.lit(v) for v in points])))
     return (
-        valid_positives(q, g)
-        .filter(F.col("n_valid") > 0)
-        .join(clean, "q_ord", "left")
+        counted.join(clean, [*keys, "q_ord"], "left")
         .select(
+            *keys,
             "q_ord",
             (F.coalesce("_s", F.lit(0.0)) / F.least(F.col("n_valid"), F.lit(k))).alias("ap"),
             "first_hit",

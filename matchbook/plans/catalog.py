@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchbook.plans import (  # noqa: F401
     evaluation,
+    reranking,
     searching,
 )
 from matchbook.session import ship
