@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchbook.functions.vectors import dot, unit
 from matchbook.operators.similarity import Plan, counts_ahead, nearest
+from matchbook.session import durable
 
 FAR_ORD = (1 << 62)
 
@@ -78,7 +79,7 @@ def pair_scores(pairs: DataFrame, q: DataFrame, g: DataFrame, out: str = "score"
 def ordinals(pairs: DataFrame, q: DataFrame, g: DataFrame, plan: Plan, score: str, out: str) -> DataFrame:
     """Exact 0-based rank of listed pairs within the whole gallery, by counting what comes before."""
     w = Window.partitionBy("q_ord").orderBy("g_ord")
-    numbered = pairs.withColumn("mark", (F.row_number().over(w) - 1).cast("int"))
+    numbered = durable(pairs.withColumn("mark", (F.row_number().over(w) - 1).cast("int")), "marks")
     marks = numbered.groupBy("q_ord").agg(
         F.array_sort(F.collect_list(F.struct("mark", F.col(score).alias("s"), "g_ord"))).alias("_m")
     ).select(F.col("q_ord").alias("ord"), F.col("_m.s").alias("marks"), F.col("_m.g_ord").alias("mark_ords"))
