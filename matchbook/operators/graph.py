@@ -20,7 +20,8 @@ FAR = 8.0
 
 
 def mutual(edges: DataFrame) -> DataFrame:
-    """Edges whose reverse is also present."""
+    """Edges whose reverse is also present. The edges are stored, as they are read twice."""
+    edges = durable(edges, "edges")
     back = edges.select(F.col("q_ord").alias("g_ord"), F.col("g_ord").alias("q_ord"))
     return edges.join(back, ["q_ord", "g_ord"], "left_semi")
 
@@ -208,7 +209,7 @@ def neighbourhood_average(rows: DataFrame, k: int = 3, alpha: float = 1.0, mutua
     """Each vector plus its k (mutual) neighbours with similarity of at least ``min_sim``."""
     edges = nearest(rows, rows, k, plan)
     if mutual_only:
-        edges = mutual(durable(edges, "edges"))
+        edges = mutual(edges)
     return _average(rows, edges.filter(F.col("sim") >= min_sim), rows, alpha)
 
 

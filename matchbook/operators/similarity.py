@@ -151,6 +151,8 @@ def _task(plan: Plan, schema: T.StructType, body: Callable[[Block], dict]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow.empty_table()
+        left = left.rename_columns([n.removeprefix("l_") for n in left.column_names])
+        right = right.rename_columns([n.removeprefix("r_") for n in right.column_names])
         columns = body(Block(left, right, plan))
         return pa.table(
             [
@@ -184,7 +186,11 @@ def blocked(
     q_extra: Sequence[str] = (),
     g_extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Run ``body`` on every pair of blocks. Counting both sides keeps each block bounded."""
+    """Run ``body`` on every pair of blocks. Counting both sides keeps each block bounded.
+
+    A result that is read twice in one plan (a self-join above all) should be stored
+    first with ``session.durable``, or the comparison work is done twice.
+    """
     keys = [c for rule in plan.exclude for c in rule] + list(plan.require)
     q_cols = list(dict.fromkeys(["ord", "emb", *keys, *q_extra]))
     g_cols = list(dict.fromkeys(["ord", "emb", *keys, *g_extra]))
@@ -192,19 +198,20 @@ def blocked(
     n = sizes.agg(F.sum("a"), F.sum("b")).first()
     nq = max(1, math.ceil((n[0] or 0) / plan.q_rows))
     ng = max(1, math.ceil((n[1] or 0) / plan.g_rows))
+    # Fresh column identities on both sides: the two inputs often share their lineage.
     left = q.select(
-        *q_cols,
-        F.pmod(F.xxhash64("ord"), F.lit(nq)).cast("int").alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(ng - 1))).alias("_gb"),
+        *[F.col(c).alias("l_" + c) for c in q_cols],
+        F.pmod(F.xxhash64("ord"), F.lit(nq)).cast("int").alias("l_qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(ng - 1))).alias("l_gb"),
     )
     right = g.select(
-        *g_cols,
-        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("_qb"),
-        F.pmod(F.xxhash64("ord"), F.lit(ng)).cast("int").alias("_gb"),
+        *[F.col(c).alias("r_" + c) for c in g_cols],
+        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("r_qb"),
+        F.pmod(F.xxhash64("ord"), F.lit(ng)).cast("int").alias("r_gb"),
     )
     return (
-        left.groupBy("_qb", "_gb")
-        .cogroup(right.groupBy("_qb", "_gb"))
+        left.groupBy("l_qb", "l_gb")
+        .cogroup(right.groupBy("r_qb", "r_gb"))
         .applyInArrow(_task(plan, schema, body), schema)
     )
 

@@ -8,6 +8,7 @@ from matchbook.plans import (  # noqa: F401
     evaluation,
     reranking,
     searching,
+    splitting,
 )
 from matchbook.session import ship
 
