@@ -29,4 +29,5 @@ def paired_drop(deltas: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
     whole = deltas.agg(
         F.avg("delta").alias("mean_drop"), F.count(F.lit(1)).alias("n_queries"),
         F.countDistinct("vehicle_id").alias("n_identities"))
-    return whole.join(ci, F.lit(True))
+    both = whole.unionByName(ci, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -9,6 +9,7 @@ from matchbook.plans import (  # noqa: F401
     reranking,
     searching,
     splitting,
+    storing,
     studies,
 )
 from matchbook.session import ship

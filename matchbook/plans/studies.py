@@ -140,7 +140,8 @@ SELECT round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(quantile_co
 FROM rk JOIN mt ON true""",
     c="SELECT q_ord, max(sim) AS a, max(sim2) AS b FROM p GROUP BY q_ord",
     rk="SELECT *, row_number() OVER (ORDER BY a, q_ord) AS ra, row_number() OVER (ORDER BY b, q_ord) AS rb FROM c",
-    mt=f"SELECT CASE WHEN m > 0 THEN quantile_cont(b, m) ELSE -9 END AS t FROM c JOIN (SELECT count(*) FILTER (a < {THRESHOLD}) / count(*) AS m FROM c) ON true GROUP BY m" ))
+    mt=f"""SELECT CASE WHEN m > 0 THEN l[floor(h)::BIGINT + 1] + (l[ceil(h)::BIGINT + 1] - l[floor(h)::BIGINT + 1]) * (h - floor(h)) ELSE -9 END AS t FROM (
+           SELECT l, m, m * (len(l) - 1) AS h FROM (SELECT list(b ORDER BY b) AS l, count(*) FILTER (a < {THRESHOLD}) / count(*) AS m FROM c))"""))
 def a18(spark, sf_dir):
     q, g = sides(spark, sf_dir)
     a = nearest(q, g, 1).select("q_ord", F.col("sim").alias("a"))
