@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matchbook.plans import (  # noqa: F401
+    checking,
     evaluation,
     reranking,
     searching,

@@ -110,15 +110,14 @@ def resolve_images(ids: DataFrame, files: DataFrame) -> DataFrame:
     ok, missing, ambiguous (several files at the best level) or escape (leaves the folder).
     """
     base = F.substring_index("path", "/", -1)
+    form = lambda level, c: F.struct(F.lit(level).alias("level"), c.alias("form"))
     forms = F.array(
-        F.struct(F.lit(0).alias("level"), F.col("path").alias("form")),
-        F.struct(F.lit(1), F.regexp_replace("path", r"\.[^./]*$", "")),
-        F.struct(F.lit(2), base), F.struct(F.lit(3), stem(F.col("path"))),
-        F.struct(F.lit(4), F.lower(base)), F.struct(F.lit(5), F.lower(stem(F.col("path")))))
+        form(0, F.col("path")), form(1, F.regexp_replace("path", r"\.[^./]*$", "")), form(2, base), form(3, stem(F.col("path"))),
+        form(4, F.lower(base)), form(5, F.lower(stem(F.col("path")))))
     index = files.select("path", F.explode(forms).alias("_f")).select("path", "_f.level", "_f.form").distinct()
     wanted = F.array(
-        *[F.struct(F.lit(i).alias("level"), F.col("image_id").alias("form")) for i in range(4)],
-        *[F.struct(F.lit(i).alias("level"), F.lower(F.substring_index("image_id", "/", -1)).alias("form")) for i in (4, 5)])
+        *[form(i, F.col("image_id")) for i in range(4)],
+        *[form(i, F.lower(F.substring_index("image_id", "/", -1))) for i in (4, 5)])
     tried = ids.select("image_id", F.explode(wanted).alias("_w")).select("image_id", "_w.level", "_w.form")
     found = tried.join(index, ["level", "form"]).groupBy("image_id", "level").agg(
         F.min("path").alias("path"), F.countDistinct("path").alias("n"))
