@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchbook.functions.vectors import unit
+from matchbook.operators.similarity import Plan, nearest, nearest_in_cells, within_marks
+from matchbook.session import durable
+
 
 def agreement(lists: DataFrame, k: int) -> DataFrame:
     """Share of the true k neighbours found, and how often the true first is found at 1 and at k."""
@@ -15,3 +23,62 @@ def agreement(lists: DataFrame, k: int) -> DataFrame:
         rate(F.element_at("found", 1) == first).alias("planted_at_1"),
         rate(F.array_contains("found", first)).alias("planted_at_10"),
     )
+
+
+def fit_cells(g: DataFrame, n_cells: int, seed: int = 0) -> KMeansModel:
+    """Cell centres of a gallery, fitted on unit vectors."""
+    rows = g.select(array_to_vector(unit(F.col("emb"))).alias("features"))
+    return KMeans(k=n_cells, seed=seed, maxIter=10).fit(rows)
+
+
+def _cells(df: DataFrame, model: KMeansModel, probes: int) -> DataFrame:
+    """Rows with their ``probes`` nearest cells; the centres are a bounded k x D matrix."""
+    centres = np.array(model.clusterCenters())
+    names = df.columns
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["_cells array<int>"])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = b.column("emb").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            d = (centres**2).sum(axis=1)[None] - 2.0 * x @ centres.T
+            near = np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(c) for c in names] + [pa.array(list(near), type=pa.list_(pa.int32()))], names=names + ["_cells"])
+
+    return df.mapInArrow(run, schema).withColumn("cell", F.explode("_cells")).drop("_cells")
+
+
+#: Fixed value: below this many gallery rows the search is exact.
+MIN_GALLERY = 256
+
+
+def shortlist(q: DataFrame, g: DataFrame, k: int, n_cells: int = 16, probes: int = 4, plan: Plan = Plan(), seed: int = 0) -> DataFrame:
+    """Approximate top-k: exact scores inside each query's nearest cells.
+
+    A small gallery is searched exactly. Queries that meet fewer than k eligible rows in
+    their cells are searched exactly as well.
+    """
+    if g.count() < MIN_GALLERY:
+        return nearest(q, g, k, plan).select("q_ord", "g_ord", "sim", "pos")
+    model = fit_cells(g, n_cells, seed)
+    found = durable(nearest_in_cells(_cells(q, model, probes), _cells(g, model, 1), k, plan), "cells")
+    full = found.groupBy("q_ord").count().filter(F.col("count") >= k).select(F.col("q_ord").alias("ord"))
+    short = durable(q.join(full, "ord", "left_anti"), "short")
+    rest = nearest(short, g, k, plan).select("q_ord", "g_ord", "sim", "pos")
+    return found.join(full.withColumnRenamed("ord", "q_ord"), "q_ord", "left_semi").select("q_ord", "g_ord", "sim", "pos").unionByName(rest)
+
+
+def complete(q: DataFrame, g: DataFrame, pool: DataFrame, k: int, plan: Plan = Plan(), slack: float = 1e-6) -> DataFrame:
+    """Exact top-k from an approximate pool.
+
+    The k-th score of the pool is a lower bound of the true k-th score, so every row that
+    reaches it (minus a small slack) is added and the pool ranked again.
+    """
+    kth = pool.groupBy("q_ord").agg((F.min("sim") - slack).alias("tau"), F.count(F.lit(1)).alias("_n"))
+    marked = q.join(kth.withColumnRenamed("q_ord", "ord"), "ord", "left").withColumn(
+        "tau", F.when(F.col("_n") >= k, F.col("tau")).otherwise(F.lit(-9.0)))
+    w = Window.partitionBy("q_ord").orderBy(F.desc("sim"), F.asc("g_ord"))
+    return within_marks(marked, g, plan).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)

@@ -253,6 +253,46 @@ def nearest(
     return parts.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
+def within_marks(q: DataFrame, g: DataFrame, plan: Plan = Plan(), side: str = "q") -> DataFrame:
+    """Pairs whose similarity reaches the row's own ``tau`` on the given side."""
+    schema = _pair_schema(q, g, (), ())
+
+    def body(b: Block) -> dict:
+        tau = (b.q if side == "q" else b.g)["tau"].to_numpy().astype(np.float64)
+        t = tau[:, None] if side == "q" else tau[None, :]
+        b.refine(np.abs(b.scores - t) <= EPS)
+        i, j = np.nonzero((b.scores >= t) & b.allowed)
+        return _pair_columns(b, i, j, b.exact(i, j), (), ())
+
+    return blocked(q, g, plan, schema, body, ["tau"] if side == "q" else [], ["tau"] if side == "g" else [])
+
+
+def nearest_in_cells(q: DataFrame, g: DataFrame, k: int, plan: Plan = Plan()) -> DataFrame:
+    """Top-k per query among the gallery rows of the query's ``cell``s.
+
+    ``q`` has one row per probed cell. A cell with many rows, which may hold a third of
+    the gallery, is cut into sub-blocks by a hash of the ordinal, and its queries visit
+    every sub-block.
+    """
+    keys = list(dict.fromkeys([c for rule in plan.exclude for c in rule] + list(plan.require)))
+    cols = list(dict.fromkeys(["ord", "emb", *keys]))
+    size = lambda df, rows, out: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(out))
+    parts = size(g, plan.g_rows, "_ng").join(size(q, plan.q_rows, "_nq"), "cell")
+    left = q.join(parts, "cell").select(
+        *[F.col(c).alias("l_" + c) for c in cols], F.col("cell").alias("l_cell"), F.pmod(F.xxhash64("ord"), F.col("_nq")).cast("int").alias("l_qb"),
+        F.explode(F.sequence(F.lit(0), F.col("_ng") - 1)).alias("l_gb"))
+    right = g.join(parts, "cell").select(
+        *[F.col(c).alias("r_" + c) for c in cols], F.col("cell").alias("r_cell"), F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("r_qb"),
+        F.pmod(F.xxhash64("ord"), F.col("_ng")).cast("int").alias("r_gb"))
+    schema = _pair_schema(q, g, (), ())
+    found = (
+        left.groupBy("l_cell", "l_qb", "l_gb").cogroup(right.groupBy("r_cell", "r_qb", "r_gb"))
+        .applyInArrow(_task(plan, schema, lambda b: _pair_columns(b, *b.top(k), (), ())), schema)
+    )
+    w = Window.partitionBy("q_ord").orderBy(F.desc("sim"), F.asc("g_ord"))
+    return found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+
+
 def within(
     q: DataFrame,
     g: DataFrame,

@@ -6,11 +6,16 @@ and does not depend on partitioning.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.text import seeded_order
+from matchbook.operators.boxes import components
 from matchbook.operators.ranks import running
+from matchbook.operators.similarity import Plan, within
+from matchbook.session import durable
 
 
 def shuffled_ids(df: DataFrame, seed: int, column: str = "vehicle_id") -> DataFrame:
@@ -134,3 +139,44 @@ def episodes(df: DataFrame, day: str, keep: dict[str, tuple[float, float]], per_
             out.append(F.when(is_g, F.struct(F.lit(f"{direction}-{name}").alias("episode"), F.lit("gallery").alias("role"))))
     return rows.select("ord", "vehicle_id", F.explode(F.array_compact(F.array(*out))).alias("_e")).select(
         "_e.episode", "_e.role", "ord", "vehicle_id")
+
+
+def _average_linkage(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["emb"].to_numpy()).astype(np.float64)
+        x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+        dist = 1.0 - x @ x.T
+        np.fill_diagonal(dist, np.inf)
+        size = np.ones(len(x))
+        label = np.arange(len(x))
+        while True:
+            i, j = np.unravel_index(dist.argmin(), dist.shape)
+            if not dist[i, j] < threshold:
+                break
+            row = (size[i] * dist[i] + size[j] * dist[j]) / (size[i] + size[j])
+            row[[i, j]] = np.inf
+            row[np.isinf(dist[i]) | np.isinf(dist[j])] = np.inf
+            dist[i], dist[:, i] = row, row
+            dist[j], dist[:, j] = np.inf, np.inf
+            size[i] += size[j]
+            label[label == label[j]] = label[i]
+        first = pd.Series(pdf["ord"].to_numpy()).groupby(label).transform("min").to_numpy()
+        return pd.DataFrame({"ord": pdf["ord"].to_numpy(), "first": first})
+
+    return run
+
+
+def pseudo_cameras(frames: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """``ord, camera_id``: frames of one resolution with similar background share a camera.
+
+    Average linkage only ever joins frames that are connected by pairs closer than the
+    threshold, so those connected components are found first, as a distributed join, and
+    each one is clustered by itself. ``frames`` has ord, resolution and emb.
+    """
+    frames = durable(frames.select("ord", "resolution", "emb"), "frames")
+    near = within(frames, frames, 1.0 - threshold, Plan(exclude=(("ord",),), require=("resolution",)))
+    comp = components(frames.select(F.col("ord").alias("id")), near.select(F.col("q_ord").alias("a"), F.col("g_ord").alias("b")))
+    rows = frames.join(comp.withColumnRenamed("id", "ord"), "ord")
+    found = durable(rows.groupBy("label").applyInPandas(_average_linkage(threshold), "ord long, first long"), "clusters")
+    ids = running(found.select("first").distinct(), "first", "first").select("first", F.col("rank").cast("int").alias("camera_id"))
+    return found.join(ids, "first").select("ord", "camera_id")

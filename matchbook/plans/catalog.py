@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchbook.plans import (  # noqa: F401
     checking,
+    compressing,
+    deciding,
     evaluation,
     reranking,
     searching,
