@@ -5,7 +5,9 @@ is ever shuffled or stored: both sides are cut into blocks of bounded size by a
 hash of the row ordinal (so no identity, camera or group of copies can make a
 block large), a cogroup brings each pair of blocks to one task, and the task
 emits only a reduction: a partial top-k, counts, a histogram, or the pairs above
-a threshold. Spark merges the partial results.
+a threshold. Spark merges the partial results. If all queries fit one block of
+checked size, that block is broadcast and the gallery is scanned in place, without
+a shuffle.
 
 Inside a task a matrix product proposes scores; every score that decides an
 order or a threshold is recomputed by a sequential fold in double precision, so
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 
 #: Scores closer than this to a decision boundary are recomputed exactly.
 EPS = 1e-9
+#: Largest query block, in bytes, that is broadcast instead of shuffled.
+BROADCAST_LIMIT = 64 << 20
 
 FRAME = ("frame",)
 JUNK = ("vehicle_id", "camera_id")
@@ -151,8 +155,9 @@ def _task(plan: Plan, schema: T.StructType, body: Callable[[Block], dict]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow.empty_table()
-        left = left.rename_columns([n.removeprefix("l_") for n in left.column_names])
-        right = right.rename_columns([n.removeprefix("r_") for n in right.column_names])
+        if "l_ord" in left.column_names:
+            left = left.rename_columns([n.removeprefix("l_") for n in left.column_names])
+            right = right.rename_columns([n.removeprefix("r_") for n in right.column_names])
         columns = body(Block(left, right, plan))
         return pa.table(
             [
@@ -194,6 +199,18 @@ def blocked(
     keys = [c for rule in plan.exclude for c in rule] + list(plan.require)
     q_cols = list(dict.fromkeys(["ord", "emb", *keys, *q_extra]))
     g_cols = list(dict.fromkeys(["ord", "emb", *keys, *g_extra]))
+    task = _task(plan, schema, body)
+    few = q.select(*q_cols).limit(plan.q_rows + 1).toArrow()
+    if few.num_rows <= plan.q_rows and few.nbytes <= BROADCAST_LIMIT:
+        # One block of queries, of checked size: it travels to the gallery, which is not shuffled.
+        shared = q.sparkSession.sparkContext.broadcast(few)
+
+        def scan(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield from task(shared.value, pa.Table.from_batches([batch])).to_batches()
+
+        return g.select(*g_cols).mapInArrow(scan, schema)
     sizes = q.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(g.select(F.lit(0), F.lit(1)))
     n = sizes.agg(F.sum("a"), F.sum("b")).first()
     nq = max(1, math.ceil((n[0] or 0) / plan.q_rows))
@@ -212,7 +229,7 @@ def blocked(
     return (
         left.groupBy("l_qb", "l_gb")
         .cogroup(right.groupBy("r_qb", "r_gb"))
-        .applyInArrow(_task(plan, schema, body), schema)
+        .applyInArrow(task, schema)
     )
 
 
