@@ -55,35 +55,35 @@ def query_gallery_by_id(val: DataFrame, distractor_frac: float = 0.2, queries_pe
     gallery; else ``queries_per_id`` rows are queries, and if the identity was seen by
     several cameras each chosen query must leave another camera behind.
     """
-    per_id = Window.partitionBy("vehicle_id")
+    rows = _distractors(val, distractor_frac, seed).withColumn("_h", seeded_order(seed + 1, F.col("ord")))
+    sizes = val.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("_n"))
+    # Only the first few rows per identity are ranked; the group limit keeps a huge identity out of one task.
     order = Window.partitionBy("vehicle_id").orderBy("_h", "ord")
-    rows = (
-        _distractors(val, distractor_frac, seed)
-        .withColumn("_h", seeded_order(seed + 1, F.col("ord")))
-        .withColumn("_at", F.row_number().over(order))
-        .withColumn("_n", F.count(F.lit(1)).over(per_id))
-    )
+    first = rows.select("vehicle_id", "ord", "_h").withColumn("_at", F.row_number().over(order)).filter(
+        F.col("_at") <= max(1, queries_per_id)).select("ord", "_at")
+    j = rows.join(sizes, "vehicle_id").join(first, "ord", "left")
     # With several rows of one identity the last row can never be a query.
-    chosen = F.col("_at") <= F.least(F.lit(queries_per_id), F.col("_n") - 1)
+    chosen = F.coalesce(F.col("_at") <= F.least(F.lit(queries_per_id), F.col("_n") - 1), F.lit(False))
     role = (
         F.when(F.col("distractor"), F.when(F.col("_at") == 1, "query").otherwise("dropped"))
         .when(F.col("_n") < 2, "gallery")
         .when(chosen, "query")
         .otherwise("gallery")
     )
-    return rows.withColumn("role", role).withColumn("has_match", (F.col("role") == "query") & ~F.col("distractor")).drop(
-        "_h", "_at", "_n")
+    return j.withColumn("role", role).withColumn("has_match", (F.col("role") == "query") & ~F.col("distractor")).drop("_h", "_at", "_n")
 
 
 def query_gallery_by_track(val: DataFrame, distractor_frac: float = 0.1, seed: int = 0) -> DataFrame:
     """One gallery row per (identity, camera); all others query; distractors only query."""
-    track = Window.partitionBy("vehicle_id", "camera_id").orderBy("_h", "ord")
     rows = _distractors(val, distractor_frac, seed).withColumn("_h", seeded_order(seed + 1, F.col("ord")))
-    gallery = ~F.col("distractor") & (F.row_number().over(track) == 1)
+    tracks = rows.groupBy("vehicle_id", "camera_id").agg(F.min(F.struct("_h", "ord")).alias("_f")).select(
+        F.col("_f.ord").alias("ord"), F.lit(True).alias("_first"))
+    j = rows.join(tracks, "ord", "left")
+    gallery = ~F.col("distractor") & F.coalesce("_first", F.lit(False))
     return (
-        rows.withColumn("role", F.when(gallery, "gallery").otherwise("query"))
+        j.withColumn("role", F.when(gallery, "gallery").otherwise("query"))
         .withColumn("has_match", (F.col("role") == "query") & ~F.col("distractor"))
-        .drop("_h")
+        .drop("_h", "_first")
     )
 
 
@@ -103,18 +103,22 @@ def identity_batches(df: DataFrame, p: int, k: int, n_batches: int, seed: int =
         "batch", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))))
     pick = Window.partitionBy("batch").orderBy(seeded_order(seed, F.col("batch"), F.col("vehicle_id")), "vehicle_id")
     chosen = ids.withColumn("_i", F.row_number().over(pick)).filter(F.col("_i") <= p).drop("_i")
+    # Rows get a position inside their group once; a batch then reads k positions from a
+    # seeded start, so it never touches more than k rows of a group, however large it is.
+    group = ["vehicle_id", "camera_id"] if by_camera else ["vehicle_id"]
+    placed = running(df.select("vehicle_id", "camera_id", "ord").withColumn("_h", seeded_order(seed + 1, F.col("ord"))), "_h", "ord", group)
+    placed = durable(placed.select(*group, "ord", (F.col("rank") - 1).alias("_at"), F.col("total").alias("_n"), *([] if by_camera else ["camera_id"])), "positions")
+    sizes = placed.groupBy(*group).agg(F.max("_n").alias("_n"))
+    start = seeded_order(seed + 2, F.col("batch"), *[F.col(c) for c in group])
+    turns = chosen.join(sizes, "vehicle_id").withColumn(
+        "_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("_n")) - 1)))
+    seats = turns.withColumn("_at", (start + F.col("_turn")) % F.col("_n")).drop("_n")
+    rows = seats.join(placed, [*group, "_at"])
     own = Window.partitionBy("batch", "vehicle_id")
-    h = seeded_order(seed + 1, F.col("batch"), F.col("ord"))
-    rows = chosen.join(df.select("vehicle_id", "camera_id", "ord"), "vehicle_id").withColumn("_h", h)
-    if by_camera:
-        turn = Window.partitionBy("batch", "vehicle_id", "camera_id").orderBy("_h", "ord")
-        rows = rows.withColumn("_turn", F.row_number().over(turn))
-        order = own.orderBy("_turn", seeded_order(seed + 2, F.col("batch"), F.col("camera_id")), "camera_id")
-    else:
-        order = own.orderBy("_h", "ord")
-    dealt = rows.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k)
-    n = F.max("_at").over(own)
-    slots = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: s % n == F.col("_at") - 1)
+    order = own.orderBy("_turn", seeded_order(seed + 3, F.col("batch"), F.col("camera_id")), "camera_id") if by_camera else own.orderBy("_turn")
+    dealt = rows.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= k)
+    n = F.max("_i").over(own)
+    slots = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: s % n == F.col("_i") - 1)
     return dealt.withColumn("slot", slots).select("batch", "vehicle_id", "ord", "camera_id", F.explode("slot").alias("slot"))
 
 

@@ -16,7 +16,7 @@ from matchbook.operators import ann, compress, graph, insertion, metrics, patche
 from matchbook.operators.similarity import CAMERA, JUNK, Plan, nearest
 from matchbook.plans.evaluation import rounded
 from matchbook.plans.registry import query, with_ctes
-from matchbook.plans.reranking import joint_space, two_space_rank
+from matchbook.plans.reranking import two_space_rank
 from matchbook.plans.searching import THRESHOLD, r6, sides
 from matchbook.plans.storing import items
 from matchbook.session import durable, scratch_path
@@ -238,15 +238,7 @@ def r6_insertion(spark, sf_dir):
 @query("r18_fusion_with_insertion")
 def r18_insertion(spark, sf_dir):
     """Three quarters of the two-branch ranking and one quarter of the insertion ranking of the joint space."""
-    q, g = sides(spark, sf_dir)
-    spaces = [(q, g), (second_space(q), second_space(g))]
-    base = durable(two_space_rank(q, g, k=20, spaces=spaces), "base")
-    jq, jg = joint_space(spaces)
-    jq, jg = durable(jq, "joint-q"), durable(jg, "joint-g")
-    new = insertion.current_query_ranking(jq, jg, 20, graph.build_graph(jg, 3, 2), 0.2, pool=base)
-    j = base.select("q_ord", "g_ord", "raw", "rank").join(new.select("q_ord", "g_ord", "dist"), ["q_ord", "g_ord"])
-    w = Window.partitionBy("q_ord").orderBy(F.desc("score"), "g_ord")
-    return j.withColumn("score", 0.75 * F.col("rank") - 0.25 * F.col("dist")).withColumn("pos", F.row_number().over(w)).filter("pos <= 10").select("q_ord", "g_ord", "raw", "score", "pos")
+    return two_space_rank(*sides(spark, sf_dir), insertion_weight=0.25)
 
 
 # ---- streaming -------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchbook.functions.vectors import dot, scale, unit
 from matchbook.model import gallery_side, query_side, second_space
-from matchbook.operators import cascade, graph, metrics, patches, search
+from matchbook.operators import cascade, graph, insertion, metrics, patches, search
 from matchbook.operators.similarity import FRAME, Plan, nearest
 from matchbook.plans.evaluation import AP_SUM, TRUTH, ap10_ctes, emitted_top, rounded
 from matchbook.plans.registry import query, with_ctes
@@ -253,27 +253,34 @@ def r15(spark, sf_dir):
     return patches.unambiguous_matches(pairs, dim=4, width=4)
 
 
-def two_space_rank(q, g, k1=3, k2=2, lam=0.2, k=10, spaces=None):
+def two_space_rank(q, g, k1=3, k2=2, lam=0.2, k=10, insertion_weight=0.0):
     """Fused ranking of two branches: mean of both k-reciprocal scores, and of both cosines.
 
-    The mean of two cosines is the cosine of the joined vectors, so the k nearest in the
-    joint space and the pairs with shared neighbours in either branch hold every winner.
+    With ``insertion_weight`` that share of the rank comes from the joint space with the
+    query inserted into its graph. The mean of two cosines is the cosine of the joined
+    vectors, so the k nearest in the joint space and the pairs with shared neighbours in
+    any of the graphs hold every winner.
     """
-    spaces = spaces or [(q, g), (second_space(q), second_space(g))]
-    near = nearest(*joint_space(spaces), k).select("q_ord", "g_ord")
-    pool = near
+    spaces = [(q, g), (second_space(q), second_space(g))]
+    joint = tuple(durable(d, "joint") for d in joint_space(spaces))
+    pool = nearest(*joint, k).select("q_ord", "g_ord")
     for n, (a, b) in enumerate(spaces):
         gr = graph.build_graph(b, k1, k2)
         t = graph.overlap(graph.query_weights(a, b, gr), gr.after).withColumnRenamed("t", f"t{n}")
         pool = pool.join(t, ["q_ord", "g_ord"], "full_outer")
+    if insertion_weight:
+        t = insertion.insertion_scores(*joint, graph.build_graph(joint[1], k1, k2)).withColumnRenamed("t", "t2")
+        pool = pool.join(t.filter(F.col("g_ord") >= 0), ["q_ord", "g_ord"], "full_outer")
     scored = graph.allowed_cosine(pool, *spaces[0], Plan()).withColumnRenamed("sim", "s0")
     scored = graph.allowed_cosine(scored, *spaces[1], Plan()).withColumnRenamed("sim", "s1")
-    part = lambda n: graph.jaccard_distance(F.col(f"t{n}"), 2.0 - 2.0 * F.col(f"s{n}"), lam)
+    scored = scored.withColumn("raw", 0.5 * F.col("s0") + 0.5 * F.col("s1"))
+    part = lambda t, s: graph.jaccard_distance(F.col(t), 2.0 - 2.0 * F.col(s), lam)
+    rank = -0.5 * part("t0", "s0") - 0.5 * part("t1", "s1")
+    if insertion_weight:
+        rank = (1.0 - insertion_weight) * rank - insertion_weight * part("t2", "raw")
     w = Window.partitionBy("q_ord").orderBy(F.desc("rank"), "g_ord")
     return (
-        scored.withColumn("raw", 0.5 * F.col("s0") + 0.5 * F.col("s1"))
-        .withColumn("rank", -0.5 * part(0) - 0.5 * part(1))
-        .withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+        scored.withColumn("rank", rank).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
         .select("q_ord", "g_ord", "raw", "rank", "pos"))
 
 
@@ -505,3 +512,53 @@ def a31(spark, sf_dir):
         F.max(F.when(F.col("run") == "second", F.col("map"))).alias("baseline"))
     gain = F.col("candidate") - F.col("baseline")
     return g.select("candidate", "baseline", F.round(gain, 6).alias("gain"), (gain >= 0.003).alias("passed"))
+
+
+ABLATION = {"k-recip 3/2": (3, 2), "k-recip 6/2": (6, 2)}
+AVERAGES = (1, 3)
+
+
+def ablation_ctes():
+    c = {"al": "SELECT * FROM q UNION ALL SELECT * FROM g"}
+    runs = ["SELECT 'base' AS point, q_ord, g_ord, q_vehicle_id, g_vehicle_id, q_camera_id, g_camera_id, row_number() OVER (PARTITION BY q_ord ORDER BY sim DESC, g_ord) AS pos FROM p"]
+    cols = "q_ord, g_ord, q_vehicle_id, g_vehicle_id, q_camera_id, g_camera_id, pos"
+    for n, (name, (k1, k2)) in enumerate(ABLATION.items()):
+        c.update(kr_ctes(k1, k2, 0.3, pre="ab"[n]))
+        runs.append(f"SELECT '{name}', {cols} FROM {'ab'[n]}kp")
+    for k in AVERAGES:
+        near = f"""SELECT i, j, sim FROM (SELECT a.ord AS i, b.ord AS j, list_inner_product(a.emb, b.emb) AS sim, row_number() OVER (PARTITION BY a.ord ORDER BY list_inner_product(a.emb, b.emb) DESC, b.ord) AS z
+                   FROM al a JOIN al b ON a.frame <> b.frame) WHERE z <= {k}"""
+        c[f"n{k}"] = near
+        c[f"e{k}"] = f"SELECT a.* FROM n{k} a JOIN n{k} b ON a.i = b.j AND a.j = b.i WHERE a.sim >= 0"
+        m = moved_sql("al", f"e{k}", "greatest(e.sim, 0)", "al")
+        c[f"ad{k}"] = m["ad"]
+        c[f"mu{k}"] = m["mu"].replace("LEFT JOIN ad ON ad.ord", f"LEFT JOIN ad{k} ON ad{k}.ord")
+        c[f"mv{k}"] = m["mv"].replace("FROM mu", f"FROM mu{k}")
+        runs.append(f"""SELECT 'dba k={k}', a.ord, b.ord, a.vehicle_id, b.vehicle_id, a.camera_id, b.camera_id, row_number() OVER (PARTITION BY a.ord ORDER BY list_inner_product(a.emb, b.emb) DESC, b.ord)
+                    FROM mv{k} a JOIN mv{k} b ON a.ord % 5 = 0 AND b.ord % 5 <> 0 AND a.frame <> b.frame""")
+    c["runs"] = " UNION ALL ".join(runs)
+    names = ["base", *ABLATION, *[f"dba k={k}" for k in AVERAGES]]
+    c.update(run_ap("runs", "point", "SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS point"))
+    return c
+
+
+@query("r24_postprocessing_ablation", with_ctes("o q g p nv", "SELECT point, round(map, 6) AS map, round(rank1, 6) AS rank1 FROM m", **ablation_ctes()))
+def r24(spark, sf_dir):
+    """mAP@10 of plain cosine, neighbourhood averaging and k-reciprocal variants.
+
+    Averaging here runs over queries and gallery together, as a research comparison only.
+    """
+    q, g = sides(spark, sf_dir)
+    truth_q = q.select(F.col("ord").alias("q_ord"), *[F.col(c).alias("q_" + c) for c in TRUTH])
+    truth_g = g.select(F.col("ord").alias("g_ord"), *[F.col(c).alias("g_" + c) for c in TRUTH])
+    keep = lambda df, name: df.select(F.lit(name).alias("point"), "q_ord", "g_ord", "pos")
+    parts = [keep(nearest(q, g, 10), "base")]
+    parts += [keep(kr_top(q, g, k1, k2, 0.3), name) for name, (k1, k2) in ABLATION.items()]
+    both = q.unionByName(g)
+    for k in AVERAGES:
+        moved = durable(graph.neighbourhood_average(both, k), "averaged")
+        mq = moved.join(q.select("ord"), "ord", "left_semi")
+        mg = moved.join(g.select("ord"), "ord", "left_semi")
+        parts.append(keep(nearest(mq, mg, 10), f"dba k={k}"))
+    names = ["base", *ABLATION, *[f"dba k={k}" for k in AVERAGES]]
+    return run_summary(reduce(DataFrame.unionByName, parts).join(truth_q, "q_ord").join(truth_g, "g_ord"), "point", names, q, g)
