@@ -47,13 +47,12 @@ def _distractors(val: DataFrame, frac: float, seed: int) -> DataFrame:
     return val.join(d, "vehicle_id", "left").fillna(False, ["distractor"])
 
 
-def query_gallery_by_id(val: DataFrame, distractor_frac: float = 0.2, queries_per_id: int = 1, seed: int = 0,
-                        cross_camera: bool = True) -> DataFrame:
+def query_gallery_by_id(val: DataFrame, distractor_frac: float = 0.2, queries_per_id: int = 1, seed: int = 0) -> DataFrame:
     """Add ``role`` (query, gallery, dropped) and ``has_match``.
 
     A distractor gives one query and no gallery row; a single sighting goes to the
-    gallery; else ``queries_per_id`` rows are queries, and if the identity was seen by
-    several cameras each chosen query must leave another camera behind.
+    gallery; else ``queries_per_id`` rows are queries and at least one row stays. A query
+    of an identity seen by several cameras always has a sighting by another camera.
     """
     rows = _distractors(val, distractor_frac, seed).withColumn("_h", seeded_order(seed + 1, F.col("ord")))
     sizes = val.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("_n"))
