@@ -25,9 +25,17 @@ def agreement(lists: DataFrame, k: int) -> DataFrame:
     )
 
 
+ROWS_PER_CENTRE = 256
+
+
 def fit_cells(g: DataFrame, n_cells: int, seed: int = 0) -> KMeansModel:
-    """Cell centres of a gallery, fitted on unit vectors."""
-    rows = g.select(array_to_vector(unit(F.col("emb"))).alias("features"))
+    """Cell centres of a gallery, fitted on unit vectors.
+
+    A few hundred rows per centre fix the centres; every gallery row is assigned later.
+    """
+    share = min(1.0, n_cells * ROWS_PER_CENTRE / max(g.count(), 1))
+    sample = g if share >= 1.0 else g.sample(share, seed=seed)
+    rows = sample.select(array_to_vector(unit(F.col("emb"))).alias("features"))
     return KMeans(k=n_cells, seed=seed, maxIter=10).fit(rows)
 
 
