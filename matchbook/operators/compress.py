@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.functions.vectors import unit, vector_sum
+from matchbook.functions.vectors import vector_sum
 from matchbook.operators.ranks import quantiles
 
 

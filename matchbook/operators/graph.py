@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchbook.functions.vectors import add, dot, scale, unit, vector_sum
+from matchbook.functions.vectors import add, dot, unit, vector_sum
 from matchbook.operators.similarity import FRAME, Plan, nearest
 from matchbook.session import durable
 

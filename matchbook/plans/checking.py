@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions import calibration as cal
 from matchbook.functions.text import frame_of, safe_filename, slug, stem, valid_id
 from matchbook.functions.vectors import all_finite, cosine_distance, dot, norm, unit
-from matchbook.model import gallery_side, observations, query_side, second_space, table
+from matchbook.model import observations, second_space, table
 from matchbook.operators import boxes, graph, ranks, verify
 from matchbook.operators.similarity import Plan, nearest
 from matchbook.plans.registry import query, with_ctes
 from matchbook.plans.searching import THRESHOLD, r6, sides
-from matchbook.plans.storing import items
 from matchbook.session import durable
 from matchbook.sources import results
 

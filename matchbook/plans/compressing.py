@@ -5,16 +5,15 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.functions import calibration as cal
 from matchbook.functions.extensions import embed, knn_lateral
-from matchbook.functions.vectors import all_finite, doubles, dot, norm, unit
-from matchbook.model import gallery_side, observations, query_side, second_space, table
-from matchbook.operators import ann, compress, graph, insertion, metrics, patches, search, splits
-from matchbook.operators.similarity import CAMERA, JUNK, Plan, nearest
-from matchbook.plans.evaluation import rounded
+from matchbook.functions.vectors import doubles
+from matchbook.model import gallery_side, observations, table
+from matchbook.operators import ann, compress, graph, insertion, metrics, patches, splits
+from matchbook.operators.similarity import CAMERA, Plan, nearest
 from matchbook.plans.registry import query, with_ctes
 from matchbook.plans.reranking import two_space_rank
 from matchbook.plans.searching import THRESHOLD, r6, sides

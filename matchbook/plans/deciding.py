@@ -6,12 +6,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.functions import calibration as cal
-from matchbook.functions.vectors import dot, subtract, unit
-from matchbook.model import gallery_side, observations, query_side, second_space
+from matchbook.functions.vectors import subtract, unit
+from matchbook.model import second_space
 from matchbook.operators import compress, features, graph, policies, search, splits
 from matchbook.operators.similarity import Plan, nearest
 from matchbook.plans.evaluation import rounded

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchbook.functions.vectors import unit
-from matchbook.model import gallery_side, query_side, second_space
+from matchbook.model import gallery_side
 from matchbook.operators import metrics, ranks, refusal, search
 from matchbook.operators.similarity import CAMERA, FRAME, JUNK, Plan, counts_ahead, nearest
 from matchbook.plans.registry import query, with_ctes

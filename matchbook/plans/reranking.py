@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.vectors import dot, scale, unit
-from matchbook.model import gallery_side, query_side, second_space
+from matchbook.model import gallery_side, second_space
 from matchbook.operators import cascade, graph, insertion, metrics, patches, search
-from matchbook.operators.similarity import FRAME, Plan, nearest
-from matchbook.plans.evaluation import AP_SUM, TRUTH, ap10_ctes, emitted_top, rounded
+from matchbook.operators.similarity import Plan, nearest
+from matchbook.plans.evaluation import TRUTH, emitted_top
 from matchbook.plans.registry import query, with_ctes
 from matchbook.plans.searching import r6, sides
 from matchbook.session import durable

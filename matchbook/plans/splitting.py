@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.vectors import dot, norm, scale, unit, vector_sum
@@ -10,7 +9,7 @@ from matchbook.model import gallery_side, observations, query_side, table
 from matchbook.operators import splits
 from matchbook.operators.similarity import CAMERA, Plan, nearest
 from matchbook.plans.registry import query, with_ctes
-from matchbook.plans.searching import r6, sides
+from matchbook.plans.searching import sides
 
 H = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 IDS = """SELECT vehicle_id, row_number() OVER (ORDER BY """ + H.format("'{seed}:' || vehicle_id") + """, vehicle_id) AS rank, count(*) OVER () AS total

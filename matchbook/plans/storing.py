@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.functions.text import valid_id
-from matchbook.functions.vectors import all_finite, norm, unit
+from matchbook.functions.vectors import all_finite
 from matchbook.model import gallery_side, observations, query_side, table
-from matchbook.operators.similarity import Plan, nearest
+from matchbook.operators.similarity import nearest
 from matchbook.plans.registry import query, with_ctes
 from matchbook.plans.searching import THRESHOLD, r6, sides
 from matchbook.session import durable, scratch_path

@@ -7,17 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchbook.functions.vectors import unit
-from matchbook.model import gallery_side, observations, query_side, second_space, table
+from matchbook.model import observations, second_space, table
 from matchbook.operators import bootstrap, metrics, ranks, refusal, search, splits
 from matchbook.operators.similarity import FRAME, JUNK, Plan, nearest
-from matchbook.plans.evaluation import (
-    AP_SUM, CURVE, CURVE_OUT, MEASURES, Q200, RATES, SCORED, TRUTH, ap10_ctes, curve_ctes, emitted_top, rounded,
-)
+from matchbook.plans.evaluation import CURVE, MEASURES, SCORED, TRUTH, ap10_ctes, emitted_top, rounded
 from matchbook.plans.registry import query, with_ctes
 from matchbook.plans.searching import THRESHOLD, r6, sides
 from matchbook.plans.splitting import COHORT, EPISODES_SQL, H, KEEP, growth, growth_sql, ids_sql
-from matchbook.session import durable, scratch_path
+from matchbook.session import durable
 
 # ---- stress scenarios ------------------------------------------------------------------------
 
