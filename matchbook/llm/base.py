@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import math
+import pickle
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,16 @@ def crc_mod(id_col: Column, k: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def in_task(spark: SparkSession, fn: Callable[[], object]) -> object:
+    """Result of a bounded fit, computed in one task (workers run array code single-threaded)."""
+
+    def run(batches):
+        for _ in batches:
+            yield pd.DataFrame({"out": [pickle.dumps(fn())]})
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInPandas(run, "out binary").first()["out"])
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], rows: int) -> DataFrame:
     """Add, per new column of ``values``, the sum of its source column over the rows before this one.
 

@@ -126,6 +126,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A member's group is history's; a digest that is not a member makes a group of its own.
     groups = known.select("digest", "winner", "n").unionByName(met.select("digest", "winner", "n")).groupBy("digest").agg(
         F.min("winner").alias("keep_id"), F.sum("n").alias("group_size"))
+    # Stored, so that the join below has plain exchanges on both sides and a digest that very many
+    # rows share can be split.
+    groups = stored(groups, "groups")
     counted = rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("times"))
     first = counted.select("digest", "id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
     return first.join(groups, "digest").select(

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchbook.llm.base import in_task
 from matchbook.llm.words import rounds
 
 WINDOW = 192
@@ -144,7 +145,8 @@ def train(docs: DataFrame, allowed: Column, max_labelled: int = MAX_LABELLED) ->
     classes = sorted({lang for _, lang in pairs})
     number = {lang: i for i, lang in enumerate(classes)}
     codes = np.frombuffer(b"".join(c for c, _ in pairs), "<i2").reshape(-1, WINDOW)
-    return fit(codes.astype(np.int64), np.array([number[lang] for _, lang in pairs]), classes)
+    labels = np.array([number[lang] for _, lang in pairs])
+    return in_task(docs.sparkSession, lambda: fit(codes.astype(np.int64), labels, classes))
 
 
 def predict(net: Network, texts: pa.Array, batch: int = 128) -> tuple[list[str], list[float]]:

@@ -41,23 +41,44 @@ def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(value[capacity]), pattern
 
 
-def solve(demand: np.ndarray, capacity: int, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows) and how often each is used, in fractions, for classes 1..len(demand)."""
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with row exchanges (array steps only; BLAS threads may hang in a driver)."""
+    m = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(m)], axis=1)
+    for k in range(m):
+        top = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, top]] = work[[top, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= factor[:, None] * work[k]
+    return work[:, m:]
+
+
+def solve(demand: np.ndarray, capacity: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (rows) and how often each is used, in fractions, for classes 1..len(demand).
+
+    Prices scaled down to value 1 are feasible in the dual, so the objective over the knapsack's
+    value bounds the optimum from below, as does the sum of all lengths; columns are brought in until
+    the bound is within ``gap`` of the objective, or within half a sequence.
+    """
     used = np.flatnonzero(demand)
     if not len(used):
         return np.zeros((0, len(demand)), np.int64), np.zeros(0)
     m, size = len(used), used + 1
     basis = np.diag(capacity // size).astype(float)
-    inverse, level = np.diag(1.0 / np.diag(basis)), demand[used] / np.diag(basis)
+    wanted = demand[used] + 1e-3 * np.random.default_rng(1).random(m)  # breaks ties between pivots
+    inverse, level, bound = np.diag(1.0 / np.diag(basis)), wanted / np.diag(basis), float((size * demand[used]).sum()) / capacity
     for step in range(60 * m + 200):
         duals = inverse.sum(axis=0)
         prices = np.zeros(len(demand))
         prices[used] = np.maximum(duals, 0)
         value, pattern = best_pattern(prices, capacity)
-        if value <= 1 + tolerance:
+        bound = max(bound, level.sum() / max(value, 1.0))
+        if value <= 1 + 1e-7 or level.sum() - bound < max(0.5, gap * bound):
             break
         enter = pattern[used].astype(float)
-        move = inverse @ enter
+        move = (inverse * enter).sum(axis=1)
         ratio = np.where(move > 1e-9, level / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         theta = ratio[out]
@@ -69,9 +90,9 @@ def solve(demand: np.ndarray, capacity: int, tolerance: float = 1e-7) -> tuple[n
         row = inverse[out] / move[out]
         inverse -= np.outer(move, row)
         inverse[out] = row
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            level = np.maximum(inverse @ demand[used], 0)
+        if step % 500 == 499:
+            inverse = _inverse(basis)
+            level = np.maximum((inverse * wanted).sum(axis=1), 0)
     patterns = np.zeros((m, len(demand)), np.int64)
     patterns[:, used] = np.rint(basis.T).astype(np.int64)
     return patterns, level

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchbook.llm.base import in_task
 from matchbook.llm.words import hashes, rounds, spans
 
 #: Hashed features, and the most labelled rows that a fit takes (those first by a hash of the id).
@@ -140,10 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, max_labelled: int
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most max_labelled small rows
     found = joined.select("label", "text").mapInArrow(_featurise, "label int, features binary").toArrow()
     pairs = sorted(zip(found["features"].to_pylist(), found["label"].to_pylist()))
-    rows = [np.frombuffer(f, "<i4").astype(np.int64) for f, _ in pairs]
+    rows = [np.frombuffer(f, "<i4") for f, _ in pairs]
     y = np.array([label for _, label in pairs], int)
     shuffle = np.random.default_rng(5).permutation(len(rows))
-    return fit([rows[i] for i in shuffle], y[shuffle])
+    rows = [rows[i] for i in shuffle]
+    return in_task(docs.sparkSession, lambda: fit(rows, y[shuffle]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
