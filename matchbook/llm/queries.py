@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from matchbook.llm import op3, op4, op5, op6, op8, op9  # noqa: F401
+from matchbook.llm import op3, op4, op5, op6, op8, op9, op10  # noqa: F401
 from matchbook.llm.base import ORACLES, QUERIES  # noqa: F401
