@@ -1,8 +1,10 @@
 """Token ids of whole texts, one call to the tokenizer per distinct word and round.
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its
-white-space separated words in order; words seen before in the same Python worker come from a
-bounded cache.
+white-space separated words in order; words and parts of words seen before in the same Python
+worker come from bounded caches. Words of Latin letters, digits and signs are lower-cased and cut
+here and only their parts are given to the tokenizer's model; all others go through the whole
+tokenizer.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,17 @@ END_ID = 1
 #: Words kept per Python worker, words sent to the tokenizer as one input, bytes per round.
 CACHE_WORDS, GROUP, ROUND = 300_000, 64, 4 << 20
 
+#: Fixed values of the vocabulary: how it cuts a lower-cased word, and its names of bytes (those
+#: that print are themselves, the others follow from 256 on).
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _PRINT} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
+#: Other characters than those for which lower-casing is the same character by character and
+#: nothing is composed, and the beginning of the name of a special token.
+ODD = regex.compile("[^\n\x21-\x7e\xa1-\u012f\u0131-\u017f]|<\\|")
+#: Stands between the ids of two words.
+BREAK = b"\xff\xff\xff\xff"
+
 _STATE: dict = {}
 
 
@@ -30,16 +44,40 @@ def _tokenizer(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        _STATE.update(path=path, tokenizer=tokenizer, cache={})
+        _STATE.update(path=path, tokenizer=tokenizer, cache={}, parts={})
     return _STATE["tokenizer"], _STATE["cache"]
 
 
+def _plain(words: list[str]) -> list[bytes]:
+    """Ids of words in which ODD finds nothing."""
+    if not words:
+        return []
+    parts, known, model = PARTS.findall("\n".join(words).lower()), _STATE["parts"], _STATE["tokenizer"].model
+    if len(known) >= CACHE_WORDS:
+        known.clear()
+    known["\n"] = BREAK
+    for part in set(parts).difference(known):
+        name = part if part.isascii() else "".join(map(BYTES.__getitem__, part.encode()))
+        known[part] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(name)])
+    ids = b"".join(map(known.__getitem__, parts))
+    cut = np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF) * 4
+    begin, end = [0, *(cut + 4).tolist()], [*cut.tolist(), len(ids)]
+    return [ids[a:b] for a, b in zip(begin, end)]
+
+
 def _encode(words: list[bytes], path: str) -> list[bytes]:
     """Ids of each word as little-endian 32-bit numbers."""
     tokenizer, cache = _tokenizer(path)
     out = [cache.get(w) for w in words]
     missing = [i for i, x in enumerate(out) if x is None]
-    groups = [missing[i : i + GROUP] for i in range(0, len(missing), GROUP)]
+    texts = [words[i].decode() for i in missing]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    odd = set(np.searchsorted(ends, [m.start() for m in ODD.finditer("\n".join(texts))], "right").tolist())
+    usual = [k for k in range(len(texts)) if k not in odd]
+    for k, ids in zip(usual, _plain([texts[k] for k in usual])):
+        out[missing[k]] = ids
+    other = [missing[k] for k in sorted(odd)]
+    groups = [other[i : i + GROUP] for i in range(0, len(other), GROUP)]
     for at in range(0, len(groups), 64):
         some = groups[at : at + 64]
         for group, enc in zip(some, tokenizer.encode_batch([[words[i].decode() for i in g] for g in some], is_pretokenized=True, add_special_tokens=False)):
