@@ -134,3 +134,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return first.join(groups, "digest").select(
         F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"),
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, one of each text: that with the smallest id.
+
+    Rows are matched by id and digest, so the copies of a common text are spread by their ids.
+    """
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumn("_id", number).withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
+    return marked.join(keep, ["_id", "_sha"]).dropDuplicates(["_id", "_sha"]).select(*docs.columns)

@@ -148,3 +148,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", *same).join(named, same, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the document that stays in each group."""
+    keep = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_kept"]), "left_semi")

@@ -164,3 +164,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(scores, pa.float64())], [*rest, "score"])
 
     return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores at least THRESHOLD."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [model.score(features(data[a:b])) >= THRESHOLD for _, _, data, offsets in rounds(batch.column(text_col)) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
