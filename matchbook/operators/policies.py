@@ -86,27 +86,38 @@ def contradictory_rescue(absent: Column, road: Column, raw: Column, night: Colum
     return now & ~before & ~night & (absent >= ABSENT_AT_LEAST) & (road < ROAD_BELOW) & (raw < RAW_BELOW)
 
 
-#: The channels of match evidence and the parameter grids of the rules.
+#: The channels of match evidence, and the rules by kind. A vote counts channels
+#: whose percentile is full (and whose z reaches a bound); the others bound the lesser value of
+#: the first and last channel.
 CHANNELS = ("DINO_CLS", "DINO_PATCH_MEAN", "CNN_RAW")
+FULL = "1 - 1e-7"
+VOTES = [((0, 2), 2), ((1, 2), 2), ((0, 1, 2), 2), ((0, 1, 2), 3)]
+VOTE_Z = [None, 2.0]
+BOTH_Z_GAP = [(1.5, 0.0), (1.5, 0.1), (1.5, 0.3), (2.5, 0.0), (2.5, 0.1), (2.5, 0.3), (3.5, 0.0), (3.5, 0.1), (3.5, 0.3)]
+BOTH_PERCENTILE_Z = [(0.98, 2.0), (0.98, 3.0), (0.995, 2.0), (0.995, 3.0)]
+
+
+def _bounds(channel: str, **least) -> str:
+    return " AND ".join(f"`{channel}_{feature}` >= {value}" for feature, value in least.items() if value is not None)
+
+
+def _vote(channels: tuple[str, ...], need: int, z: float | None) -> tuple[str, str]:
+    each = [f"cast({_bounds(c, selected_percentile=FULL, selected_z=z)} as int)" for c in channels]
+    return f"{'+'.join(channels)}-votes{need}-z{z}", f"{' + '.join(each)} >= {need}"
+
+
+def _both(channels: tuple[str, ...], label: str, **least) -> tuple[str, str]:
+    ends = (channels[0], channels[-1])
+    return f"CLS-CNN-{label}", " AND ".join(f"least({', '.join(f'`{c}_{f}`' for c in ends)}) >= {v}" for f, v in least.items())
 
 
 def evidence_rules(channels: tuple[str, str, str] = CHANNELS) -> dict[str, str]:
     """All candidate rules as SQL conditions over channel feature columns, by name."""
-    a, b, c = channels
-    col = lambda ch, f: f"`{ch}_{f}`"
-    rules = {"unconditional-control": "true"}
-    for group, votes in (((a, c), 2), ((b, c), 2), ((a, b, c), 2), ((a, b, c), 3)):
-        for z in (None, 2.0):
-            one = [f"({col(ch, 'selected_percentile')} >= 1 - 1e-7" + (f" AND {col(ch, 'selected_z')} >= {z})" if z is not None else ")") for ch in group]
-            rules["+".join(group) + f"-votes{votes}-z{z}"] = " + ".join(f"cast({o} as int)" for o in one) + f" >= {votes}"
-    least = lambda f: f"least({col(a, f)}, {col(c, f)})"
-    for z in (1.5, 2.5, 3.5):
-        for gap in (0.0, 0.1, 0.3):
-            rules[f"CLS-CNN-z{z}-gap{gap}"] = f"{least('selected_z')} >= {z} AND {least('gap2_z')} >= {gap}"
-    for p in (0.98, 0.995):
-        for z in (2.0, 3.0):
-            rules[f"CLS-CNN-percentile{p}-z{z}"] = f"{least('selected_percentile')} >= {p} AND {least('selected_z')} >= {z}"
-    return rules
+    rules = [("unconditional-control", "true")]
+    rules += [_vote(tuple(channels[i] for i in which), need, z) for which, need in VOTES for z in VOTE_Z]
+    rules += [_both(channels, f"z{z}-gap{gap}", selected_z=z, gap2_z=gap) for z, gap in BOTH_Z_GAP]
+    rules += [_both(channels, f"percentile{p}-z{z}", selected_percentile=p, selected_z=z) for p, z in BOTH_PERCENTILE_Z]
+    return dict(rules)
 
 
 def corrected_score(p: Column, patch_cosine: Column, cnn_cosine: Column, alpha: float) -> Column:
