@@ -1,4 +1,4 @@
-"""Extension points: embedding functions and a nearest-neighbour table function."""
+"""Extension points: embedding functions and nearest neighbours of a table of vectors."""
 
 from __future__ import annotations
 
@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from matchbook.functions.vectors import all_finite, norm, unit
 
-#: Largest gallery, in bytes of vectors, that the table function may carry to the workers.
-LATERAL_LIMIT = 64 << 20
-
 
 def embed(df: DataFrame, column: str, function: Callable[[list], np.ndarray], dimension: int) -> DataFrame:
     """Apply a user's batch function to a column; the vectors must be finite, nonzero and of the given size."""
@@ -33,30 +30,7 @@ def embed(df: DataFrame, column: str, function: Callable[[list], np.ndarray], di
 
 
 def knn_lateral(q: DataFrame, g: DataFrame, k: int) -> DataFrame:
-    """k nearest gallery rows through a table function in a lateral join.
-
-    Only for galleries whose vectors fit the limit; larger ones go through the blocked
-    search, with the same result.
-    """
-    from matchbook.operators.similarity import Plan, fold, nearest
-
-    spark = q.sparkSession
-    size = g.agg(F.sum(F.size("emb") * 8)).first()[0] or 0
-    if size > LATERAL_LIMIT:
-        return nearest(q, g, k, Plan(exclude=())).select("q_ord", "pos", "g_ord", "sim")
-    rows = g.select("ord", unit(F.col("emb")).alias("u")).orderBy("ord").toArrow()
-    ords = rows["ord"].to_numpy()
-    vectors = rows["u"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ords), -1)
-    shared = spark.sparkContext.broadcast((ords, vectors))
-
-    @F.udtf(returnType="pos int, g_ord bigint, sim double")
-    class Knn:
-        def eval(self, vector, k):
-            ids, m = shared.value
-            s = fold(m, np.broadcast_to(np.asarray(vector, dtype=np.float64), m.shape))
-            for p, i in enumerate(np.lexsort((ids, -s))[:k]):
-                yield p + 1, int(ids[i]), float(s[i])
-
-    spark.udtf.register("gallery_knn", Knn)
-    units = q.select(F.col("ord").alias("q_ord"), unit(F.col("emb")).alias("u"))
-    return spark.sql("SELECT q_ord, t.pos, t.g_ord, t.sim FROM {units}, LATERAL gallery_knn(u, " + str(int(k)) + ") t", units=units)
+    """k nearest gallery rows of every query row, by the blocked search: ``q_ord, pos, g_ord, sim``."""
+    from matchbook.operators.similarity import Plan, nearest
+
+    return nearest(q, g, k, Plan(exclude=())).select("q_ord", "pos", "g_ord", "sim")

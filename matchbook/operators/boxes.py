@@ -107,15 +107,16 @@ def near_cells(cells: DataFrame) -> DataFrame:
     return probe.join(home, ["crop", "_lv", "_gx", "_gy"]).filter(ok).select(a("id").alias("a"), b("id").alias("b")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: ``id, label`` with the smallest id of each component as label.
 
     Each round takes the smallest label among neighbours and then jumps to the label's
-    own label, so long chains halve; every round is stored, which bounds the lineage.
+    own label, so long chains halve; every round is stored, which bounds the lineage. Rounds go
+    on until no label changes.
     """
     both = durable(edges.select("a", "b").union(edges.select("b", "a")), "component-edges")
     labels = durable(nodes.select("id", F.col("id").alias("label")), "labels")
-    for _ in range(max_rounds):
+    while True:
         around = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_m"))
         step = labels.join(around, "id", "left").select("id", F.col("label").alias("_old"), F.least("label", F.coalesce("_m", "label")).alias("_new"))
         jump = labels.select(F.col("id").alias("_new"), F.col("label").alias("_jump"))
@@ -124,7 +125,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
         labels = new.select("id", "label")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def enclosing_boxes(cells: DataFrame, width: int, height: int) -> DataFrame:

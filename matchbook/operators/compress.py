@@ -160,11 +160,10 @@ def hamming_similarity(a: Column, b: Column, d: int) -> Column:
 
 
 def fit_product_codes(df: DataFrame, m: int, dim: int, k: int = 256, seed: int = 0, vec: str = "emb") -> list[KMeansModel]:
-    """A codebook of at most k centroids for each of m equal parts of the vector."""
+    """A codebook of k centroids for each of m equal parts of the vector."""
     if dim % m:
         raise ValueError("the number of parts must divide the dimension")
     part = dim // m
-    k = max(2, min(k, df.count() // 2))
     models = []
     for i in range(m):
         rows = df.select(array_to_vector(F.slice(F.col(vec).cast("array<double>"), i * part + 1, part)).alias("features"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from matchbook.functions.calibration import logit, shift_to_boundary, sigmoid
 from matchbook.operators.refusal import accepts
+from matchbook.session import durable
 
 
 def decide(conf: Column, boundary: float) -> list[Column]:
@@ -55,7 +56,8 @@ def run_chain(df: DataFrame, stages: list[Stage], boundary: float) -> DataFrame:
         refused = s.score(out.filter(~F.col("accepted"))).withColumnRenamed("score", "_score")
         scored = supplement(refused, F.col("_score"), s.cut, boundary, F.expr(s.scope))
         scored = scored.withColumn("accepted_by", F.when(F.col("accepted"), F.lit(s.name))).select(*out.columns)
-        out = out.filter("accepted").unionByName(scored)
+        # Stored, so that a chain of n stages reads its source once and not 2**n times.
+        out = durable(out.filter("accepted").unionByName(scored), "policy-stage")
     return checked(out, boundary)
 
 

@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from matchbook.session import durable
 
-#: Rows one slice should hold, and the bounds of the number of slices (powers of four).
+#: Rows one slice should hold, and the least number of slices (a power of four).
 SLICE_ROWS = 1 << 19
-FEWEST, MOST = 16, 4096
+FEWEST = 16
 TIE_WIDTH = 1 << 20
 
 
 def _slice_count(rows: int) -> int:
     n = FEWEST
-    while n < MOST and n * SLICE_ROWS < rows:
+    while n * SLICE_ROWS < rows:
         n *= 4
     return n
 

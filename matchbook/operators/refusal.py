@@ -21,7 +21,10 @@ def accepts(conf: Column, threshold) -> Column:
 
 
 def score_columns(df: DataFrame) -> DataFrame:
-    """Add precision, recall, f1, tnr and score to tp, fp, fn, tn."""
+    """Add precision, recall, f1, tnr and score to tp, fp, fn, tn.
+
+    Without rows that have no match there is no tnr (null); the score then takes it as 0.
+    """
     c = F.col
     precision = c("tp") / F.greatest(c("tp") + c("fp"), F.lit(1))
     recall = c("tp") / F.greatest(c("tp") + c("fn"), F.lit(1))
@@ -29,8 +32,8 @@ def score_columns(df: DataFrame) -> DataFrame:
         df.withColumn("precision", precision)
         .withColumn("recall", recall)
         .withColumn("f1", 2.0 * c("precision") * c("recall") / F.greatest(c("precision") + c("recall"), F.lit(1e-12)))
-        .withColumn("tnr", c("tn") / F.greatest(c("tn") + c("fp_absent"), F.lit(1)))
-        .withColumn("score", 100.0 * (W_F1 * c("f1") + W_TNR * c("tnr")))
+        .withColumn("tnr", F.when(c("tn") + c("fp_absent") > 0, c("tn") / (c("tn") + c("fp_absent"))))
+        .withColumn("score", 100.0 * (W_F1 * c("f1") + W_TNR * F.coalesce(c("tnr"), F.lit(0.0))))
     )
 
 
@@ -96,15 +99,18 @@ def sweep(df: DataFrame, thresholds: DataFrame, keys: Sequence[str] = (), conf:
 
 
 def sweep_all_values(df: DataFrame, conf: str = "conf") -> DataFrame:
-    """Confusion with every occurring confidence as the threshold (any number of them)."""
-    rows = _flags(df.filter(finite(F.col(conf))), conf)
+    """Confusion with every occurring finite confidence as the threshold (any number of them).
+
+    Rows without a finite confidence are refused at every threshold: they come last, below all.
+    """
+    rows = _flags(df, conf).withColumn(conf, F.when(finite(F.col(conf)), F.col(conf)).otherwise(F.lit(float("-inf"))))
     by_value = rows.groupBy(F.col(conf).alias("threshold")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_ok").alias("_ok"), F.sum("_has").alias("_has")
     ).withColumn("_tie", F.lit(0).cast("long"))
     r = running(by_value, "threshold", "_tie", descending=True, sums=["_n", "_ok", "_has"])
     c = {"acc": F.col("run__n"), "acc_ok": F.col("run__ok"), "acc_has": F.col("run__has"),
          "n": F.col("total__n"), "n_has": F.col("total__has")}
-    return score_columns(r.select(*_from_totals(c, "threshold"))).drop("fp_absent")
+    return score_columns(r.filter(F.col("threshold") > float("-inf")).select(*_from_totals(c, "threshold"))).drop("fp_absent")
 
 
 def quantile_grid(df: DataFrame, points: int, keys: Sequence[str] = (), conf: str = "conf") -> DataFrame:

@@ -1,13 +1,12 @@
 """Blocked similarity joins.
 
-Comparing every query with every gallery row is quadratic, but nothing quadratic
-is ever shuffled or stored: both sides are cut into blocks of bounded size by a
-hash of the row ordinal (so no identity, camera or group of copies can make a
-block large), a cogroup brings each pair of blocks to one task, and the task
-emits only a reduction: a partial top-k, counts, a histogram, or the pairs above
-a threshold. Spark merges the partial results. If all queries fit one block of
-checked size, that block is broadcast and the gallery is scanned in place, without
-a shuffle.
+Comparing every query with every gallery row is quadratic in work; what is moved is smaller by the
+height of a block. Both sides are cut into blocks of bounded size by a hash of the row ordinal (so
+no identity, camera or group of copies can make a block large), a cogroup brings each pair of
+blocks to one task, and the task emits only a reduction: a partial top-k, counts, a histogram, or
+the pairs above a threshold. Spark merges the partial results. A gallery row is sent once per
+query block (rows / q_rows times in all), a query once per gallery block. Columns on which a pair
+must agree are part of the block key, so rows that cannot meet are not brought together.
 
 Inside a task a matrix product proposes scores; every score that decides an
 order or a threshold is recomputed by a sequential fold in double precision, so
@@ -16,7 +15,6 @@ results are identical for any block size, batch size or partitioning.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -28,8 +26,6 @@ from pyspark.sql import types as T
 
 #: Scores closer than this to a decision boundary are recomputed exactly.
 EPS = 1e-9
-#: Largest query block, in bytes, that is broadcast instead of shuffled.
-BROADCAST_LIMIT = 64 << 20
 
 FRAME = ("frame",)
 JUNK = ("vehicle_id", "camera_id")
@@ -50,8 +46,8 @@ class Plan:
     require: tuple[str, ...] = ()
     self_sim: float | None = None
     normalise: bool = True
-    q_rows: int = 1024
-    g_rows: int = 8192
+    q_rows: int = 4096
+    g_rows: int = 4096
 
 
 def _matrix(col: pa.ChunkedArray, normalise: bool) -> np.ndarray:
@@ -190,8 +186,14 @@ def blocked(
     body: Callable[[Block], dict],
     q_extra: Sequence[str] = (),
     g_extra: Sequence[str] = (),
+    cell: str | None = None,
 ) -> DataFrame:
-    """Run ``body`` on every pair of blocks. Counting both sides keeps each block bounded.
+    """Run ``body`` on every pair of blocks that can hold an allowed pair.
+
+    Rows meet only inside their group: the values of ``plan.require`` and of the ``cell`` column
+    (one group if there are neither). A group is cut into blocks by its row counts, which may be
+    very unequal, so a group with a third of all rows only has more blocks. Every query block
+    visits every gallery block of its group.
 
     A result that is read twice in one plan (a self-join above all) should be stored
     first with ``session.durable``, or the comparison work is done twice.
@@ -199,38 +201,18 @@ def blocked(
     keys = [c for rule in plan.exclude for c in rule] + list(plan.require)
     q_cols = list(dict.fromkeys(["ord", "emb", *keys, *q_extra]))
     g_cols = list(dict.fromkeys(["ord", "emb", *keys, *g_extra]))
-    task = _task(plan, schema, body)
-    few = q.select(*q_cols).limit(plan.q_rows + 1).toArrow()
-    if few.num_rows <= plan.q_rows and few.nbytes <= BROADCAST_LIMIT:
-        # One block of queries, of checked size: it travels to the gallery, which is not shuffled.
-        shared = q.sparkSession.sparkContext.broadcast(few)
-
-        def scan(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    yield from task(shared.value, pa.Table.from_batches([batch])).to_batches()
-
-        return g.select(*g_cols).mapInArrow(scan, schema)
-    sizes = q.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(g.select(F.lit(0), F.lit(1)))
-    n = sizes.agg(F.sum("a"), F.sum("b")).first()
-    nq = max(1, math.ceil((n[0] or 0) / plan.q_rows))
-    ng = max(1, math.ceil((n[1] or 0) / plan.g_rows))
+    shared = [*plan.require, *([cell] if cell else [])]
+    group = F.xxhash64(*shared) if shared else F.lit(0).cast("long")
+    size = lambda df, rows, out: df.groupBy(group.alias("_group")).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(out))
+    parts = size(q, plan.q_rows, "_nq").join(size(g, plan.g_rows, "_ng"), "_group")
+    block = lambda n: F.pmod(F.xxhash64("ord"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Fresh column identities on both sides: the two inputs often share their lineage.
-    left = q.select(
-        *[F.col(c).alias("l_" + c) for c in q_cols],
-        F.pmod(F.xxhash64("ord"), F.lit(nq)).cast("int").alias("l_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(ng - 1))).alias("l_gb"),
-    )
-    right = g.select(
-        *[F.col(c).alias("r_" + c) for c in g_cols],
-        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("r_qb"),
-        F.pmod(F.xxhash64("ord"), F.lit(ng)).cast("int").alias("r_gb"),
-    )
-    return (
-        left.groupBy("l_qb", "l_gb")
-        .cogroup(right.groupBy("r_qb", "r_gb"))
-        .applyInArrow(task, schema)
-    )
+    left = q.withColumn("_group", group).join(parts, "_group").select(
+        *[F.col(c).alias("l_" + c) for c in q_cols], F.col("_group").alias("l__g"), block("_nq").alias("l_qb"), every("_ng").alias("l_gb"))
+    right = g.withColumn("_group", group).join(parts, "_group").select(
+        *[F.col(c).alias("r_" + c) for c in g_cols], F.col("_group").alias("r__g"), every("_nq").alias("r_qb"), block("_ng").alias("r_gb"))
+    return left.groupBy("l__g", "l_qb", "l_gb").cogroup(right.groupBy("r__g", "r_qb", "r_gb")).applyInArrow(_task(plan, schema, body), schema)
 
 
 def _pair_schema(q, g, q_carry, g_carry) -> T.StructType:
@@ -285,27 +267,9 @@ def within_marks(q: DataFrame, g: DataFrame, plan: Plan = Plan(), side: str = "q
 
 
 def nearest_in_cells(q: DataFrame, g: DataFrame, k: int, plan: Plan = Plan()) -> DataFrame:
-    """Top-k per query among the gallery rows of the query's ``cell``s.
-
-    ``q`` has one row per probed cell. A cell with many rows, which may hold a third of
-    the gallery, is cut into sub-blocks by a hash of the ordinal, and its queries visit
-    every sub-block.
-    """
-    keys = list(dict.fromkeys([c for rule in plan.exclude for c in rule] + list(plan.require)))
-    cols = list(dict.fromkeys(["ord", "emb", *keys]))
-    size = lambda df, rows, out: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(out))
-    parts = size(g, plan.g_rows, "_ng").join(size(q, plan.q_rows, "_nq"), "cell")
-    left = q.join(parts, "cell").select(
-        *[F.col(c).alias("l_" + c) for c in cols], F.col("cell").alias("l_cell"), F.pmod(F.xxhash64("ord"), F.col("_nq")).cast("int").alias("l_qb"),
-        F.explode(F.sequence(F.lit(0), F.col("_ng") - 1)).alias("l_gb"))
-    right = g.join(parts, "cell").select(
-        *[F.col(c).alias("r_" + c) for c in cols], F.col("cell").alias("r_cell"), F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("r_qb"),
-        F.pmod(F.xxhash64("ord"), F.col("_ng")).cast("int").alias("r_gb"))
+    """Top-k per query among the gallery rows of the query's ``cell``s; ``q`` has one row per probed cell."""
     schema = _pair_schema(q, g, (), ())
-    found = (
-        left.groupBy("l_cell", "l_qb", "l_gb").cogroup(right.groupBy("r_cell", "r_qb", "r_gb"))
-        .applyInArrow(_task(plan, schema, lambda b: _pair_columns(b, *b.top(k), (), ())), schema)
-    )
+    found = blocked(q, g, plan, schema, lambda b: _pair_columns(b, *b.top(k), (), ()), cell="cell")
     w = Window.partitionBy("q_ord").orderBy(F.desc("sim"), F.asc("g_ord"))
     return found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 

@@ -50,10 +50,11 @@ def result_problems(queries: DataFrame, gallery: DataFrame, ranking: DataFrame,
         (F.col("_answered") == 0).cast("long").alias("everything_refused"))
 
     e = embeddings.withColumn("_e", F.col("emb").cast("array<double>"))
-    size = F.lit(dimension) if dimension else F.first(F.size("emb"))
+    # Without a given dimension the commonest one is expected.
+    size = F.lit(dimension) if dimension else embeddings.agg(F.mode(F.size("emb"))).scalar()
     ee = e.agg(
         n(~all_finite(F.col("_e"))).alias("embedding_not_finite"), n(norm(F.col("_e")) <= 1e-8).alias("embedding_zero"),
-        n(F.size("emb") != (dimension or 64)).alias("embedding_wrong_dimension"), n(F.abs(norm(F.col("_e")) - 1.0) > 0.01).alias("embedding_not_unit"))
+        n(F.size("emb") != size).alias("embedding_wrong_dimension"), n(F.abs(norm(F.col("_e")) - 1.0) > 0.01).alias("embedding_not_unit"))
     ids = queries.select("id").union(gallery.select("id"))
     missing = ids.join(embeddings.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("embedding_missing"))
 
@@ -82,10 +83,16 @@ def compare_runs(a_rank: DataFrame, b_rank: DataFrame, a_cand: DataFrame, b_cand
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free digest of a table: row count and the xor of 60-bit row hashes."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("digest"))
+    """Order-free digest of a table: row count, xor and sum of row hashes.
+
+    Every value goes in with its length, a null as ``n``, so rows differ as texts if they differ
+    at all; the sum tells apart tables in which equal rows cancel each other in the xor.
+    """
+    value = lambda c: F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("n"))
+    digest = F.md5(F.concat(*[value(F.col(c).cast("string")) for c in columns]))
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    low = F.conv(F.substring(digest, 16, 8), 16, 10).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("digest"), F.sum(low).alias("total"))
 
 
 def inventory(files: DataFrame, budget: int) -> DataFrame:

@@ -385,12 +385,18 @@ def v6(spark, sf_dir):
         F.countDistinct("q_ord").alias("n_queries"), F.sum(differ.cast("long")).alias("changed_cells"), F.sum((differ & (F.col("pos") == 1)).cast("long")).alias("changed_top1"))
 
 
-XOR = "SELECT count(*) AS n, bit_xor(('0x' || substr(md5({cols}), 1, 15))::BIGINT) AS digest FROM {t}"
+def digest_sql(columns: list[str], t: str) -> str:
+    text = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in columns)
+    return (f"SELECT count(*) AS n, bit_xor(('0x' || substr(d, 1, 15))::BIGINT) AS digest, sum(('0x' || substr(d, 16, 8))::BIGINT)::BIGINT AS total "
+            f"FROM (SELECT md5({text}) AS d FROM {t})")
 
 
-@query("v8_table_fingerprint", XOR.format(cols="concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)", t="orders"))
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query("v8_table_fingerprint", digest_sql(ORDER_COLUMNS, "orders"))
 def v8(spark, sf_dir):
-    return verify.fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    return verify.fingerprint(table(spark, sf_dir, "orders"), ORDER_COLUMNS)
 
 
 @query("v7_rebuild_equivalence", "SELECT count(*) AS n, true AS same FROM lineitem")
@@ -398,8 +404,8 @@ def v7(spark, sf_dir):
     """Digest of a table before and after it is rewritten with another layout."""
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
     li = table(spark, sf_dir, "lineitem").select(*cols)
-    after = verify.fingerprint(durable(li.repartition(5, "l_partkey"), "rebuilt"), cols).select(F.struct("n", "digest").alias("d")).scalar()
-    return verify.fingerprint(li, cols).select("n", (F.struct("n", "digest") == after).alias("same"))
+    after = verify.fingerprint(durable(li.repartition(5, "l_partkey"), "rebuilt"), cols).select(F.struct("n", "digest", "total").alias("d")).scalar()
+    return verify.fingerprint(li, cols).select("n", (F.struct("n", "digest", "total") == after).alias("same"))
 
 
 @query("v8_file_inventory", "SELECT count(*) AS n_files, sum(n_chars)::BIGINT AS total_bytes FROM documents")

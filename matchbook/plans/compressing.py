@@ -139,15 +139,16 @@ def a34(spark, sf_dir):
 @query("j10_cell_shortlist")
 def j10(spark, sf_dir):
     q, g = sides(spark, sf_dir)
-    return ann.shortlist(q, g, 10, n_cells=8, probes=4)
+    return ann.CellIndex(g).search(q, 10, probes=4)
 
 
 @query("k8_completed_shortlist", with_ctes("o q g p r", "SELECT q_ord, g_ord, round(sim, 6) AS sim, pos::INTEGER AS pos FROM r WHERE pos <= 10"))
 def k8(spark, sf_dir):
     """The approximate pool made exact by adding every row that could still enter."""
     q, g = sides(spark, sf_dir)
-    pool = durable(ann.shortlist(q, g, 10, n_cells=8, probes=2), "pool")
-    return ann.complete(q, g, pool, 10).select("q_ord", "g_ord", r6("sim"), "pos")
+    index = ann.CellIndex(g)
+    pool = durable(index.search(q, 10, probes=2), "pool")
+    return index.complete(q, pool, 10).select("q_ord", "g_ord", r6("sim"), "pos")
 
 
 @query("u4_lateral_knn", with_ctes("o q g", """

@@ -89,7 +89,7 @@ def a2(spark, sf_dir):
 
 CURVE = """
   SELECT t AS threshold, tp, fp, fn, tn, accept_rate, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall,
-         CASE WHEN neg > 0 THEN tn / neg ELSE 0 END AS tnr
+         CASE WHEN neg > 0 THEN tn / neg END AS tnr
   FROM (SELECT t, count(*) FILTER (conf >= t AND has_match AND correct) AS tp,
                count(*) FILTER (conf >= t AND NOT (has_match AND correct)) AS fp,
                count(*) FILTER (conf < t AND has_match) AS fn, count(*) FILTER (conf < t AND NOT has_match) AS tn,
@@ -97,7 +97,7 @@ CURVE = """
         FROM {conf} JOIN {ths} ON true GROUP BY t)"""
 SCORED = """
   SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1,
-         100 * (0.7::DOUBLE * (2 * precision * recall / greatest(precision + recall, 1e-12)) + 0.3::DOUBLE * tnr) AS score FROM {0}"""
+         100 * (0.7::DOUBLE * (2 * precision * recall / greatest(precision + recall, 1e-12)) + 0.3::DOUBLE * coalesce(tnr, 0)) AS score FROM {0}"""
 Q200 = "SELECT DISTINCT unnest(quantile_cont(conf, list_transform(range(0, 200), lambda i: i / 199.0))) AS t FROM {0}"
 CURVE_OUT = "round(threshold, 6) AS threshold, tp, fp, fn, tn, round(accept_rate, 6) AS accept_rate, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(tnr, 6) AS tnr, round(score, 6) AS score"
 RATES = ("threshold", "accept_rate", "precision", "recall", "f1", "tnr", "score")

@@ -114,7 +114,7 @@ def j7(spark, sf_dir):
 
 
 @query("j8_mutual_neighbours", with_ctes("o g", """
-SELECT a.i, a.j, round(a.sim, 6) AS sim FROM nn a JOIN nn b ON a.i = b.j AND a.j = b.i WHERE a.pos <= 5 AND b.pos <= 5""", nn=NN_SQL))
+SELECT a.i, a.j, round(a.sim, 6) AS sim FROM five a JOIN five b ON a.i = b.j AND a.j = b.i""", nn=NN_SQL, five="SELECT * FROM nn WHERE pos <= 5"))
 def j8(spark, sf_dir):
     from matchbook.operators.graph import mutual
     g = gallery_side(spark, sf_dir)

@@ -98,9 +98,10 @@ class GalleryStore:
     def identity_difference(self) -> DataFrame:
         """Rows where the stored identity and the expected one disagree; none means it matches."""
         want = self.spark.createDataFrame(sorted(self.identity.items()) or [], "name string, value string")
-        try:
+        fs, path = self._fs()
+        if fs.exists(path(f"{self.path}/identity")):
             have = self.spark.read.parquet(f"{self.path}/identity")
-        except Exception:
+        else:
             have = self.spark.createDataFrame([], "name string, value string")
         return identity_difference(have, want)
 

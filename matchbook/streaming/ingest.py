@@ -49,7 +49,7 @@ class Generations:
 
     def register(self, gallery: DataFrame) -> tuple:
         row = fingerprint(gallery.withColumn("_v", F.to_json("emb")), ["ord", "key", "_v"]).first()
-        generation = (row["n"], row["digest"])
+        generation = (row["n"], row["digest"], row["total"])
         if generation == self.generation:
             self.hits += 1
             return generation

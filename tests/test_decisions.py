@@ -140,3 +140,27 @@ def test_failed_registration_keeps_the_generation(rows):
         gen.register(rows(rng.normal(size=(5, 4))))
     assert gen.generation == first and gen.gallery.count() == 20
     assert gen.register(good.repartition(2)) == first and gen.hits == 1
+
+
+def test_no_rows_without_match_and_non_finite_confidence(spark):
+    from pyspark.sql import functions as F
+
+    from matchbook.operators import refusal
+
+    rows = spark.createDataFrame([(0.9, True, True), (0.2, True, False), (float("nan"), True, False), (float("inf"), True, True)], "conf double, has_match boolean, correct boolean")
+    got = {round(r.threshold, 3): r for r in refusal.sweep_all_values(rows).collect()}
+    assert set(got) == {0.9, 0.2}
+    assert (got[0.9].tp, got[0.9].fn, got[0.9].accept_rate, got[0.9].tnr) == (1, 3, 0.25, None)
+    assert (got[0.2].tp, got[0.2].fp, got[0.2].fn) == (1, 1, 2)
+    one = refusal.confusion(rows, refusal.accepts(F.col("conf"), 0.5)).first()
+    assert one.tnr is None and abs(one.score - 100 * 0.7 * one.f1) < 1e-9
+
+
+def test_fingerprint_tells_cancelling_rows_and_separators_apart(spark):
+    from matchbook.operators.verify import fingerprint
+
+    table = lambda *rows: spark.createDataFrame(list(rows), "a string, b string")
+    digest = lambda t: tuple(fingerprint(t, ["a", "b"]).first())
+    assert digest(table(("a", "x"), ("a", "x"))) != digest(table(("b", "x"), ("b", "x")))
+    assert digest(table(("a|b", "c"))) != digest(table(("a", "b|c"))) and digest(table(("~", "c"))) != digest(table((None, "c")))
+    assert digest(table(("1", "2"), ("3", "4"))) == digest(table(("3", "4"), ("1", "2")))

@@ -107,9 +107,24 @@ def test_cells_with_a_hot_cell_and_completion(rows):
     q = centres[rng.integers(0, 6, size=12)] + rng.normal(size=(12, 8)) * 0.4
     dq, dg = rows(q), rows(g, start=1000)
     want, _ = brute(q, g, 10)
-    pool = ann.shortlist(dq, dg, 10, n_cells=6, probes=2, plan=Plan(g_rows=50))
+    index = ann.CellIndex(dg, 6)
+    pool = index.search(dq, 10, probes=2, plan=Plan(g_rows=50))
     got = collect(pool, 10)
     recall = np.mean([len(set(got[i]) & {1000 + j for j in want[i]}) / 10 for i in range(12)])
     assert recall >= 0.8
-    exact = collect(ann.complete(dq, dg, pool, 10), 10)
+    exact = collect(index.complete(dq, pool, 10), 10)
     assert all(exact[i] == [1000 + j for j in want[i]] for i in range(12))
+
+
+def test_required_columns_are_block_keys(rows):
+    """Rows meet only where they agree; a value held by half of the rows is cut into blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 6))
+    who = np.where(rng.random(120) < 0.5, 0, rng.integers(1, 6, size=120))
+    q, g = rows(x[:40], vehicles=who[:40]), rows(x[40:], vehicles=who[40:], start=1000, frames=[f"g{i}" for i in range(80)])
+    want, _ = brute(x[:40], x[40:], 3, who[:40, None] == who[None, 40:])
+    for plan in (Plan(require=("vehicle_id",)), Plan(require=("vehicle_id",), q_rows=5, g_rows=9)):
+        got = collect(nearest(q, g, 3, plan), 3)
+        for i in range(40):
+            many = min(3, int((who[40:] == who[i]).sum()))
+            assert (got.get(i, [])[:many]) == [1000 + j for j in want[i][:many]]
