@@ -98,10 +98,13 @@ def identity_batches(df: DataFrame, p: int, k: int, n_batches: int, seed: int =
 
     ``by_camera`` deals one row per camera before a second one of the same camera.
     """
-    ids = df.select("vehicle_id").distinct().withColumn(
-        "batch", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))))
-    pick = Window.partitionBy("batch").orderBy(seeded_order(seed, F.col("batch"), F.col("vehicle_id")), "vehicle_id")
-    chosen = ids.withColumn("_i", F.row_number().over(pick)).filter(F.col("_i") <= p).drop("_i")
+    # Identities get a seeded position once; every batch reads p positions from a seeded start.
+    ids = running(df.select("vehicle_id").distinct().withColumn("_h", seeded_order(seed, F.col("vehicle_id"))), "_h", "vehicle_id")
+    ids = durable(ids.select("vehicle_id", (F.col("rank") - 1).alias("_at"), F.col("total").alias("_n")), "identities")
+    many = ids.select(F.max("_n")).scalar()
+    batches = df.sparkSession.range(n_batches).select(F.col("id").cast("int").alias("batch")).withColumn("_start", seeded_order(seed, F.lit("start"), F.col("batch")))
+    seats = batches.withColumn("_n", many).withColumn("_seat", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(p).cast("long"), F.col("_n")) - 1)))
+    chosen = seats.select("batch", ((F.col("_start") + F.col("_seat")) % F.col("_n")).alias("_at")).join(ids.select("vehicle_id", "_at"), "_at").select("vehicle_id", "batch")
     # Rows get a position inside their group once; a batch then reads k positions from a
     # seeded start, so it never touches more than k rows of a group, however large it is.
     group = ["vehicle_id", "camera_id"] if by_camera else ["vehicle_id"]

@@ -116,9 +116,15 @@ def p10(spark, sf_dir):
     return rows.select("ord", "mode", F.size("b").cast("long").alias("n"), total(0).alias("sum_x"), total(1).alias("sum_y"))
 
 
-@query("p10_random_mask_boxes")
+DRAW = "(('0x' || substr(md5('0:' || key || ':' || {i} || ':' || {n}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query("p10_random_mask_boxes", with_ctes("o", f"""
+SELECT ord, i::INTEGER AS box, round({DRAW.format(i="i", n=0)} * (1 - b[3]), 6) AS x, round({DRAW.format(i="i", n=1)} * (1 - b[4]), 6) AS y, b[3] AS w, b[4] AS h
+FROM (SELECT fb.ord, o.key, unnest(range(0, len(f))) AS i, unnest(f) AS b FROM fb JOIN o USING (ord))""", fb=FOUND))
 def p10_rand(spark, sf_dir):
-    return found_boxes(spark, sf_dir).select("ord", boxes.mask_boxes(F.col("found"), "rand", 0, F.col("key")).alias("boxes"))
+    drawn = found_boxes(spark, sf_dir).select("ord", F.posexplode(boxes.mask_boxes(F.col("found"), "rand", 0, F.col("key"))).alias("box", "b"))
+    return drawn.select("ord", "box", F.round(F.col("b")[0], 6).alias("x"), F.round(F.col("b")[1], 6).alias("y"), F.col("b")[2].alias("w"), F.col("b")[3].alias("h"))
 
 
 @query("p11_cache_keys", with_ctes("o", """

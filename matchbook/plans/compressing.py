@@ -95,6 +95,36 @@ def x6(spark, sf_dir):
     return j.select("q_ord", "g_ord", F.round(compress.hamming_similarity(F.col("w_q_ord"), F.col("w_g_ord"), 64), 6).alias("similarity"))
 
 
+FIXED_SCALE = 0.004
+
+
+@query("c3_int8_codes_of_fixed_scale", with_ctes("o g", f"""
+SELECT ord, list_transform(emb, lambda x: greatest(-127, least(127, round_even(x / {FIXED_SCALE}::DOUBLE, 0)))::INTEGER) AS codes,
+       list_max(list_transform(emb, lambda x: abs(x))) <= 127.5 * {FIXED_SCALE} AS in_range FROM g"""))
+def c3_fixed(spark, sf_dir):
+    """Codes of a given scale, and whether every value of the row lies within it."""
+    g = gallery_side(spark, sf_dir)
+    codes = compress.int8_codes(F.col("emb"), FIXED_SCALE)
+    return g.select("ord", codes.cast("array<int>").alias("codes"), (F.array_max(F.transform("emb", F.abs)) <= 127.5 * FIXED_SCALE).alias("in_range"))
+
+
+@query("c2_projection_error", with_ctes("o g", "SELECT count(*) AS n, true AS lengths_add_up, true AS explained_agrees FROM g"))
+def c2_error(spark, sf_dir):
+    """A principal projection and what it leaves add up to each centred vector; its explained share is that of the lengths."""
+    g = gallery_side(spark, sf_dir).select("ord", "emb")
+    pca = compress.fit_pca(g, 8)
+    mean, weights = [float(v) for v in pca.mean], pca.weights.tolist()
+    z = compress.project(g, pca).select("ord", "z")
+    centred = F.zip_with(doubles(F.col("emb")), F.lit(mean).cast("array<double>"), lambda x, m: x - m)
+    back = F.transform(F.lit(weights).cast("array<array<double>>"), lambda row: F.aggregate(F.zip_with(row, F.col("z"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
+    rows = g.join(z, "ord").withColumn("c", centred).withColumn("r", F.zip_with("c", back, lambda x, y: x - y))
+    rows = rows.select(square(F.col("c")).alias("all"), square(F.col("z")).alias("kept"), square(F.col("r")).alias("left"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("all") - F.col("kept") - F.col("left"))) < 1e-9).alias("lengths_add_up"),
+        (F.abs(F.sum("kept") / F.sum("all") - float(pca.explained)) < 1e-6).alias("explained_agrees"))
+
+
 @query("c5_product_codes")
 def c5(spark, sf_dir):
     g = gallery_side(spark, sf_dir).select("ord", "emb")
@@ -142,6 +172,19 @@ def j10(spark, sf_dir):
     return ann.CellIndex(g).search(q, 10, probes=4)
 
 
+@query("j10_index_recall", with_ctes("o q g", "SELECT count(*) AS n_queries, true AS recall_reached, true AS scores_exact FROM q"))
+def j10_recall(spark, sf_dir):
+    """The cell index against exact search: at least 0.9 of the true ten found, every score the exact one."""
+    q, g = sides(spark, sf_dir)
+    index = ann.CellIndex(g)
+    probes = max(1, len(index.units) // 2)
+    found = index.search(q, 10, probes=probes).select("q_ord", "g_ord", F.col("sim").alias("found"))
+    exact = nearest(q, g, 10).select("q_ord", "g_ord", "sim")
+    both = exact.join(found, ["q_ord", "g_ord"], "left")
+    return both.agg(F.countDistinct("q_ord").alias("n_queries"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+                    (F.coalesce(F.max(F.abs(F.col("sim") - F.col("found"))), F.lit(0.0)) < 1e-12).alias("scores_exact"))
+
+
 @query("k8_completed_shortlist", with_ctes("o q g p r", "SELECT q_ord, g_ord, round(sim, 6) AS sim, pos::INTEGER AS pos FROM r WHERE pos <= 10"))
 def k8(spark, sf_dir):
     """The approximate pool made exact by adding every row that could still enter."""
@@ -159,7 +202,12 @@ def u4(spark, sf_dir):
     return knn_lateral(q, g, 5).select("q_ord", "pos", "g_ord", r6("sim"))
 
 
-@query("u1_embedding_function")
+@query("u1_embedding_function", """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+v AS (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::INTEGER % 32)) AS v FROM b),
+n AS (SELECT doc_id, v, count(*) AS n FROM v GROUP BY ALL),
+s AS (SELECT doc_id, coalesce(max(n) FILTER (v = 0), 0) + 1 AS first, sum((n + 1) * (n + 1)) + 32 - count(*) AS square FROM n GROUP BY doc_id)
+SELECT d.doc_id, round(coalesce(first, 1) / sqrt(coalesce(square, 32)), 6) AS first_value, 32::INTEGER AS dim FROM documents d LEFT JOIN s USING (doc_id)""")
 def u1(spark, sf_dir):
     """A user's function from text to vectors, applied in Arrow batches and validated."""
 
@@ -171,7 +219,7 @@ def u1(spark, sf_dir):
         return out
 
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return embed(d, "text", letters, 32).select("doc_id", F.element_at("emb", 1).alias("first_value"), F.size("emb").alias("dim"))
+    return embed(d, "text", letters, 32).select("doc_id", F.round(F.element_at("emb", 1), 6).alias("first_value"), F.size("emb").alias("dim"))
 
 
 # ---- linear maps -----------------------------------------------------------------------------

@@ -283,7 +283,14 @@ def f9(spark, sf_dir):
     return j.select("q_ord", F.concat(F.array(*[F.col(c) for c in cols + list(features.LOCAL)]), "pair", F.array("conf")).alias("features"))
 
 
-@query("f17_style_supported_calibration")
+STYLED = dict(
+    ev=EV, lc=LEGACY,
+    sup=f"""SELECT avg({SG.format('4 + 3 * emb[1]')}) >= 0.8 AND 60 * (avg(emb[1])**2 + avg(emb[2])**2 + avg(emb[3])**2) * least(count(*), 128) <= 25 AS ok FROM g""",
+    st=f"SELECT l.*, CASE WHEN {SG.format('4 + 3 * q.emb[1]')} >= 0.8 THEN s3 ELSE 1e-9 END AS sc, (SELECT ok FROM sup) AS ok FROM lc l JOIN q ON q.ord = l.q_ord",
+    t1=stage_sql(1, "sc", 0.5, "ok", "st"))
+
+
+@query("f17_style_supported_calibration", with_ctes("o q g p r d", f"SELECT q_ord, round(c1, 6) AS confidence, c1 >= {B} AS accepted, ok AS supported FROM t1", **STYLED))
 def f17(spark, sf_dir):
     """Supplement used only if the gallery looks like a known style and the query agrees."""
     q, g = sides(spark, sf_dir)
@@ -295,15 +302,19 @@ def f17(spark, sf_dir):
     supported = (mean >= 0.8) & (gate.scalar() <= 25.0)
     e = legacy(evidence_table(spark, sf_dir)).join(prob(desc(q)).select(F.col("ord").alias("q_ord"), "style"), "q_ord").withColumn("supported", supported)
     score = F.when(F.col("style") >= 0.8, F.col("s3")).otherwise(F.lit(0.0))
-    return policies.supplement(e, score, 0.5, B, F.col("supported")).select("q_ord", "confidence", "accepted", "supported")
+    return policies.supplement(e, score, 0.5, B, F.col("supported")).select("q_ord", r6("confidence"), "accepted", "supported")
+
+
+HYBRID = dict(ev=EV, lc=LEGACY, t1=stage_sql(1, "s1", 0.56, "true", "lc"), t2=stage_sql(2, "s3", 0.55, "true", "t1"), t3=stage_sql(3, "s2", 0.5, "true", "t2"))
 
 
-@query("f18_hybrid_fold")
+@query("f18_hybrid_fold", with_ctes("o q g p r d", f"""
+SELECT q_ord, round(c3, 6) AS confidence, c3 >= {B} AS accepted, CASE WHEN c0 >= {B} THEN 'base' WHEN c1 >= {B} THEN 'quality' WHEN c2 >= {B} THEN 'local' WHEN c3 >= {B} THEN 'tail' END AS accepted_by FROM t3""", **HYBRID))
 def f18(spark, sf_dir):
     """Quality, then local, then tail: each only where the ones before refused."""
     stages = [policies.Stage("quality", lambda df: df.withColumn("score", F.col("s1")), 0.56), policies.Stage("local", lambda df: df.withColumn("score", F.col("s3")), 0.55),
               policies.Stage("tail", lambda df: df.withColumn("score", F.col("s2")), 0.5)]
-    return policies.run_chain(durable(legacy(evidence_table(spark, sf_dir)), "evidence"), stages, B).select("q_ord", "confidence", "accepted", "accepted_by")
+    return policies.run_chain(durable(legacy(evidence_table(spark, sf_dir)), "evidence"), stages, B).select("q_ord", r6("confidence"), "accepted", "accepted_by")
 
 
 @query("f19_trained_heads")

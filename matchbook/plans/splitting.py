@@ -10,6 +10,7 @@ from matchbook.operators import splits
 from matchbook.operators.similarity import CAMERA, Plan, nearest
 from matchbook.plans.registry import query, with_ctes
 from matchbook.plans.searching import sides
+from matchbook.session import durable
 
 H = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 IDS = """SELECT vehicle_id, row_number() OVER (ORDER BY """ + H.format("'{seed}:' || vehicle_id") + """, vehicle_id) AS rank, count(*) OVER () AS total
@@ -79,6 +80,35 @@ def d7(spark, sf_dir):
     return splits.identity_batches(gallery_side(spark, sf_dir), 4, 3, 10, 0)
 
 
+BATCH_SQL = """SELECT {n}::BIGINT AS n_batches, 4::BIGINT AS identities, {k}::BIGINT AS slots, true AS rows_own_identity, true AS repeats_only_if_short
+FROM (SELECT count(DISTINCT vehicle_id) AS v FROM g) WHERE v >= 4"""
+
+
+def batch_facts(spark, sf_dir, k: int, by_camera: bool):
+    """What every dealt batch must satisfy, as one row."""
+    g = gallery_side(spark, sf_dir)
+    b = durable(splits.identity_batches(g, 4, k, 10, 0, by_camera=by_camera), "batches")
+    sizes = g.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("held"))
+    own = g.select("ord", F.col("vehicle_id").alias("true_id"))
+    per = b.join(own, "ord").groupBy("batch", "vehicle_id").agg(
+        F.count(F.lit(1)).alias("slots"), F.countDistinct("ord").alias("rows"), F.min((F.col("true_id") == F.col("vehicle_id")).cast("int")).alias("own")).join(sizes, "vehicle_id")
+    whole = per.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("ids"), F.min("slots").alias("lo"), F.max("slots").alias("hi"), F.min("own").alias("own"),
+        F.min((F.col("rows") == F.least(F.lit(k), F.col("held"))).cast("int")).alias("full"))
+    return whole.agg(F.count(F.lit(1)).alias("n_batches"), F.max("ids").cast("long").alias("identities"), F.when(F.min("lo") == F.max("hi"), F.max("hi")).cast("long").alias("slots"),
+                     (F.min("own") == 1).alias("rows_own_identity"), (F.min("full") == 1).alias("repeats_only_if_short"))
+
+
+@query("d7_batch_invariants", with_ctes("o g", BATCH_SQL.format(n=10, k=3)))
+def d7_facts(spark, sf_dir):
+    return batch_facts(spark, sf_dir, 3, False)
+
+
+@query("d8_batch_invariants", with_ctes("o g", BATCH_SQL.format(n=10, k=4)))
+def d8_facts(spark, sf_dir):
+    return batch_facts(spark, sf_dir, 4, True)
+
+
 @query("d8_camera_aware_batches")
 def d8(spark, sf_dir):
     return splits.identity_batches(gallery_side(spark, sf_dir), 4, 4, 10, 0, by_camera=True)
