@@ -44,10 +44,10 @@ def p1(spark, sf_dir):
 @query("p2_id_validity", r"""
 SELECT doc_id, part, length(s) BETWEEN 1 AND 128 AND s = regexp_replace(s, '^\s+|\s+$', '', 'g') AND s NOT IN ('.', '..')
        AND NOT regexp_matches(s, '[\p{Cc}\p{Cf}/\\]') AS valid FROM (
-  SELECT doc_id, unnest(['text', 'source', 'head']) AS part, unnest([text, source, substr(text, 1, 20)]) AS s FROM documents WHERE text IS NOT NULL)""")
+  SELECT doc_id, unnest(['text', 'source']) AS part, unnest([text, source]) AS s FROM documents WHERE text IS NOT NULL)""")
 def p2(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", "source", F.substring("text", 1, 20).alias("head"))
-    return d.unpivot(["doc_id"], ["text", "source", "head"], "part", "s").select("doc_id", "part", valid_id(F.col("s")).alias("valid"))
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", "source")
+    return d.unpivot(["doc_id"], ["text", "source"], "part", "s").select("doc_id", "part", valid_id(F.col("s")).alias("valid"))
 
 
 @query("p3_vector_validity", """

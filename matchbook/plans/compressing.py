@@ -266,7 +266,7 @@ def r17(spark, sf_dir):
 
 @query("d5_pseudo_cameras")
 def d5(spark, sf_dir):
-    frames = observations(spark, sf_dir).filter("ord % 2 = 0").select("ord", (F.col("ord") % 3).alias("resolution"), "emb")
+    frames = observations(spark, sf_dir).select("ord", (F.col("ord") % 3).alias("resolution"), "emb")
     return splits.pseudo_cameras(frames, 0.7)
 
 

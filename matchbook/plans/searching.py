@@ -80,7 +80,7 @@ def j5_ids(spark, sf_dir):
     return within(q, g, TAU).select("q_ord", "g_ord", r6("sim"))
 
 
-def joint_candidates(spark, sf_dir, tau=0.05, group=3):
+def joint_candidates(spark, sf_dir, tau=0.15, group=3):
     """Tracks are runs of three consecutive queries; candidates lie in every member's radius."""
     q, g = sides(spark, sf_dir)
     hits = within(q, g, tau).withColumn("track", F.expr(f"q_ord div {5 * group}"))
@@ -90,7 +90,7 @@ def joint_candidates(spark, sf_dir, tau=0.05, group=3):
 
 
 JOINT_SQL = dict(
-    h="SELECT q_ord // 15 AS track, g_ord, count(*) AS seen FROM p WHERE sim >= 0.05 GROUP BY ALL",
+    h="SELECT q_ord // 15 AS track, g_ord, count(*) AS seen FROM p WHERE sim >= 0.15 GROUP BY ALL",
     m="SELECT ord // 15 AS track, count(*) AS m FROM q GROUP BY ALL",
     c="SELECT m.track, m.m, count(h.g_ord) AS n_cand FROM m LEFT JOIN h ON h.track = m.track AND h.seen = m.m GROUP BY ALL",
 )

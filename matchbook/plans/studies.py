@@ -239,7 +239,7 @@ def a27(spark, sf_dir):
 
 BOOT = {
     "i{n}": "SELECT vehicle_id, row_number() OVER (ORDER BY vehicle_id) - 1 AS slot, count(*) OVER () AS total, s, c FROM (SELECT vehicle_id, sum(delta) AS s, count(*) AS c FROM {src} GROUP BY vehicle_id)",
-    "w{n}": "SELECT b, " + H.format("'0:' || b || ':' || slot") + " % total AS slot FROM i{n} JOIN (SELECT unnest(range(0, 200)) AS b) ON true",
+    "w{n}": "SELECT b, " + H.format("'0:' || b || ':' || slot") + " % total AS slot FROM i{n} JOIN (SELECT unnest(range(0, 2000)) AS b) ON true",
     "v{n}": "SELECT w{n}.b, sum(s) / sum(c) AS v FROM w{n} JOIN i{n} ON i{n}.slot = w{n}.slot GROUP BY w{n}.b",
     "z{n}": """SELECT (SELECT avg(delta) FROM {src}) AS mean_drop, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high,
                (SELECT count(*) FROM {src}) AS n_queries, (SELECT count(DISTINCT vehicle_id) FROM {src}) AS n_identities FROM v{n}""",
@@ -274,7 +274,7 @@ def ap_variants(spark, sf_dir) -> DataFrame:
 
 
 def drop_row(v: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    out = bootstrap.paired_drop(v.select("vehicle_id", (F.col(a) - F.col(b)).alias("delta")), 200)
+    out = bootstrap.paired_drop(v.select("vehicle_id", (F.col(a) - F.col(b)).alias("delta")), 2000)
     return out.select(F.lit(name).alias("effect"), r6("mean_drop"), r6("ci_low"), r6("ci_high"), "n_queries", "n_identities")
 
 
