@@ -8,24 +8,23 @@ from pyspark.sql import functions as F
 from matchbook.llm.base import stored
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other, which points to none: each star is then a component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    per = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per.filter("out > 1 or (out = 1 and into = 1)").limit(1).count() == 0
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links`` (a, b longs): the smallest node reachable.
 
-    Alternates two steps until the links stop changing, which takes about log(n) rounds: every
+    Alternates two steps until all links form stars, which takes about log(n) rounds: every
     node hands its larger neighbours, then its smaller ones, to the smallest node next to it. No
     step holds the neighbours of a node together; minima are combined before the shuffle.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    before = None
-    while True:
-        now = _fingerprint(edges)
-        if now == before or not now[0]:
-            break
-        before = now
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = stored(both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")

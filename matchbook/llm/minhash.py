@@ -4,12 +4,13 @@ A table key joins one of GROUPS left groups with one of GROUPS right groups, eac
 so GROUPS**2 tables need 4 * GROUPS minima instead of 4 * GROUPS**2. Documents that meet in a
 table are candidates; a link is confirmed on the full shingle sets.
 
-Documents with equal sets are one node. In a table bucket every node is compared with the
-bucket's least node and then with another of its nodes, which costs one comparison per node and
-joins almost all of a group. What is left are buckets whose nodes are still in different
-components: only pairs across components, of sizes that allow a link, are compared there, all of
-them. So a link between components is never missed inside a bucket, and a group of near copies
-does not make all its pairs.
+Documents with equal sets are one node. In two rounds every node is compared with one hub: the
+node of its buckets that meets most others, in the second round one of another component. That is
+one comparison per node and joins almost all of a group of near copies. What is left are buckets
+whose nodes are still in different components. There a node's shingles that no other such node has
+bound every similarity it can reach; nodes and pairs whose bound is too low are left out, all
+others across components are compared on their full sets. So no link between components is missed
+inside a bucket, and a group of near copies does not make all its pairs.
 """
 
 from __future__ import annotations
@@ -107,6 +108,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(two.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long"), "near-links")
 
 
+def _with_popularity(members: DataFrame) -> DataFrame:
+    """Add ``met``: how many bucket mates a node has over all its buckets."""
+    size = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "bucket-sizes")
+    met = stored(members.join(size, "key").groupBy("node").agg(F.sum("size").alias("met")), "met")
+    return stored(members.join(met, "node"), "members")
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets whose nodes are in different components, with their component."""
+    joined = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return stored(_spanning(stored(joined, "placed")), "open")
+
+
+def _spanning(rows: DataFrame) -> DataFrame:
+    per = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") < F.col("hi"))
+    return rows.join(stored(per.select("key"), "apart"), "key")
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """One pair (a, b) per node: the hub of its buckets that meets most others, if of another component."""
+    hub = stored(rows.groupBy("key").agg(F.max(F.struct("met", "node", "component")).alias("hub")), "hubs")
+    other = rows.join(hub, "key").filter(F.col("hub.component") != F.col("component"))
+    return other.groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.frombuffer(s.as_buffer(), "<i8") for s in batch.column("shingles")]
+        node = np.repeat(batch.column("node").to_numpy(), [len(f) for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["node", "shingle"])
+
+
+def _across(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) across the components of a bucket whose similarity can be high enough.
+
+    With ``own`` shingles that no other node here has, at most n - own are shared, so against a
+    node of m shingles at most min(n - own, m) / (own + m) is reached.
+    """
+    here = sets.join(rows.select("node").distinct(), "node")
+    each = here.mapInArrow(_each_shingle, "node long, shingle long")
+    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    known = rows.join(stored(own, "own-shingles"), "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    known = stored(known.select("key", "node", "n", "component", "shared"), "bounded")
+    least = stored(known.groupBy("key").agg(F.min("n").alias("least")), "least-sizes")
+    able = known.join(least, "key").filter(100 * F.col("shared") >= PERCENT * (F.col("n") - F.col("shared") + F.greatest("least", "shared")))
+    able = stored(_spanning(stored(able.drop("least"), "able")), "able")
+    side = lambda p: able.select("key", *[F.col(c).alias(p + c) for c in ("node", "n", "component", "shared")])
+    most = F.least("a_shared", "b_shared")
+    pairs = side("a_").join(side("b_"), "key").filter((F.col("a_component") < F.col("b_component")) & (100 * most >= PERCENT * (F.col("a_n") + F.col("b_n") - most)))
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -124,24 +177,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = F.posexplode(F.slice("keys", GROUPS + 1, GROUPS)).alias("j", "y")
     table = nodes.select("node", "keys", "n", left).select("node", "n", "i", "x", right).select("node", F.col("n").cast("int").alias("n"), F.xxhash64("i", "j", "x", "y").alias("key"))
     met = table.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") < F.col("last"))
-    members = stored(table.join(stored(met, "buckets"), "key"), "members")
+    members = _with_popularity(stored(table.join(stored(met, "buckets"), "key").select("key", "node", "n"), "members"))
     wanted = members.select("node").distinct()
     held = texts.withColumnRenamed("doc_id", "node").join(wanted, "node")
     sets = stored(held.mapInArrow(_sets, "node long, shingles binary").distinct(), "sets")
-    star = lambda df, hub: df.filter(F.col(hub) != F.col("node")).select(F.col(hub).alias("a"), F.col("node").alias("b"))
-    links = _confirmed(star(members, "first").distinct(), sets)
-    for last in (False, True):
-        joined = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-        open_ = stored(joined.join(stored(apart, "apart"), "key"), "open")
-        if last:
-            side = lambda p: open_.select("key", *[F.col(c).alias(p + c) for c in ("node", "n", "component")])
-            across = side("a_").join(side("b_"), "key").filter(
-                (F.col("a_component") < F.col("b_component")) & (100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")))
-            pairs = across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-        else:
-            pairs = star(open_, "last").distinct()
-        links = stored(links.unionByName(_confirmed(pairs, sets)), "near-links")
+    links = _confirmed(_hubs(members.withColumn("component", F.col("node"))), sets)
+    links = stored(links.unionByName(_confirmed(_hubs(_open(members, links)), sets)), "near-links")
+    rest = _across(_open(members, links), sets)
+    links = stored(links.unionByName(_confirmed(rest, sets)), "near-links")
     found = components(links).withColumnRenamed("node", "own")
     named = stored(groups.select(*same, F.col("node").alias("rep")).join(found, F.col("rep") == F.col("own"), "left").select(
         *same, F.coalesce("component", "rep").alias("component_id")), "components")
