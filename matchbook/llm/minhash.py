@@ -4,12 +4,13 @@ A table key joins one of GROUPS left groups with one of GROUPS right groups, eac
 so GROUPS**2 tables need 4 * GROUPS minima instead of 4 * GROUPS**2. Documents that meet in a
 table are candidates; a link is confirmed on the full shingle sets.
 
-Documents with equal sets are one node. In two rounds every node is compared with one hub: the
-node of its buckets that meets most others, in the second round one of another component. That is
+Documents with equal sets are one node. In two rounds every node is compared with one hub: a
+node that meets many others and that it meets in most buckets, in the second round one of another
+component. That is
 one comparison per node and joins almost all of a group of near copies. What is left are buckets
 whose nodes are still in different components. There a node's shingles that no other such node has
 bound every similarity it can reach; nodes and pairs whose bound is too low are left out, all
-others across components are compared on their full sets. So no link between components is missed
+others across components are compared on their full sets, block by block and without rows per pair. So no link between components is missed
 inside a bucket, and a group of near copies does not make all its pairs.
 """
 
@@ -18,17 +19,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.base import stored
+from matchbook.llm.base import shards_for, stored
 from matchbook.llm.links import components
 from matchbook.llm.words import LOWER, grams, hashes, mix, rounds, spans, window_starts
 
 SHINGLE = 4
 GROUPS = 10
 PERCENT = 80
+#: Nodes of a block in the comparison of open buckets.
+TILE_NODES = 1024
 _MULS = [int(x) | 1 for x in np.random.default_rng(77).integers(1 << 32, 1 << 63, 4 * GROUPS)]
 
 
@@ -127,10 +131,14 @@ def _spanning(rows: DataFrame) -> DataFrame:
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
-    """One pair (a, b) per node: the hub of its buckets that meets most others, if of another component."""
+    """One pair (a, b) per node: the hub that it meets in most buckets, of those in other components.
+
+    The hub of a bucket is the node that meets most others over all buckets.
+    """
     hub = stored(rows.groupBy("key").agg(F.max(F.struct("met", "node", "component")).alias("hub")), "hubs")
     other = rows.join(hub, "key").filter(F.col("hub.component") != F.col("component"))
-    return other.groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    often = other.groupBy("node", F.col("hub.node").alias("a")).agg(F.count(F.lit(1)).alias("times"), F.max("hub.met").alias("met"))
+    return often.groupBy("node").agg(F.max(F.struct("times", "met", "a")).alias("best")).select("best.a", F.col("node").alias("b"))
 
 
 def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +148,8 @@ def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["node", "shingle"])
 
 
-def _across(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) across the components of a bucket whose similarity can be high enough.
+def _able(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of open buckets that can reach a node of another component there: key, node, n, component, shared.
 
     With ``own`` shingles that no other node here has, at most n - own are shared, so against a
     node of m shingles at most min(n - own, m) / (own + m) is reached.
@@ -153,11 +161,80 @@ def _across(rows: DataFrame, sets: DataFrame) -> DataFrame:
     known = stored(known.select("key", "node", "n", "component", "shared"), "bounded")
     least = stored(known.groupBy("key").agg(F.min("n").alias("least")), "least-sizes")
     able = known.join(least, "key").filter(100 * F.col("shared") >= PERCENT * (F.col("n") - F.col("shared") + F.greatest("least", "shared")))
-    able = stored(_spanning(stored(able.drop("least"), "able")), "able")
-    side = lambda p: able.select("key", *[F.col(c).alias(p + c) for c in ("node", "n", "component", "shared")])
-    most = F.least("a_shared", "b_shared")
-    pairs = side("a_").join(side("b_"), "key").filter((F.col("a_component") < F.col("b_component")) & (100 * most >= PERCENT * (F.col("a_n") + F.col("b_n") - most)))
-    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return stored(_spanning(stored(able.drop("least"), "able")), "able")
+
+
+def _tile_links(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of two blocks: those that share a bucket, lie in different components and reach the bound."""
+    cand = np.zeros((len(left), len(right)), bool)
+    at: dict[int, list[int]] = {}
+    for j, keys in enumerate(right["keys"]):
+        for k in keys:
+            at.setdefault(k, []).append(j)
+    for i, keys in enumerate(left["keys"]):
+        for k in keys:
+            if k in at:
+                cand[i, at[k]] = True
+    column = lambda t, c: t[c].to_numpy()
+    n, m = column(left, "n")[:, None], column(right, "n")[None, :]
+    most = np.minimum(column(left, "shared")[:, None], column(right, "shared")[None, :])
+    cand &= (column(left, "component")[:, None] != column(right, "component")[None, :]) & (100 * most >= PERCENT * (n + m - most))
+    if same:
+        cand &= column(left, "node")[:, None] < column(right, "node")[None, :]
+    found: tuple[list, list] = ([], [])
+    sets = [[np.frombuffer(x, "<u8") for x in t["shingles"]] for t in (left, right)]
+    codes = np.unique(np.concatenate(sets[1])) if len(sets[1]) else np.empty(0, "<u8")
+    size = np.array([len(x) for x in sets[1]], np.int64)
+    flat = np.searchsorted(codes, np.concatenate(sets[1]))
+    for i in np.flatnonzero(cand.any(axis=1)):
+        here = np.zeros(len(codes) + 1, np.int64)
+        place = np.searchsorted(codes, sets[0][i])
+        hit = place[(place < len(codes)) & (codes[np.minimum(place, len(codes) - 1)] == sets[0][i])]
+        here[hit] = 1
+        both = np.add.reduceat(here[flat], np.cumsum(size) - size)
+        linked = np.flatnonzero(cand[i] & (100 * both >= PERCENT * (len(sets[0][i]) + size - both)))
+        found[0].extend([column(left, "node")[i]] * len(linked))
+        found[1].extend(column(right, "node")[linked])
+    return np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+
+def _compare_tiles(rows: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for _, part in rows.groupby("tile", sort=False):
+        same = (part["side"] == 2).any()
+        left, right = (part, part) if same else (part[part["side"] == 0], part[part["side"] == 1])
+        if len(left) and len(right):
+            out.append(_tile_links(left, right, bool(same)))
+    a, b = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in (0, 1))
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _links_across(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links (a, b) across the components of a bucket.
+
+    Nodes are laid in blocks of about TILE_NODES by the least node that they meet in most buckets.
+    Two blocks that share a bucket are compared in one task, which emits links only; a node's set
+    is sent once per such pair of blocks.
+    """
+    able = _able(rows, sets)
+    lead = stored(able.groupBy("key").agg(F.min("node").alias("lead")), "leads")
+    often = able.join(lead, "key").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("times"))
+    home = often.groupBy("node").agg(F.max(F.struct("times", -F.col("lead"), "lead")).alias("best")).select("node", "best.lead")
+    home = stored(home, "homes")
+    parts = stored(home.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / TILE_NODES).alias("parts")), "home-sizes")
+    home = home.join(parts, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    home = stored(home, "blocks")
+    first = lambda c: F.first(c).alias(c)
+    nodes = able.groupBy("node").agg(first("n"), first("component"), first("shared"), F.collect_set("key").alias("keys"))
+    nodes = stored(nodes.join(home, "node").join(sets, "node"), "block-nodes")
+    touched = stored(able.join(home, "node").select("key", "block").distinct(), "bucket-blocks")
+    tiles = touched.select("key", F.col("block").alias("x")).join(touched.select("key", F.col("block").alias("y")), "key").filter("x <= y").select("x", "y").distinct()
+    tiles = stored(tiles.withColumn("tile", F.xxhash64("x", "y")), "tiles")
+    columns = ["node", "n", "component", "shared", "keys", "shingles"]
+    sent = nodes.join(tiles, nodes["block"] == tiles["x"]).select(*columns, "tile", F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side")).unionByName(
+        nodes.join(tiles.filter("x <> y"), nodes["block"] == tiles["y"]).select(*columns, "tile", F.lit(1).alias("side")))
+    shards = shards_for(nodes.count(), TILE_NODES)
+    return sent.withColumn("shard", F.pmod("tile", F.lit(shards))).groupBy("shard").applyInPandas(_compare_tiles, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,8 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(held.mapInArrow(_sets, "node long, shingles binary").distinct(), "sets")
     links = _confirmed(_hubs(members.withColumn("component", F.col("node"))), sets)
     links = stored(links.unionByName(_confirmed(_hubs(_open(members, links)), sets)), "near-links")
-    rest = _across(_open(members, links), sets)
-    links = stored(links.unionByName(_confirmed(rest, sets)), "near-links")
+    links = stored(links.unionByName(_links_across(_open(members, links), sets)), "near-links")
     found = components(links).withColumnRenamed("node", "own")
     named = stored(groups.select(*same, F.col("node").alias("rep")).join(found, F.col("rep") == F.col("own"), "left").select(
         *same, F.coalesce("component", "rep").alias("component_id")), "components")
