@@ -94,7 +94,10 @@ def locate(words: list[list[bytes]], phrases: dict[bytes, int]) -> list[np.ndarr
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows on recurring anchors: anchor, common, id, seq, first start, hashes of consecutive windows."""
+    """Stretches of windows on recurring anchors: anchor, common, id, seq, first starts, hashes of the windows.
+
+    Equal stretches of one document (a repeated word makes thousands) are one row with all starts.
+    """
     names = ["anchor", "common", "id", "seq", "lo", "windows"]
     for batch in batches:
         ids = batch.column("id").to_numpy()
@@ -124,13 +127,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.append(cut, len(window))
             often = np.unique(np.array([x for k in common[begin:end] for x in k], np.int64))
             key = _i64(g[anchor[cut]])
+            content = np.add.reduceat(mix(value), cut) + np.diff(bounds).astype(np.uint64)
+            _, one, of = np.unique(mix(content ^ mix(key.view(np.uint64))) + mix(row[cut].astype(np.uint64)), return_index=True, return_inverse=True)
+            begins = (window[cut] - first[row[cut]])[np.argsort(of, kind="stable")]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of))).astype(np.int32)), pa.array(begins))
             yield pa.RecordBatch.from_arrays([
-                pa.array(key), pa.array(np.isin(key, often)), pa.array(ids[begin + row[cut]]), pa.array(seq[row[cut]]), pa.array(window[cut] - first[row[cut]]),
-                pa.array([value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names)
+                pa.array(key[one]), pa.array(np.isin(key[one], often)), pa.array(ids[begin + row[cut[one]]]), pa.array(seq[row[cut[one]]]), lists,
+                pa.array([value[bounds[i] : bounds[i + 1]].tobytes() for i in one], pa.binary())], names)
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs of windows that also start in a smaller document, within one shard of anchors."""
+    """Runs of windows (from the starts ``lo``) that also start in a smaller document, within one shard of anchors."""
     size = rows["windows"].str.len().to_numpy() // 8
     at = np.repeat(np.arange(len(rows)), size)
     inside = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
@@ -146,8 +153,8 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     begin = np.flatnonzero(head)
     stop = np.append(begin[1:], len(on)) - 1 if len(on) else begin
     row = at[on[begin]]
-    lo = rows["lo"].to_numpy()[row]
-    return pd.DataFrame({"id": rows["id"].to_numpy()[row], "seq": rows["seq"].to_numpy()[row], "from": lo + inside[on[begin]], "to": lo + inside[on[stop]] + WINDOW})
+    return pd.DataFrame({
+        "id": rows["id"].to_numpy()[row], "seq": rows["seq"].to_numpy()[row], "from": inside[on[begin]], "to": inside[on[stop]] + WINDOW, "lo": rows["lo"].to_numpy()[row]})
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +166,7 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
         yield pa.RecordBatch.from_arrays([
             pa.array(t["anchor"].to_numpy()[at]), pa.array(np.frombuffer(b"".join(t["windows"]), "<i8")), pa.array(t["id"].to_numpy()[at]), pa.array(t["seq"].to_numpy()[at]),
-            pa.array(t["lo"].to_numpy()[at] + inside)], ["anchor", "value", "id", "seq", "at"])
+            pa.array(inside), batch.column("lo").take(pa.array(at))], ["anchor", "value", "id", "seq", "at", "lo"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +184,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = whole[offsets[r] : offsets[r + 1]].split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 for run in runs[begin + r]:
-                    edge[run["from"]] += 1
-                    edge[run["to"]] -= 1
+                    lo = np.array(run["lo"], np.int64)
+                    np.add.at(edge, lo + run["from"], 1)
+                    np.add.at(edge, lo + run["to"], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 change = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
@@ -208,14 +216,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = sole.join(recurring, "anchor").groupBy("id").agg(
         F.collect_set("anchor").alias("known"), F.collect_set(F.when(F.col("n") > COMMON, F.col("anchor"))).alias("common"))
     held = stored(texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(known, "id"), "holders")
-    found = stored(held.mapInArrow(_windows, "anchor long, common boolean, id long, seq long, lo long, windows binary"), "windows")
+    found = stored(held.mapInArrow(_windows, "anchor long, common boolean, id long, seq long, lo array<long>, windows binary"), "windows")
     usual = found.filter(~F.col("common"))
     shards = shards_for(found.count(), SHARD_ROWS)
-    runs = usual.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_compare, "id long, seq long, from long, to long")
-    single = stored(found.filter("common").mapInArrow(_single, "anchor long, value long, id long, seq long, at long"), "common")
+    runs = usual.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_compare, "id long, seq long, from long, to long, lo array<long>")
+    single = stored(found.filter("common").mapInArrow(_single, "anchor long, value long, id long, seq long, at long, lo array<long>"), "common")
     least = stored(single.groupBy("anchor", "value").agg(F.min("id").alias("least")), "common-least")
-    often = single.join(least, ["anchor", "value"]).filter(F.col("id") > F.col("least")).select("id", "seq", F.col("at").alias("from"), (F.col("at") + WINDOW).alias("to"))
-    merged = runs.unionByName(often).groupBy("id", "seq").agg(F.collect_set(F.struct("from", "to")).alias("runs"))
+    often = single.join(least, ["anchor", "value"]).filter(F.col("id") > F.col("least")).select("id", "seq", F.col("at").alias("from"), (F.col("at") + WINDOW).alias("to"), "lo")
+    merged = runs.unionByName(often).groupBy("id", "seq").agg(F.collect_set(F.struct("from", "to", "lo")).alias("runs"))
     cut = held.select("id", "text").join(merged, "id").mapInArrow(_cut, "id long, seq long, n_removed long, sha string, spans array<array<long>>").distinct()
     everything = F.array(F.array(F.lit(0).cast("long"), F.col("n_words")))
     copy = (F.col("id") > F.col("least")) & (F.col("n_words") >= WINDOW)
