@@ -10,38 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.llm import exact, minhash, mixing, op9, quality
-from matchbook.llm.base import crc_mod, stored, table
-from matchbook.session import ship
+from matchbook.llm.base import crc_mod, prepare, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, accepts."""
-    ship(spark)
+    prepare(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 4) != 2)
     return quality.keep_good(docs, model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    ship(spark)
+    prepare(spark)
     return exact.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    ship(spark)
+    prepare(spark)
     return minhash.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' words as the mix takes them, once per pass over their source."""
-    ship(spark)
+    prepare(spark)
     return mixing.mix_texts(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences; a document taken in several passes has pieces for each."""
-    ship(spark)
+    prepare(spark)
     return op9.packed(docs)
 
 

@@ -20,13 +20,25 @@ ORACLES: dict[str, str] = {}
 BUCKET_ROWS = 1 << 15
 
 
+#: Rows of whole texts that travel to a Python worker at once.
+ARROW_ROWS = 2048
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable in workers and bound the texts that one Arrow batch holds."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def query(name: str, sql: str | None = None):
     """Register a query of this folder; ``sql`` is its definition over the same tables."""
 
     def add(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

@@ -22,7 +22,7 @@ from matchbook.llm.words import hashes, rounds, spans
 SEQUENCE = 2048
 END_ID = 1
 #: Words kept per Python worker, words sent to the tokenizer as one input, bytes per round.
-CACHE_WORDS, GROUP, ROUND = 300_000, 64, 4 << 20
+CACHE_WORDS, GROUP, ROUND = 150_000, 64, 4 << 20
 
 #: Fixed values of the vocabulary: how it cuts a lower-cased word, and its names of bytes (those
 #: that print are themselves, the others follow from 256 on).

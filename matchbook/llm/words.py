@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one round of array work takes (a longer text is a round of its own).
 ROUND_BYTES = 1 << 20
+SLICE_ROWS = 1024
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,20 +48,22 @@ def _powers(mul: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rounds(column: pa.Array, limit: int = ROUND_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows: first row, end row, their bytes, and the offsets of the rows in them. Null is empty."""
+    """Runs of rows: first row, end row, their bytes, and the offsets of the rows in them. Null is empty.
+
+    Only SLICE_ROWS rows at a time are brought into one buffer.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    first = 0
-    while first < len(column):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
-        first = end
+    for base in range(0, len(column), SLICE_ROWS):
+        part = pc.fill_null(column.slice(base, SLICE_ROWS).cast(pa.large_string()), "")
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+        first = 0
+        while first < len(part):
+            end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+            yield base + first, base + end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+            first = end
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
