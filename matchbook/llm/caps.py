@@ -8,15 +8,17 @@ the height are dropped, and the rest is met in the middle. Vectors that share a
 compared: first by half-precision copies, whose inner products are off by less than SLACK, and
 where that leaves the decision open by the full vectors in double precision.
 
-The number of directions grows with the number of vectors and the height follows from it, so a
-filter holds about as many vectors at every size while the lists stay LIST entries long.
+The number of directions grows with the number of vectors of a dimension, so a filter holds about
+as many vectors at every size. The height is where random vectors pass LIST filters of this very
+code, and a pair just similar enough is missed by a code with a probability that is measured on
+random pairs (it depends on the cosine alone, since the rotation is random). Codes are added until
+all of them miss such a pair with a probability of at most MISS.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,10 @@ from matchbook.llm.base import shards_for, stored
 from matchbook.llm.links import components
 
 COSINE = 0.9
-#: Expected filters per vector, blocks of a direction, and independent codes.
-LIST, BLOCKS, CODES = 24, 2, 4
+#: Expected filters per vector and code, and blocks of a direction.
+LIST, BLOCKS = 24, 2
+#: Largest probability that a pair at COSINE shares no filter, and random pairs it is measured on.
+MISS, TRIALS = 1e-4, 1000
 #: More than the error of an inner product of two unit vectors rounded to 11 significant bits.
 SLACK = 0.002
 #: Entries per shard, and vectors of one filter from which it is cut into tiles.
@@ -38,30 +42,72 @@ SEED = 19
 
 
 class Code:
-    """One random product code for vectors of ``dim`` coordinates."""
+    """One random product code for vectors of ``dim`` coordinates; without a height it measures its own."""
 
-    def __init__(self, dim: int, vectors: int, number: int):
+    def __init__(self, dim: int, vectors: int, number: int, height: float | None = None):
         self.blocks = min(BLOCKS, dim)
         self.size = max(3, math.ceil(max(1, vectors) ** (1 / self.blocks)))
-        filters = float(self.size) ** self.blocks
-        self.height = NormalDist().inv_cdf(1 - min(0.5, LIST / filters)) / math.sqrt(dim)
         rng = np.random.default_rng([SEED, number, dim])
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.edges = np.linspace(0, dim, self.blocks + 1).astype(int)
         self.words = []
         for a, b in zip(self.edges[:-1], self.edges[1:]):
-            w = rng.normal(size=(self.size, b - a))
+            w = rng.normal(size=(self.size, b - a)) if b - a > 1 else np.array([[1.0], [-1.0]])
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / math.sqrt(self.blocks))
 
-    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and filter number of every filter that a row of ``unit`` passes."""
+        self.miss = None
+        if height is None:
+            self._tune(rng)
+        else:
+            self.height = height
+
+    def _tune(self, rng: np.random.Generator) -> None:
+        """Height at which random vectors pass LIST filters, and the share of pairs at COSINE that share none.
+
+        A code that misses most pairs gets longer lists.
+        """
+        x, off = rng.normal(size=(2, TRIALS, self.edges[-1]))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        off -= (off * x).sum(axis=1, keepdims=True) * x
+        y = COSINE * x + math.sqrt(1 - COSINE**2) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)  # of one coordinate: x itself
+        filters = math.prod(len(w) for w in self.words)
+        left, right = self._sums(x[: max(20, min(200, 4_000_000 // self.size))])
+        right.sort(axis=1)
+        wanted = LIST
+        while True:
+            low, high = -1.0, 1.0
+            for _ in range(24):
+                middle = (low + high) / 2
+                passed = np.mean([right.shape[1] * len(a) - np.searchsorted(b, middle - a).sum() for a, b in zip(left, right)])
+                low, high = (middle, high) if passed >= min(wanted, filters / 2) else (low, middle)
+            self.height = low
+            (i, f), (j, g) = self.decode(x), self.decode(y)
+            met = np.unique(np.intersect1d(i * filters + f, j * filters + g) // filters)
+            self.miss = (TRIALS - len(met) + 1) / (TRIALS + 1)
+            if self.miss <= 0.5 or wanted >= filters / 2:
+                return
+            wanted *= 2
+
+    def _sums(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products of rows with the words of the left and of the right blocks."""
         x = unit @ self.rotation
         sums = [x[:, a:b] @ w.T for a, b, w in zip(self.edges[:-1], self.edges[1:], self.words)]
         half = max(1, self.blocks // 2)
-        left, right = self._outer(sums[:half]), self._outer(sums[half:])
+        return self._outer(sums[:half]), self._outer(sums[half:]) if sums[half:] else np.zeros((len(x), 1))
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and filter number of every filter that a row of ``unit`` passes."""
+        step = max(1, min(1000, 4_000_000 // self.size))
+        parts = [self._decode(unit[at : at + step]) for at in range(0, len(unit), step)]
+        rows = [row + at * step for at, (row, _) in enumerate(parts)]
+        return np.concatenate([np.empty(0, np.int64), *rows]), np.concatenate([np.empty(0, np.int64), *[found for _, found in parts]])
+
+    def _decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = self._sums(unit)
         width = right.shape[1]
         rows, found = [], []
-        for i in range(len(x)):
+        for i in range(len(unit)):
             best_l, best_r = left[i].max(), right[i].max()
             a = np.flatnonzero(left[i] >= self.height - best_r)
             b = np.flatnonzero(right[i] >= self.height - best_l)
@@ -80,14 +126,22 @@ class Code:
 
     @staticmethod
     def _outer(sums: list[np.ndarray]) -> np.ndarray:
-        if not sums:
-            return np.zeros((0, 1))
         out = sums[0]
         for s in sums[1:]:
             out = (out[:, :, None] + s[:, None, :]).reshape(len(out), -1)
         return out
 
 
+def heights(dim: int, vectors: int) -> list[float]:
+    """Heights of as many codes as it takes to miss a pair at COSINE with a probability of at most MISS."""
+    out, miss = [], 1.0
+    while miss > MISS:
+        code = Code(dim, vectors, len(out))
+        out.append(code.height)
+        miss *= code.miss
+    return out
+
+
 def _matrix(vectors) -> np.ndarray:
     """Unit vectors of one dimension as rows, in double precision."""
     x = np.array([np.asarray(v, np.float64) for v in vectors])
@@ -139,19 +193,27 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v")), "vectors")
     nodes = stored(rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("v")), "nodes")
-    n = nodes.count()
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tuned = [heights(int(dim), int(n)) for dim, n in zip(batch["dim"], batch["n"])]
+            yield pd.DataFrame({"dim": batch["dim"], "n": batch["n"], "heights": tuned})
+
+    dims = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).mapInPandas(plan, "dim int, n long, heights array<double>")
+    tuned = {r["dim"]: (r["n"], r["heights"]) for r in dims.collect()}  # one row per dimension
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[tuple[int, int], Code] = {}
         for batch in batches:
             for dim, part in batch.groupby("dim"):
+                n, levels = tuned[dim]
                 for at in range(0, len(part), 1000):
                     some = part.iloc[at : at + 1000]
                     unit = _matrix(some["v"])
-                    for number in range(CODES):
-                        code = codes.setdefault((dim, number), codes.get((dim, number)) or Code(int(dim), n, number))
+                    for number, height in enumerate(levels):
+                        code = codes.setdefault((dim, number), codes.get((dim, number)) or Code(int(dim), n, number, height))
                         row, found = code.decode(unit)
-                        key = (found * CODES + number) * 4096 + (int(dim) % 4096)
+                        key = (found * len(levels) + number) * 4096 + (int(dim) % 4096)
                         yield pd.DataFrame({"key": key, "node": some["node"].to_numpy()[row], "v": [x.tobytes() for x in unit.astype("<f2")[row]]})
 
     entries = stored(nodes.select("node", "v", "dim").mapInPandas(decode, "key long, node long, v binary"), "filters")
