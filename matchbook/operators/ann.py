@@ -38,6 +38,17 @@ def fit_cells(g: DataFrame, n_cells: int, seed: int = 0) -> KMeansModel:
     return KMeans(k=max(2, n_cells), seed=seed, maxIter=10).fit(rows)
 
 
+#: Queries on which the number of probes is measured, and standard errors kept off the wanted recall.
+MEASURED, MARGIN = 256, 3.0
+
+
+def _cell_order(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Cells of each row of ``x`` from the nearest centre to the farthest."""
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    d = (centres**2).sum(axis=1)[None] - 2.0 * x @ centres.T
+    return np.argsort(d, axis=1, kind="stable")
+
+
 def _cells(df: DataFrame, model: KMeansModel, probes: int) -> DataFrame:
     """Rows with their ``probes`` nearest cells; the centres are a bounded k x D matrix."""
     centres = np.array(model.clusterCenters())
@@ -49,9 +60,7 @@ def _cells(df: DataFrame, model: KMeansModel, probes: int) -> DataFrame:
             if b.num_rows == 0:
                 continue
             x = b.column("emb").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            d = (centres**2).sum(axis=1)[None] - 2.0 * x @ centres.T
-            near = np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            near = _cell_order(x, centres)[:, :probes].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in names] + [pa.array(list(near), type=pa.list_(pa.int32()))], names=names + ["_cells"])
 
@@ -78,6 +87,29 @@ class CellIndex:
         for r in radius:
             self.radius[r["cell"]] = r["r"]
 
+    def probes_for(self, q: DataFrame, k: int, recall: float = 0.9, plan: Plan = Plan()) -> int:
+        """Fewest probes with which ``search`` finds this share of the true ``k`` neighbours.
+
+        The share is measured against exact search: on all queries up to MEASURED, beyond that on
+        as many of them, where MARGIN standard errors of the mean are kept as a distance.
+        """
+        total = q.count()
+        some = durable(q.orderBy(F.xxhash64("ord"), "ord").limit(MEASURED), "measured")
+        true = nearest(some, self.rows, k, plan).select("q_ord", "g_ord")
+        cells = true.join(self.rows.select(F.col("ord").alias("g_ord"), "cell"), "g_ord").select("q_ord", "cell").collect()  # k rows a query
+        vectors = {r["ord"]: r["emb"] for r in some.select("ord", "emb").collect()}
+        at = {o: i for i, o in enumerate(vectors)}
+        if not cells:
+            return 1
+        place = np.argsort(_cell_order(np.array(list(vectors.values()), np.float64), np.array(self.model.clusterCenters())), axis=1)
+        met = np.zeros(place.shape)
+        for r in cells:
+            met[at[r["q_ord"]], place[at[r["q_ord"]], r["cell"]]] += 1
+        met = met[met.sum(axis=1) > 0]
+        share = met.cumsum(axis=1) / met.sum(axis=1, keepdims=True)
+        error = share.std(axis=0) / math.sqrt(len(share)) * math.sqrt(max(0.0, 1 - len(vectors) / total))
+        return int(np.argmax(share.mean(axis=0) - MARGIN * error >= recall)) + 1
+
     def search(self, q: DataFrame, k: int, probes: int = 4, plan: Plan = Plan()) -> DataFrame:
         """Approximate top-k: exact scores inside each query's nearest cells.
 
