@@ -31,3 +31,18 @@ def test_probes_measured_on_some_queries_hold_for_all(spark, rows, monkeypatch):
     index = ann.CellIndex(g)
     exact = pairs(nearest(q, g, 10))
     assert len(exact & pairs(index.search(q, 10, index.probes_for(q, 10)))) >= 0.9 * len(exact)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_recall_is_measured_on_the_shortlist(spark, monkeypatch):
+    """j10_index_recall searches with the very probes of j10_cell_shortlist."""
+    seen, search = [], ann.CellIndex.search
+
+    def noted(self, q, k, probes=4, *rest):
+        seen.append((k, probes, len(self.units)))
+        return search(self, q, k, probes, *rest)
+
+    monkeypatch.setattr(ann.CellIndex, "search", noted)
+    QUERIES["j10_cell_shortlist"](spark, SF)
+    row = QUERIES["j10_index_recall"](spark, SF).collect()[0]
+    assert seen[0] == seen[1] and row.recall_reached and row.scores_exact
