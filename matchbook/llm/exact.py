@@ -90,9 +90,12 @@ def _look_up(key, rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"digest": rows["digest"], "member": member, "winner": winner})
 
 
-def history_table(history: DataFrame) -> tuple[DataFrame, int]:
-    """The sharded hash table of ``history`` (digest, winner, n; digests distinct), stored."""
-    n = shards_for(history.count(), SHARD_DIGESTS)
+def history_table(history: DataFrame, looked_up: int = 0) -> tuple[DataFrame, int]:
+    """The sharded hash table of ``history`` (digest, winner, n; digests distinct), stored.
+
+    Shards hold a bounded number of the history's digests and of the ``looked_up`` ones.
+    """
+    n = shards_for(max(history.count(), looked_up), SHARD_DIGESTS)
     cut = history.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(n)))
     return stored(cut.groupBy("shard").applyInPandas(_build_shard, TABLE), "mph"), n
 
@@ -117,8 +120,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known, fresh = stored(summed(rows.filter(old)), "history"), summed(rows.filter(~old))
     else:
         known, fresh = history.select("digest", "winner", "n"), summed(rows)
-    hashed, n = history_table(known)
     fresh = stored(fresh, "fresh")
+    hashed, n = history_table(known, fresh.count())
     cut = fresh.select("digest", F.pmod(F.xxhash64("digest"), F.lit(n)).alias("shard"))
     found = cut.groupBy("shard").cogroup(hashed.groupBy("shard")).applyInPandas(_look_up, "digest binary, member boolean, winner long")
     met = fresh.withColumnRenamed("winner", "own").join(found, "digest").select(
