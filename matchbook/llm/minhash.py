@@ -233,7 +233,10 @@ def _links_across(rows: DataFrame, sets: DataFrame) -> DataFrame:
     columns = ["node", "n", "component", "shared", "keys", "shingles"]
     sent = nodes.join(tiles, nodes["block"] == tiles["x"]).select(*columns, "tile", F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side")).unionByName(
         nodes.join(tiles.filter("x <> y"), nodes["block"] == tiles["y"]).select(*columns, "tile", F.lit(1).alias("side")))
-    shards = shards_for(nodes.count(), TILE_NODES)
+    # Rows as sent, a block once per tile: a group holds about a tile however many blocks a bucket has.
+    sizes = home.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
+    sides = tiles.select(F.col("x").alias("block")).unionByName(tiles.filter("x <> y").select(F.col("y").alias("block")))
+    shards = shards_for(sides.join(sizes, "block").agg(F.sum("rows")).first()[0] or 0, TILE_NODES)
     return sent.withColumn("shard", F.pmod("tile", F.lit(shards))).groupBy("shard").applyInPandas(_compare_tiles, "a long, b long")
 
 
