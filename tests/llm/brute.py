@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, id long"
@@ -93,3 +96,67 @@ def near(rows):
         c = i if not s else find(i) if i is not None else (find(min(same)) if same else None)
         out.append((i, len(s), c, i == c))
     return out
+
+
+def crc(text):
+    return zlib.crc32(text.encode())
+
+
+def trie(rows):
+    """Nodes of the prefix trie of rebuilt conversations; rows are (conv_id, turn, role, text)."""
+    number = lambda c: (1 << 63) - 1 if c is None else c
+    shown = lambda c: None if c == (1 << 63) - 1 else c
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        own[number(c)].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = crc("" if shown(c) is None else str(c)) % 6
+        base = None if shown(c) is None else c - int(math.fmod(c, 100))
+        built[c] = own.get(base, [])[:h] + turns[h:]
+    members = defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    kids, leaves, saved = Counter(k[:-1] for k in members if k), Counter(), Counter()
+    for k, v in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += k not in kids
+            saved[k[:d]] += (len(v) - 1) * len(k[-1][1]) if k else 0
+    out = []
+    for k, v in members.items():
+        ends = ",".join("" if shown(c) is None else str(c) for c in sorted(v) if len(built[c]) == len(k))
+        out.append((shown(min(v)), len(k), shown(min(members[k[:-1]])) if k else None, len(v), kids[k], leaves[k], saved[k], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def variants(rows, min_count=5):
+    n = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = crc(f"{'' if i is None else i}:{run}")
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 6 and c >= min_count}
+    holes = defaultdict(set)
+    for w in n:
+        holes[w].add(w)
+        for k in range(len(w)):
+            holes[w[:k] + w[k + 1 :]].add(w)
+            holes[k, w[:k] + w[k + 1 :]].add(w)
+    near = defaultdict(set)
+    for key, group in holes.items():
+        for a in group:
+            near[a].update(b for b in group if a != b and (isinstance(key, tuple) or key in (a, b)))
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) for w in n if near[w]}
+    form = {w: b for w, b in best.items() if n[b] >= 5 * n[w]}
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return out
