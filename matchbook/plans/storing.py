@@ -271,6 +271,55 @@ def s18(spark, sf_dir):
     return s.snapshot().agg(F.count(F.lit(1)).alias("n"), F.lit(there).alias("was_there"), F.min("sequence").alias("first_sequence"))
 
 
+def changed_store(spark, sf_dir) -> store.GalleryStore:
+    """The filled store after a delete of every ninth observation, a compaction and one more delete."""
+    s = filled_store(spark, sf_dir)
+    g = items(gallery_side(spark, sf_dir))
+    s.delete_many(g.filter("ord % 9 = 1"))
+    s.compact()
+    s.delete_many(g.filter("ord % 9 = 4"))
+    return s
+
+
+@query("s14_change_log", with_ctes("o g", """
+SELECT 1::BIGINT AS version, 'append' AS operation, (SELECT count(*) FROM g WHERE ord % 2 = 0) AS written, (SELECT count(*) FROM g WHERE ord % 2 = 0) AS live
+UNION ALL SELECT 2, 'append', (SELECT count(*) FROM g WHERE ord % 2 = 1), (SELECT count(*) FROM g)
+UNION ALL SELECT 3, 'delete', (SELECT count(*) FROM g WHERE ord % 9 = 1), (SELECT count(*) FROM g WHERE ord % 9 <> 1)
+UNION ALL SELECT 4, 'compact', (SELECT count(*) FROM g WHERE ord % 9 <> 1), (SELECT count(*) FROM g WHERE ord % 9 <> 1)
+UNION ALL SELECT 5, 'delete', (SELECT count(*) FROM g WHERE ord % 9 = 4), (SELECT count(*) FROM g WHERE ord % 9 NOT IN (1, 4))"""))
+def s14_log(spark, sf_dir):
+    """Rows that each change wrote: the batch, the deleted numbers, or what a compaction merges."""
+    return changed_store(spark, sf_dir).history().select("version", "operation", "written", "live")
+
+
+@query("s15_snapshot_after_changes", with_ctes("o g", "SELECT sequence, image_id, x FROM s WHERE ord % 9 NOT IN (1, 4)", s=STORE))
+def s15_changed(spark, sf_dir):
+    return changed_store(spark, sf_dir).snapshot().select("sequence", "image_id", "x")
+
+
+@query("s17_paging_after_deletes", with_ctes("o g", "SELECT image_id, x, y FROM (SELECT *, row_number() OVER (ORDER BY sequence) AS n FROM s WHERE ord % 9 NOT IN (1, 4)) WHERE n > 40 AND n <= 65", s=STORE))
+def s17_changed(spark, sf_dir):
+    return changed_store(spark, sf_dir).page(40, 25).select("image_id", "x", "y")
+
+
+@query("s19_store_guard", with_ctes("o g", """
+SELECT c AS opened_with, c <> 'same' AS refused, (SELECT count(*) FROM g) AS n FROM (VALUES ('same'), ('other model'), ('other dimension'), ('none')) t(c)"""))
+def s19_store(spark, sf_dir):
+    """Opening a populated store under several identities; only its own is let in."""
+    s = filled_store(spark, sf_dir)
+    wanted = {"same": s.identity, "other model": {**s.identity, "model": "m2"}, "other dimension": {**s.identity, "dimension": "32"}, "none": None}
+
+    def refused(identity) -> bool:
+        try:
+            store.GalleryStore(spark, s.path, 64, identity)
+        except ValueError:
+            return True
+        return False
+
+    cases = spark.createDataFrame([(name, refused(identity)) for name, identity in wanted.items()], "opened_with string, refused boolean")
+    return cases.join(F.broadcast(s.snapshot().agg(F.count(F.lit(1)).alias("n"))), F.lit(True))
+
+
 @query("s19_identity_guard", """
 SELECT coalesce(a.name, b.name) AS name, a.value AS stored, b.value AS expected FROM
  (SELECT p_brand AS name, min(p_name) AS value FROM part GROUP BY 1) a FULL JOIN

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from matchbook.operators.graph import GalleryGraph, build_graph
 from matchbook.operators.similarity import Plan
 from matchbook.operators.verify import fingerprint
-from matchbook.session import ship
+from matchbook.session import durable, ship
 from matchbook.sources.store import GalleryStore
 
 
 def ingest_batch(store: GalleryStore, batch: DataFrame) -> int:
     """Append the new observations of a batch; ids already stored, or seen before in the batch, are left out."""
     once = batch.groupBy("image_id").agg(F.min_by(F.struct(*batch.columns), "ord").alias("_r")).select("_r.*")
-    new = once.join(store.snapshot().select("image_id"), "image_id", "left_anti")
+    new = durable(once.join(store.snapshot().select("image_id"), "image_id", "left_anti"), "arrivals")
     n = new.count()
     if n:
         store.add_many(new)

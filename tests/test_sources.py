@@ -101,3 +101,72 @@ def test_import_needs_exactly_one_image_per_id(spark):
     with pytest.raises(Exception, match="invalid, repeated or has no single image"):
         store.resolve_import(spark.createDataFrame([("x",), ("y",)], "image_id string"), files).collect()
     assert store.resolve_import(spark.createDataFrame([("y",)], "image_id string"), files).count() == 1
+
+
+def numbered(spark, n, start=0):
+    return item(spark, [f"id{start + i}" for i in range(n)], start=start)
+
+
+def ids(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "image_id string")
+
+
+def test_changes_write_only_what_changes(spark):
+    s = store.GalleryStore(spark, scratch_path(spark, "store"), 4)
+    for start in (0, 40, 50):
+        s.add_many(numbered(spark, 40 if start == 0 else 10, start))
+    assert s.delete("id41") and s.delete_many(ids(spark, "id3", "id55", "id55", "unknown")) == 2 and s.delete_many(ids(spark, "id3")) == 0
+    log = [(r.operation, r.written, r.live) for r in s.history().orderBy("version").collect()]
+    assert log == [("append", 40, 40), ("append", 10, 50), ("append", 10, 60), ("delete", 1, 59), ("delete", 2, 57)]
+    before = sorted(map(tuple, s.snapshot().drop("emb").collect()))
+    assert s.compact(small_rows=20) == 18  # the two small segments; the large one has one deleted row and stays
+    assert sorted(map(tuple, s.snapshot().drop("emb").collect())) == before and [x.rows for x in s.manifest().segments] == [40, 18]
+    assert s.compact(small_rows=20) == 0 and s.compact(small_rows=10, deleted_share=0.0) == 39 and s.manifest().vectors == ()
+    assert sorted(map(tuple, s.snapshot().drop("emb").collect())) == before
+    assert s.snapshot(1).count() == 40 and s.snapshot(4).count() == 59
+    s.add_many(numbered(spark, 1, 90))
+    assert s.snapshot().agg(F.max("sequence")).first()[0] == 61  # a number is never given twice
+
+
+def test_pages_follow_sequence_ranges(spark, monkeypatch):
+    s = store.GalleryStore(spark, scratch_path(spark, "store"), 4)
+    for start in (0, 60):
+        s.add_many(numbered(spark, 60, start))
+    s.delete_many(ids(spark, *[f"id{i}" for i in range(0, 120, 7)]))
+    want = [f"id{i}" for i in range(120) if i % 7]
+    monkeypatch.setattr(store, "PAGE_ROWS", 4)
+    monkeypatch.setattr(store, "PAGE_SLICES", 5)
+    for offset, limit in ((0, 3), (40, 25), (99, 10), (101, 10), (102, 5), (500, 5), (0, 200)):
+        assert [r.image_id for r in s.page(offset, limit).collect()] == want[offset : offset + limit]
+    with pytest.raises(ValueError):
+        s.page(-1, 5)
+
+
+def test_readers_never_see_half_a_version_and_writers_take_turns(spark):
+    s = store.GalleryStore(spark, scratch_path(spark, "store"), 4, {"model": "m"})
+    s.add_many(numbered(spark, 3))
+    fs, path = s._fs()
+    out = fs.create(path(f"{s.path}/log/half.tmp"), False)  # a writer that died before its rename
+    out.close()
+    assert s.version == 1 and s.snapshot().count() == 3
+    held = s._claim()
+    assert held.version == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        s.add_many(numbered(spark, 1, 9))
+    s.release()
+    assert s.add_many(numbered(spark, 1, 9)) == 2 and s.snapshot().count() == 4
+    assert s.delete_many(ids(spark, *[r.image_id for r in s.snapshot().collect()])) == 4
+    assert s.snapshot().count() == 0 and s.page(0, 5).count() == 0 and s.manifest().segments == ()
+    s.add_many(numbered(spark, 2, 20))
+    assert s.vacuum(keep=1) == 3 and [r.sequence for r in s.snapshot().orderBy("sequence").collect()] == [5, 6]
+    for identity in ({"model": "other"}, {}, None):
+        with pytest.raises(ValueError, match="another model"):
+            store.GalleryStore(spark, s.path, 4, identity)
+
+
+def test_a_populated_store_without_identity_is_refused(spark):
+    s = store.GalleryStore(spark, scratch_path(spark, "store"), 4)
+    s.add_many(numbered(spark, 2))
+    with pytest.raises(ValueError, match="another model"):
+        store.GalleryStore(spark, s.path, 4, {"model": "m"})
+    assert store.GalleryStore(spark, s.path, 4).snapshot().count() == 2
