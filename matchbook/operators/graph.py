@@ -30,7 +30,7 @@ def mutual(edges: DataFrame) -> DataFrame:
 class GalleryGraph:
     """Static part of k-reciprocal re-ranking, built once per gallery version.
 
-    ``nn`` (i, j, p, d): neighbour lists of length k1 + 1, p counting from 0;
+    ``nn`` (i, j, p, d, sim): neighbour lists of length k1 + 1, p counting from 0;
     ``before`` and ``after`` (i, j, w): row weights before and after averaging.
     """
 
@@ -68,14 +68,25 @@ def build_graph(g: DataFrame, k1: int = 20, k2: int = 6, plan: Plan = Plan(), ch
     nn = durable(
         found.select(
             F.col("q_ord").alias("i"), F.col("g_ord").alias("j"), (F.col("pos") - 1).alias("p"),
-            (2.0 - 2.0 * F.col("sim")).alias("d"),
+            (2.0 - 2.0 * F.col("sim")).alias("d"), "sim",
         ),
         "neighbours",
     )
     if check and nn.groupBy("i").count().filter(F.col("count") < k1 + 1).limit(1).count():
         raise ValueError("gallery too sparse: a row has fewer than k1 eligible neighbours")
     core = _reciprocal(nn, k1)
-    half = _reciprocal(nn, max(1, k1 // 2)).select(F.col("i").alias("j"), F.col("j").alias("m"))
+    half = _reciprocal(nn, half_length(k1)).select(F.col("i").alias("j"), F.col("j").alias("m"))
+    before = durable(row_weights(core, half, g), "row-weights")
+    after = before if k2 == 1 else durable(mean_weights(nn, before, k2), "mean-weights")
+    return GalleryGraph(nn, before, after, k1, k2, plan)
+
+
+def half_length(k1: int) -> int:
+    return max(1, k1 // 2)
+
+
+def row_weights(core: DataFrame, half: DataFrame, g: DataFrame) -> DataFrame:
+    """``i, j, w`` for the rows i of ``core`` (i, j); ``half`` (j, m) holds the half sets of all their members."""
     size = half.groupBy("j").agg(F.count(F.lit(1)).alias("n"))
     meet = core.select("i", F.col("j").alias("m"))
     close = (
@@ -85,17 +96,16 @@ def build_graph(g: DataFrame, k1: int = 20, k2: int = 6, plan: Plan = Plan(), ch
     grown = close.join(half, "j").select("i", F.col("m").alias("j"))
     expanded = core.union(grown).distinct()
     weight = F.exp(-F.col("d"))
-    before = durable(
-        pair_distance(expanded, g).select("i", "j", (weight / F.sum(weight).over(Window.partitionBy("i"))).alias("w")),
-        "row-weights",
-    )
-    after = before if k2 == 1 else durable(
+    return pair_distance(expanded, g).select("i", "j", (weight / F.sum(weight).over(Window.partitionBy("i"))).alias("w"))
+
+
+def mean_weights(nn: DataFrame, before: DataFrame, k2: int) -> DataFrame:
+    """``i, j, w``: the mean weight rows of the k2 first members of each list in ``nn``."""
+    return (
         nn.filter(F.col("p") < k2).select("i", F.col("j").alias("n"))
         .join(before.select(F.col("i").alias("n"), "j", "w"), "n")
-        .groupBy("i", "j").agg((F.sum("w") / k2).alias("w")),
-        "mean-weights",
+        .groupBy("i", "j").agg((F.sum("w") / k2).alias("w"))
     )
-    return GalleryGraph(nn, before, after, k1, k2, plan)
 
 
 def query_weights(q: DataFrame, g: DataFrame, graph: GalleryGraph) -> DataFrame:

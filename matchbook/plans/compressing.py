@@ -15,7 +15,7 @@ from matchbook.model import gallery_side, observations, table
 from matchbook.operators import ann, compress, graph, insertion, metrics, patches, splits
 from matchbook.operators.similarity import CAMERA, Plan, nearest
 from matchbook.plans.registry import query, with_ctes
-from matchbook.plans.reranking import two_space_rank
+from matchbook.plans.reranking import graph_ctes, two_space_rank
 from matchbook.plans.searching import THRESHOLD, r6, sides
 from matchbook.plans.storing import items
 from matchbook.session import durable, scratch_path
@@ -341,6 +341,37 @@ def t4(spark, sf_dir):
     return gen.gallery.agg(F.count(F.lit(1)).alias("n"), left.alias("edges_left"))
 
 
+def kept_graph(spark, sf_dir) -> ingest.Generations:
+    """The gallery's graph after an insert of every ninth observation, a changed seventh and the delete of the first."""
+    g = gallery_side(spark, sf_dir)
+    gen = ingest.Generations()
+    gen.register(durable(g.filter("ord % 9 <> 1").withColumn("emb", F.when(F.col("ord") % 7 == 2, F.reverse("emb")).otherwise(F.col("emb"))), "gallery"))
+    gen.insert(g.filter("ord % 9 = 1"))
+    gen.register(g)
+    gen.delete(g.agg(F.min_by("key", "ord")).first()[0])
+    return gen
+
+
+REST = "SELECT * FROM g WHERE ord <> (SELECT min(ord) FROM g)"
+
+
+@query("t3_updated_graph", with_ctes("o g", """
+SELECT 'before' AS kind, i, j, round(w, 6) AS w FROM bf UNION ALL SELECT 'after', i, j, round(w, 6) FROM af""", gx=REST, **graph_ctes(3, 2, src="gx")))
+def t3_graph(spark, sf_dir):
+    """Brought up to date three times; the SQL builds the graph of the final gallery as a whole."""
+    gr = kept_graph(spark, sf_dir).graph
+    tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "i", "j", r6("w"))
+    return tag(gr.before, "before").union(tag(gr.after, "after"))
+
+
+@query("t4_changed_lists", with_ctes("o g", """
+SELECT 1::BIGINT AS builds, 4::BIGINT AS registrations, count(DISTINCT i) AS lists FROM nn WHERE j = (SELECT min(ord) FROM g) AND i <> j""", **graph_ctes(3, 2)))
+def t4_lists(spark, sf_dir):
+    """Lists computed for the delete: those that held the row. The graph is built as a whole only once."""
+    gen = kept_graph(spark, sf_dir)
+    return spark.createDataFrame([(gen.builds, gen.registrations, gen.touched.lists)], "builds long, registrations long, lists long")
+
+
 def log(df: DataFrame) -> DataFrame:
     return df.select("ts", F.col("event_type").alias("phase"), F.col("value").alias("duration_ms"), (F.col("value") > 250).alias("failed"))
 
