@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchbook.session import durable
+
 #: Scores closer than this to a decision boundary are recomputed exactly.
 EPS = 1e-9
 
@@ -187,13 +189,15 @@ def blocked(
     q_extra: Sequence[str] = (),
     g_extra: Sequence[str] = (),
     cell: str | None = None,
+    together: Sequence[str] = ("ord",),
 ) -> DataFrame:
     """Run ``body`` on every pair of blocks that can hold an allowed pair.
 
     Rows meet only inside their group: the values of ``plan.require`` and of the ``cell`` column
     (one group if there are neither). A group is cut into blocks by its row counts, which may be
     very unequal, so a group with a third of all rows only has more blocks. Every query block
-    visits every gallery block of its group.
+    visits every gallery block of its group. Queries that agree on ``together`` share a block, so
+    only a bounded number of them may.
 
     A result that is read twice in one plan (a self-join above all) should be stored
     first with ``session.durable``, or the comparison work is done twice.
@@ -209,7 +213,7 @@ def blocked(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Fresh column identities on both sides: the two inputs often share their lineage.
     left = q.withColumn("_group", group).join(parts, "_group").select(
-        *[F.col(c).alias("l_" + c) for c in q_cols], F.col("_group").alias("l__g"), block("_nq").alias("l_qb"), every("_ng").alias("l_gb"))
+        *[F.col(c).alias("l_" + c) for c in q_cols], F.col("_group").alias("l__g"), F.pmod(F.xxhash64(*together), F.col("_nq")).cast("int").alias("l_qb"), every("_ng").alias("l_gb"))
     right = g.withColumn("_group", group).join(parts, "_group").select(
         *[F.col(c).alias("r_" + c) for c in g_cols], F.col("_group").alias("r__g"), every("_nq").alias("r_qb"), block("_ng").alias("r_gb"))
     return left.groupBy("l__g", "l_qb", "l_gb").cogroup(right.groupBy("r__g", "r_qb", "r_gb")).applyInArrow(_task(plan, schema, body), schema)
@@ -289,6 +293,43 @@ def within(
     )
 
 
+#: Members of one track that share a query block; a longer track is cut into parts.
+TRACK_ROWS = 256
+
+
+def joint_counts(q: DataFrame, g: DataFrame, tau: float, plan: Plan = Plan()) -> DataFrame:
+    """``track, m, n_cand``: gallery rows whose similarity to all ``m`` queries of a track reaches ``tau``.
+
+    Queries of a track (column ``track``) lie in one block, which intersects their hits as bitmaps
+    and gives out one count per track and gallery block. Only a track of more than TRACK_ROWS
+    queries has several parts; a part gives out the rows that all its members hit.
+    """
+    sizes = q.groupBy("track").agg(F.count(F.lit(1)).alias("m"))
+    cut = durable(q.join(sizes, "track").withColumn("_part", F.pmod(F.xxhash64("ord"), F.ceil(F.col("m") / TRACK_ROWS))), "tracks")
+    schema = T.StructType([T.StructField("track", q.schema["track"].dataType), T.StructField("m", T.LongType()), T.StructField("g_ord", T.LongType()), T.StructField("n", T.LongType())])
+
+    def body(b: Block) -> dict:
+        b.refine(np.abs(b.scores - tau) <= EPS)
+        track, code = np.unique(b.q["track"].to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        first = np.searchsorted(code[order], np.arange(len(track)))
+        here = np.bincount(code)
+        of = b.q["m"].to_numpy()[order][first]
+        hit = np.logical_and.reduceat((b.scores >= tau)[order], first, axis=0)
+        whole, part = np.flatnonzero(here == of), np.flatnonzero(here < of)
+        i, j = np.nonzero(hit[part])
+        i = part[i]
+        return {
+            "track": np.concatenate((track[whole], track[i])), "m": np.concatenate((of[whole], of[i])),
+            "g_ord": pa.array([None] * len(whole) + b.go[j].tolist(), pa.int64()), "n": np.concatenate((hit[whole].sum(axis=1), here[i]))}
+
+    found = blocked(cut, g, plan, schema, body, ("track", "m", "_part"), (), together=("track", "_part"))
+    # A row of a part counts members; it is a candidate if all members of the track hit it.
+    each = found.groupBy("track", "m", "g_ord").agg(F.sum("n").alias("n"))
+    counted = each.select("track", F.when(F.col("g_ord").isNull(), F.col("n")).otherwise((F.col("n") == F.col("m")).cast("long")).alias("n"))
+    return sizes.join(counted.groupBy("track").agg(F.sum("n").alias("n_cand")), "track", "left").fillna(0, ["n_cand"])
+
+
 def counts_ahead(q: DataFrame, g: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """For each query and each of its marks, how many eligible rows come before the mark.
 

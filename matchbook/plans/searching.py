@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchbook.functions.vectors import unit
 from matchbook.model import gallery_side, query_side, second_space
 from matchbook.operators import refusal, search
-from matchbook.operators.similarity import CAMERA, FRAME, JUNK, SELF, Plan, counts_ahead, nearest, score_buckets, within
+from matchbook.operators.similarity import CAMERA, FRAME, JUNK, SELF, Plan, counts_ahead, joint_counts, nearest, score_buckets, within
 from matchbook.plans.registry import query, with_ctes
 
 THRESHOLD = 0.35
@@ -80,17 +80,14 @@ def j5_ids(spark, sf_dir):
     return within(q, g, TAU).select("q_ord", "g_ord", r6("sim"))
 
 
-def joint_candidates(spark, sf_dir, tau=0.15, group=3):
+def joint_candidates(spark, sf_dir, tau=0.05, group=3):
     """Tracks are runs of three consecutive queries; candidates lie in every member's radius."""
     q, g = sides(spark, sf_dir)
-    hits = within(q, g, tau).withColumn("track", F.expr(f"q_ord div {5 * group}"))
-    size = q.withColumn("track", F.expr(f"ord div {5 * group}")).groupBy("track").agg(F.count(F.lit(1)).alias("m"))
-    cand = hits.groupBy("track", "g_ord").agg(F.count(F.lit(1)).alias("seen")).join(size, "track").filter("seen = m")
-    return size.join(cand.groupBy("track").agg(F.count(F.lit(1)).alias("n_cand")), "track", "left").fillna(0, ["n_cand"])
+    return joint_counts(q.withColumn("track", F.expr(f"ord div {5 * group}")), g, tau)
 
 
 JOINT_SQL = dict(
-    h="SELECT q_ord // 15 AS track, g_ord, count(*) AS seen FROM p WHERE sim >= 0.15 GROUP BY ALL",
+    h="SELECT q_ord // 15 AS track, g_ord, count(*) AS seen FROM p WHERE sim >= 0.05 GROUP BY ALL",
     m="SELECT ord // 15 AS track, count(*) AS m FROM q GROUP BY ALL",
     c="SELECT m.track, m.m, count(h.g_ord) AS n_cand FROM m LEFT JOIN h ON h.track = m.track AND h.seen = m.m GROUP BY ALL",
 )

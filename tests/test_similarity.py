@@ -1,6 +1,7 @@
 """Blocked similarity: exactness, ties, copies, exclusions, thresholds and profiles."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from matchbook.operators import ann, features
@@ -128,3 +129,26 @@ def test_required_columns_are_block_keys(rows):
         for i in range(40):
             many = min(3, int((who[40:] == who[i]).sum()))
             assert (got.get(i, [])[:many]) == [1000 + j for j in want[i][:many]]
+
+
+@pytest.mark.parametrize("per_part", [256, 4])
+def test_joint_counts_in_one_and_in_several_parts(rows, monkeypatch, per_part):
+    from pyspark.sql import functions as F
+
+    from matchbook.operators import similarity
+
+    monkeypatch.setattr(similarity, "TRACK_ROWS", per_part)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=5)
+    x, y = centre + 0.8 * rng.normal(size=(40, 5)), centre + 0.8 * rng.normal(size=(60, 5))
+    track = np.where(np.arange(40) < 25, 7, np.arange(40) // 2)  # one long track, short ones
+    q = rows(x, frames=[f"f{i}" for i in range(40)]).join(
+        rows(x).sparkSession.createDataFrame([(i, int(t)) for i, t in enumerate(track)], "ord long, track long"), "ord")
+    g = rows(y, frames=[f"f{i}" for i in range(20, 80)], start=100)
+    u, v = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+    hit = (u @ v.T >= 0.3) & (np.arange(40)[:, None] != np.arange(20, 80)[None])
+    want = {int(t): (int((track == t).sum()), int(hit[track == t].all(axis=0).sum())) for t in set(track)}
+    got = similarity.joint_counts(q, g, 0.3, Plan(q_rows=16, g_rows=23))
+    assert {r.track: (r.m, r.n_cand) for r in got.collect()} == want and any(n for _, n in want.values())
+    none = similarity.joint_counts(q, g.filter(F.lit(False)), 0.3)
+    assert {r.n_cand for r in none.collect()} == {0}
