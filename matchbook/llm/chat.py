@@ -21,6 +21,9 @@ PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|docum
 OTHER = "<|attachment|>"
 ANGLE = r"<(?=/?s>|\|(?:image|audio|document|attachment)\|>)"
 SQUARE = r"\[(?=/?INST\])"
+#: The same characters where the rest of a part may begin a control string that the next part ends.
+ANGLE_TAIL = r"<(?=(?:/?s?|\|[a-z]*\|?)\z)"
+SQUARE_TAIL = r"\[(?=/?[INST]*\z)"
 #: Tokens per unit: image patches, seconds of audio, pages of a document.
 TOKENS_PER_UNIT = {"image": 1.0, "audio": 25.0, "document": 800.0}
 #: Turns whose texts are joined in the first of two steps.
@@ -29,11 +32,17 @@ CHUNK_TURNS = 64
 PART = "struct<kind:string,text:string,ref:string,units:double>"
 
 
-def escape(text: Column) -> Column:
-    """Text without control strings; ``\\e``, ``\\l`` and ``\\b`` stand for backslash, ``<`` and ``[``."""
+def escape(text: Column, more: Column | None = None) -> Column:
+    """Text without control strings; ``\\e``, ``\\l`` and ``\\b`` stand for backslash, ``<`` and ``[``.
+
+    Where ``more`` text follows, what could begin a control string at the end is escaped too.
+    """
     text = F.replace(text, F.lit("\\"), F.lit("\\e"))
     text = F.regexp_replace(text, ANGLE, r"\\l")
-    return F.regexp_replace(text, SQUARE, r"\\b")
+    text = F.regexp_replace(text, SQUARE, r"\\b")
+    if more is None:
+        return text
+    return F.when(more, F.regexp_replace(F.regexp_replace(text, ANGLE_TAIL, r"\\l"), SQUARE_TAIL, r"\\b")).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
@@ -54,9 +63,10 @@ def is_text(part: Column) -> Column:
     return F.coalesce(part["kind"], F.lit("text")) == "text"
 
 
-def visit(part: Column) -> Column:
-    """The text that stands for one part."""
-    out = F.when(is_text(part), escape(F.coalesce(part["text"], F.lit(""))))
+def visit(part: Column, following: Column | None = None) -> Column:
+    """The text that stands for one part; ``following`` is the part after it, if any."""
+    more = None if following is None else F.coalesce(following.isNotNull() & is_text(following), F.lit(False))
+    out = F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")), more))
     for kind, mark in PLACEHOLDERS.items():
         out = out.when(part["kind"] == kind, F.lit(mark))
     return out.otherwise(F.lit(OTHER))
@@ -108,8 +118,8 @@ def _turn(role: Column, parts: Column) -> Column:
     fixed = lambda t: F.struct(t.alias("text"), F.char_length(t).cast("long").alias("chars"), none_s.alias("spans"), none_f.alias("files"), F.lit(0).cast("long").alias("turns"))
     zero = F.lit(0).cast("long")
 
-    def piece(part):
-        text = visit(part)
+    def piece(part, i):
+        text = visit(part, F.get(parts, i + 1))
         chars = F.char_length(text).cast("long")
         return F.struct(
             text.alias("text"), chars.alias("chars"),

@@ -147,7 +147,8 @@ class Mix:
         cut = self.rows.filter("size > 0").select("number", "start", "size", F.explode(F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}"))).alias("block"))
         cut = cut.select("number", "block", "start", (F.greatest(F.col("block") * BLOCK_WORDS, F.col("start")) - F.col("start")).alias("from"),
                          (F.least((F.col("block") + 1) * BLOCK_WORDS, last) - F.col("start")).alias("to"))
-        return filled.join(cut, ["number", "block"]).select("shard", "place", "number", "pass", "start", "from", "to")
+        # Both sides are exploded after their sizes were estimated and grow with the data: never broadcast.
+        return filled.hint("merge").join(cut, ["number", "block"]).select("shard", "place", "number", "pass", "start", "from", "to")
 
 
 def mix_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -169,9 +170,10 @@ def mix_texts(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: per document and pass, the words taken.
 
     Where a pass takes a whole text it stays as it is; else the taken words are joined by single
-    spaces, and n_chars (if there is such a column) is counted anew.
+    spaces, and n_chars (if there is such a column) is counted anew. Rows are told apart by the
+    SHA-256 digest of all their columns.
     """
-    key = F.xxhash64(*[F.col(c) for c in docs.columns])
+    key = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(c) for c in docs.columns])).cast("binary"), 256))
     keyed = docs.withColumn("_key", key)
     plan = Mix(keyed, seed, ("_key",))
     per = plan.pieces.groupBy("number", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_cuts"))

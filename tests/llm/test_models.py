@@ -196,3 +196,39 @@ def test_near_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert got[1007].component_id == 1006 and got[1006].n_links == 1
     assert caps.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_control_strings_never_arise_between_parts(spark):
+    import random
+
+    r = random.Random(8)
+    alphabet = ["<", "/", "s>", "</s>", "[", "/INST]", "INST]", "[INST]", "<|", "image", "|>", "\\", "l", "e", "b", " ", "", "ok", "<|image|>", None]
+    rows, want = [], {}
+    for c in range(300):
+        turns = []
+        for t in range(2):
+            texts = [r.choice(alphabet) for _ in range(r.randrange(1, 6))]
+            rows.append((c, t, ["user", "assistant"][t], [("text", x, None, None) for x in texts]))
+            turns.append("".join(x or "" for x in texts))
+        want[c] = turns
+    out = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>"))
+    for row in out.select("conv_id", chat.read_turns(F.col("formatted")).alias("back"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        assert [t.text for t in row.back] == want[row.conv_id] and row.loss == want[row.conv_id][1]
+
+
+def test_text_before_a_placeholder_or_at_the_end_is_not_escaped_further(spark):
+    rows = [(1, 0, "assistant", [("text", "a<", None, None), ("image", None, "x", 1.0), ("text", "b [", None, None)])]
+    out = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")).first()
+    assert out.formatted == "<s>assistant\na<<|image|>b [</s>"
+
+
+def test_blocks_and_slots_are_never_broadcast(docs):
+    plan = mixing.Mix(docs).pieces._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_rows_are_told_apart_by_all_their_columns(spark):
+    texts = [f"word{i} " * 70 for i in range(40)]
+    df = spark.createDataFrame([(i % 3, t, "en", "s", i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix_texts(df).collect()
+    assert {r.text.split()[0] for r in out} == {t.split()[0] for t in texts}
