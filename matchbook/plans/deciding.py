@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from matchbook.functions import calibration as cal
 from matchbook.functions.vectors import subtract, unit
 from matchbook.model import second_space
-from matchbook.operators import compress, features, graph, policies, search, splits
+from matchbook.operators import compress, features, graph, heads, policies, search, splits
 from matchbook.operators.similarity import Plan, nearest
 from matchbook.plans.evaluation import rounded
 from matchbook.plans.registry import query, with_ctes
@@ -331,6 +331,35 @@ def f19(spark, sf_dir):
     return out.filter("half = 'B'")
 
 
+FOLDS = 3
+
+
+def head_rows(spark, sf_dir) -> DataFrame:
+    q, g = sides(spark, sf_dir)
+    x = basic_features(q, g).join(search.decisions(q, g).select("q_ord", "vehicle_id", "has_match", "correct"), "q_ord")
+    return x.withColumn("label", (F.col("has_match") & F.col("correct")).cast("double"))
+
+
+@query("f19_cross_fitted_heads")
+def f19_cross(spark, sf_dir):
+    """Out-of-fold scores of logistic, boosted and extra-trees heads; no identity is in two folds."""
+    return heads.cross_fit(head_rows(spark, sf_dir), X8, "vehicle_id", ["q_ord"], folds=FOLDS)
+
+
+@query("f19_identity_folds", with_ctes("o q g p r d", f"""
+SELECT ('0x' || substr(md5('0:' || vehicle_id), 1, 8))::BIGINT % {FOLDS} AS fold, count(*) AS n, count(DISTINCT vehicle_id) AS identities, sum((has_match AND correct)::INT)::DOUBLE AS positives, 0::BIGINT AS shared
+FROM d GROUP BY 1"""))
+def f19_folds(spark, sf_dir):
+    """What each fold of the cross-fit holds, and how many of its identities are in another fold too."""
+    q, g = sides(spark, sf_dir)
+    d = search.decisions(q, g).select("vehicle_id", (F.col("has_match") & F.col("correct")).cast("double").alias("label"), heads.group_folds(F.col("vehicle_id"), FOLDS).cast("long").alias("fold"))
+    d = durable(d, "folds")
+    spread = d.groupBy("vehicle_id").agg(F.countDistinct("fold").alias("n_folds"))
+    return d.join(spread, "vehicle_id").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("vehicle_id").alias("identities"), F.sum("label").alias("positives"),
+        F.countDistinct(F.when(F.col("n_folds") > 1, F.col("vehicle_id"))).alias("shared"))
+
+
 @query("f20_bound_before_costly_features", with_ctes("o q g p r d", f"SELECT q_ord, s1 * s3 >= 0.3 AS accepted FROM ev", ev=EV))
 def f20(spark, sf_dir):
     """Rows whose cheap upper bound misses the cut never reach the costly score."""
