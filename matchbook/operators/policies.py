@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +96,8 @@ CHANNELS = ("DINO_CLS", "DINO_PATCH_MEAN", "CNN_RAW")
 FULL = "1 - 1e-7"
 VOTES = [((0, 2), 2), ((1, 2), 2), ((0, 1, 2), 2), ((0, 1, 2), 3)]
 VOTE_Z = [None, 2.0]
-BOTH_Z_GAP = [(1.5, 0.0), (1.5, 0.1), (1.5, 0.3), (2.5, 0.0), (2.5, 0.1), (2.5, 0.3), (3.5, 0.0), (3.5, 0.1), (3.5, 0.3)]
-BOTH_PERCENTILE_Z = [(0.98, 2.0), (0.98, 3.0), (0.995, 2.0), (0.995, 3.0)]
+BOTH_Z_GAP = list(product([1.5, 2.5, 3.5], [0.0, 0.1, 0.3]))
+BOTH_PERCENTILE_Z = list(product([0.98, 0.995], [2.0, 3.0]))
 
 
 def _bounds(channel: str, **least) -> str:
