@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute import DOCS, documents, near, passages, strings
 
@@ -34,14 +35,28 @@ def test_passages(docs, empty, monkeypatch):
     got = substrings.remove_repeats(docs)
     assert sorted_rows(got.select(*pick).collect()) == sorted_rows(passages(pairs()))
     monkeypatch.setattr(substrings, "COMMON", 0)  # every anchor by aggregation
+    monkeypatch.setattr(substrings, "SHARD_ROWS", 2)  # shards of several tasks,
+    monkeypatch.setattr(substrings, "PASSAGE_BYTES", 400)  # and of several automata
     assert sorted_rows(substrings.remove_repeats(docs).select(*pick).collect()) == sorted_rows(passages(pairs()))
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_automaton_finds_every_occurrence():
-    words = [[b"a", b"b", b"a", b"b", b"a"], [], [b"ab", b"a", b"b"]]
-    got = substrings.locate(words, {b" a b ": 0, b" b a ": 1})
-    assert [g.tolist() for g in got] == [[0, 1, 2, 3], [], [1]]
+def test_automaton_finds_every_occurrence(monkeypatch):
+    monkeypatch.setattr(substrings, "WINDOW", 2)
+    shard = substrings.Passages([b"a b a", b"a b"], [7, 5])
+    assert [x.tolist() for x in shard.locate(b"a b a b c")] == [[0, 1, 2], [5, 7, 5]]
+    assert [x.tolist() for x in shard.locate(b"ab a")] == [[], []]
+    assert [x.tolist() for x in substrings.Passages([], []).locate(b"a b")] == [[], []]
+
+
+def test_only_hits_of_the_automaton_are_removed():
+    """What the hashes propose is not enough: stretches and passages of equal anchors but other words give nothing."""
+    w = [f"w{i}".encode() for i in range(60)]
+    stretch = pd.DataFrame({"id": [9], "seq": [0], "lo": [[0]], "text": [b" ".join(w)]})
+    passage = lambda words: pd.DataFrame({"least": [1], "passage": [b" ".join(words)]})
+    assert substrings._locate(stretch, passage(w[5:57]))[["from", "to"]].values.tolist() == [[5, 57]]
+    assert not len(substrings._locate(stretch, passage(w[5:30] + [b"x"] + w[31:57])))
+    assert not len(substrings._locate(stretch, passage(w[5:57]).assign(least=9)))
 
 
 def test_strings(docs, empty, monkeypatch):
