@@ -32,13 +32,11 @@ WINDOW, GRAM = 50, 16
 #: Occurrences from which the passages of an anchor are found by aggregation.
 COMMON = 2000
 #: Stretches, and bytes of them, that one task confirms or streams.
-SHARD_ROWS, SHARD_BYTES = 4000, 16 << 20
+SHARD_ROWS, SHARD_BYTES = 1000, 4 << 20
 #: Bytes of passages in one automaton (a window is a path of WINDOW nodes).
-PASSAGE_BYTES = 1 << 20
+PASSAGE_BYTES = 256 << 10
 #: Stands for a null id: larger than every id.
 NO_ID = (1 << 63) - 1
-#: Bytes of text whose phrases share one automaton.
-BATCH_BYTES = 4 << 20
 
 
 def _i64(values: np.ndarray) -> np.ndarray:
@@ -83,7 +81,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id").to_numpy()
         known, common = batch.column("known").to_pylist(), batch.column("common").to_pylist()
-        for begin, end, data, offsets in rounds(batch.column("text"), BATCH_BYTES):
+        for begin, end, data, offsets in rounds(batch.column("text")):
             starts, ends, first = spans(data, offsets)
             h, h2 = hashes(data, starts, ends), hashes(data, starts, ends, 1)
             seq = _sequence(h, first, 0)
