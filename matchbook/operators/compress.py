@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,6 +123,16 @@ class Variant:
         return {"f32": 4 * dim, "f16": 2 * (self.d or dim), "i8": self.d or 0, "bin": -(-(self.d or 0) // 8), "pq": self.m or 0}[self.kind]
 
 
+#: The variants that are compared unless others are named.
+NAMED = ("f32", "f16", "pca256", "pcaw256", "pca128_i8", "pca64_i8", "pca256_bin", "pca128_bin", "pq32", "pq16")
+
+
+def fitting(names: Sequence[str], dim: int, rows: int) -> list[str]:
+    """The variants that vectors of ``dim`` numbers and a fit on ``rows`` rows allow."""
+    parsed = {n: Variant.parse(n) for n in names}
+    return [n for n, v in parsed.items() if (v.d is None or v.d <= min(dim, rows - 1)) and (v.m is None or dim % v.m == 0)]
+
+
 def variant_columns(name: Column, dim: int) -> list[Column]:
     """The same parsing as Column expressions: kind, d, m, whiten and bytes."""
     pca = r"^(pcaw?)(\d+)(?:_(i8|bin))?$"

@@ -88,10 +88,9 @@ class Block:
     """One query block against one gallery block, inside a task."""
 
     def __init__(self, q: pa.Table, g: pa.Table, plan: Plan):
-        self.q, self.g = q, g
-        self.qm, self.gm = _matrix(q["emb"], plan.normalise), _matrix(g["emb"], plan.normalise)
+        self.q, self.g, self.plan = q, g, plan
         self.qo, self.go = q["ord"].to_numpy(), g["ord"].to_numpy()
-        self.scores = self.qm @ self.gm.T
+        self.scores = self._score()
         allowed = np.ones(self.scores.shape, dtype=bool)
         for columns in plan.exclude:
             same = np.ones(self.scores.shape, dtype=bool)
@@ -113,6 +112,11 @@ class Block:
         self.allowed = allowed
         self.scores[~allowed] = -np.inf
 
+    def _score(self) -> np.ndarray:
+        """Proposed scores of all pairs; a block of other codes than vectors has its own."""
+        self.qm, self.gm = _matrix(self.q["emb"], self.plan.normalise), _matrix(self.g["emb"], self.plan.normalise)
+        return self.qm @ self.gm.T
+
     def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         s = fold(self.qm[i], self.gm[j])
         if self._own is not None:
@@ -147,7 +151,7 @@ class Block:
         return i, j, self.exact(i, j)
 
 
-def _task(plan: Plan, schema: T.StructType, body: Callable[[Block], dict]):
+def _task(plan: Plan, schema: T.StructType, body: Callable[[Block], dict], block: Callable[..., Block]):
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -156,7 +160,7 @@ def _task(plan: Plan, schema: T.StructType, body: Callable[[Block], dict]):
         if "l_ord" in left.column_names:
             left = left.rename_columns([n.removeprefix("l_") for n in left.column_names])
             right = right.rename_columns([n.removeprefix("r_") for n in right.column_names])
-        columns = body(Block(left, right, plan))
+        columns = body(block(left, right, plan))
         return pa.table(
             [
                 c.cast(t.type).combine_chunks()
@@ -190,6 +194,7 @@ def blocked(
     g_extra: Sequence[str] = (),
     cell: str | None = None,
     together: Sequence[str] = ("ord",),
+    make: Callable[..., Block] = Block,
 ) -> DataFrame:
     """Run ``body`` on every pair of blocks that can hold an allowed pair.
 
@@ -197,7 +202,7 @@ def blocked(
     (one group if there are neither). A group is cut into blocks by its row counts, which may be
     very unequal, so a group with a third of all rows only has more blocks. Every query block
     visits every gallery block of its group. Queries that agree on ``together`` share a block, so
-    only a bounded number of them may.
+    only a bounded number of them may. ``make`` builds the pair of blocks that ``body`` gets.
 
     A result that is read twice in one plan (a self-join above all) should be stored
     first with ``session.durable``, or the comparison work is done twice.
@@ -216,7 +221,7 @@ def blocked(
         *[F.col(c).alias("l_" + c) for c in q_cols], F.col("_group").alias("l__g"), F.pmod(F.xxhash64(*together), F.col("_nq")).cast("int").alias("l_qb"), every("_ng").alias("l_gb"))
     right = g.withColumn("_group", group).join(parts, "_group").select(
         *[F.col(c).alias("r_" + c) for c in g_cols], F.col("_group").alias("r__g"), every("_nq").alias("r_qb"), block("_ng").alias("r_gb"))
-    return left.groupBy("l__g", "l_qb", "l_gb").cogroup(right.groupBy("r__g", "r_qb", "r_gb")).applyInArrow(_task(plan, schema, body), schema)
+    return left.groupBy("l__g", "l_qb", "l_gb").cogroup(right.groupBy("r__g", "r_qb", "r_gb")).applyInArrow(_task(plan, schema, body, make), schema)
 
 
 def _pair_schema(q, g, q_carry, g_carry) -> T.StructType:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from matchbook.functions import calibration as cal
 from matchbook.functions.extensions import embed, knn_lateral
-from matchbook.functions.vectors import doubles
+from matchbook.functions.half import half_codes, half_decoded
+from matchbook.functions.vectors import doubles, unit
 from matchbook.model import gallery_side, observations, table
-from matchbook.operators import ann, compress, graph, insertion, metrics, patches, splits
+from matchbook.operators import ann, codes, compress, graph, insertion, metrics, patches, splits
 from matchbook.operators.similarity import CAMERA, Plan, nearest
 from matchbook.plans.registry import query, with_ctes
 from matchbook.plans.reranking import graph_ctes, two_space_rank
@@ -53,6 +54,17 @@ def c1(spark, sf_dir):
     return v.select("name", *compress.variant_columns(F.col("name"), 64)).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
 
 
+@query("c1_half_precision", with_ctes("o g", """
+SELECT ord, bits::INTEGER[] AS bits, list_transform(vals, lambda v: round(v, 9)) AS decoded FROM (
+  SELECT ord, list_transform(st, lambda t: ((t[1] + 14) * 1024 + t[2] + t[3])) AS bits, list_transform(st, lambda t: t[2] * pow(2::DOUBLE, t[1] - 10) * (CASE WHEN t[3] > 0 THEN -1 ELSE 1 END)) AS vals FROM (
+    SELECT ord, list_transform(emb, lambda x: [greatest(-14, CASE WHEN x = 0 THEN -14 ELSE floor(log2(abs(x))) END)::DOUBLE,
+      round_even(abs(x) / pow(2::DOUBLE, greatest(-14, CASE WHEN x = 0 THEN -14 ELSE floor(log2(abs(x))) END) - 10), 0)::DOUBLE, CASE WHEN x < 0 THEN 32768 ELSE 0 END::DOUBLE]) AS st FROM g))"""))
+def c1_half(spark, sf_dir):
+    """Gallery vectors as 16-bit floats and back."""
+    rows = gallery_side(spark, sf_dir).select("ord", half_codes(F.col("emb")).alias("codes"))
+    return rows.select("ord", F.transform("codes", lambda c: c.cast("int").bitwiseAND(0xFFFF)).alias("bits"), F.transform(half_decoded(F.col("codes")), lambda v: F.round(v, 9)).alias("decoded"))
+
+
 @query("c2_principal_projection")
 def c2(spark, sf_dir):
     g = gallery_side(spark, sf_dir)
@@ -127,9 +139,47 @@ def c2_error(spark, sf_dir):
 
 @query("c5_product_codes")
 def c5(spark, sf_dir):
+    """Codes of 256 fitted centroids in each of eight parts, and how far the decoded vector is from the unit vector."""
     g = gallery_side(spark, sf_dir).select("ord", "emb")
-    models = compress.fit_product_codes(g, 4, 64, k=16)
-    return compress.product_decoded(g, models, 64).select("ord", "codes")
+    books = codes.fitted_books(g, 8, 64)
+    rows = durable(codes.encoded(g, books), "codes")
+    back = codes.decoded(rows, books).select("ord", F.col("emb").alias("back"))
+    gap = F.aggregate(F.zip_with(unit(F.col("emb")), "back", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v)
+    return rows.join(back, "ord").join(g, "ord").select("ord", F.hex("code").alias("code"), F.sqrt(gap).alias("error"))
+
+
+POOL = 50
+
+
+@query("c5_code_search", with_ctes("o q g", f"""
+SELECT q_ord, g_ord, round(sim, 6) AS sim, pos::INTEGER AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_ord ORDER BY sim DESC, g_ord) AS pos FROM (
+    SELECT q.ord AS q_ord, c.ord AS g_ord, list_inner_product(q.emb, c.emb) AS sim,
+           row_number() OVER (PARTITION BY q.ord ORDER BY list_inner_product(q.emb, c.decoded) DESC, c.ord) AS by_code
+    FROM q JOIN c ON q.frame <> c.frame) WHERE by_code <= {POOL}) WHERE pos <= 10""",
+    b="SELECT part, row_number() OVER (PARTITION BY part ORDER BY ord) AS number, emb[8 * part + 1 : 8 * part + 8] AS piece FROM (SELECT ord, emb FROM g ORDER BY ord LIMIT 256), range(8) AS r(part)",
+    n="""SELECT g.ord, b.part, arg_min(b.piece, struct_pack(d := list_sum(list_transform(list_zip(g.emb[8 * b.part + 1 : 8 * b.part + 8], b.piece), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), i := b.number)) AS piece
+         FROM g CROSS JOIN b GROUP BY g.ord, b.part""",
+    c="SELECT g.ord, any_value(g.frame) AS frame, any_value(g.emb) AS emb, flatten(list(n.piece ORDER BY n.part)) AS decoded FROM g JOIN n ON n.ord = g.ord GROUP BY g.ord"))
+def c5_search(spark, sf_dir):
+    """Top ten by exact scores among the 50 best by distance tables; the books are the parts of the first 256 rows."""
+    q, g = sides(spark, sf_dir)
+    index = codes.CodeIndex(g, 8, 64, codes.books_of_rows(g, 8, 64))
+    return index.search(q, 10, POOL).select("q_ord", "g_ord", r6("sim"), "pos")
+
+
+@query("c5_code_recall")
+def c5_recall(spark, sf_dir):
+    """Share of the true ten that searches on fitted codes of 8 and 16 bytes find, before and after re-scoring 100 rows a query."""
+    q, g = sides(spark, sf_dir)
+    true = durable(nearest(q, g, 10).select("q_ord", "g_ord"), "true")
+    total, out = true.count(), []
+    for m in (8, 16):
+        index = codes.CodeIndex(g, m, 64)
+        for kind, found in (("codes", index.pool(q, 10)), ("re-scored", index.search(q, 10))):
+            hits = true.join(found.select("q_ord", "g_ord"), ["q_ord", "g_ord"]).agg((F.count(F.lit(1)) / float(max(1, total))).alias("recall"))
+            out.append(hits.select(F.lit(f"pq{m}").alias("variant"), F.lit(kind).alias("scores"), F.lit(index.bytes_per_vector).alias("bytes"), "recall"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("c6_token_reduction")
@@ -141,21 +191,40 @@ def c6(spark, sf_dir):
     return compress.project(tokens, compress.fit_pca(tokens, 2), normalise=True).select("ord", "cell", F.col("z").alias("token"))
 
 
+#: Variants of 64 numbers besides the named ones that fit.
+NARROW = ("pca32", "pcaw32", "pca32_i8", "pca32_bin", "pq8")
+
+
+def stored_as(name: str, q: DataFrame, g: DataFrame, dim: int) -> tuple[DataFrame, DataFrame, float | None]:
+    """Both sides as they read back from a storage variant fitted on ``g``, and the variance it explains."""
+    v, explained = compress.Variant.parse(name), None
+    if v.kind == "pq":
+        books = codes.fitted_books(g, v.m, dim)
+        q, g = (durable(codes.decoded(codes.encoded(df, books), books), "decoded") for df in (q, g))
+    if v.d:
+        pca = compress.fit_pca(g, v.d, whiten=v.whiten)
+        explained = pca.explained
+        q, g = (durable(compress.project(df, pca, normalise=True).drop("emb").withColumnRenamed("z", "emb"), "projected") for df in (q, g))
+    if v.kind == "f16":
+        back = lambda df: df.withColumn("emb", half_decoded(half_codes(F.col("emb"))))
+    elif v.kind == "i8":
+        scale = compress.int8_scale(g, "emb")
+        back = lambda df: df.withColumn("emb", F.transform(compress.int8_codes(F.col("emb"), scale), lambda x: x.cast("double") * scale))
+    elif v.kind == "bin":
+        back = lambda df: df.withColumn("emb", F.transform("emb", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)))
+    else:
+        back = lambda df: df
+    return back(q), back(g), explained
+
+
 @query("a34_compression_quality")
 def a34(spark, sf_dir):
-    """Bytes, rank-1 and mAP of storage variants, in the standard and strict protocols."""
+    """Bytes, rank-1 and mAP of every storage variant that fits the vectors, in the standard and strict protocols."""
     q, g = sides(spark, sf_dir)
-    base = lambda df: df.select("ord", "frame", "vehicle_id", "camera_id", "emb")
-    q, g = base(q), base(g)
-    pca = compress.fit_pca(g, 32)
-    proj = lambda df: durable(compress.project(df, pca).drop("emb").withColumnRenamed("z", "emb"), "projected")
-    pq_, pg_ = proj(q), proj(g)
-    scale = compress.int8_scale(pg_, "emb")
-    i8 = lambda df: df.withColumn("emb", F.transform(compress.int8_codes(F.col("emb"), scale), lambda x: x.cast("double") * scale))
-    sign = lambda df: df.withColumn("emb", F.transform("emb", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)))
-    sets = {"f32": (q, g, None), "pca32_i8": (i8(pq_), i8(pg_), pca.explained), "pca32_bin": (sign(pq_), sign(pg_), pca.explained)}
+    q, g = (df.select("ord", "frame", "vehicle_id", "camera_id", "emb") for df in (q, g))
     out = []
-    for name, (a, b, explained) in sets.items():
+    for name in compress.fitting(compress.NAMED + NARROW, 64, g.count()):
+        a, b, explained = stored_as(name, q, g, 64)
         std = metrics.summary(metrics.full_average_precision(a, b), (1,)).select(F.col("map"), F.col("rank1"))
         strict = metrics.summary(metrics.full_average_precision(a, b, exclude=CAMERA), (1,)).select(F.col("map").alias("map_cross"), F.col("rank1").alias("rank1_cross"))
         both = std.unionByName(strict, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("map", "rank1", "map_cross", "rank1_cross")])
