@@ -60,8 +60,8 @@ SELECT ord, bits::INTEGER[] AS bits, list_transform(vals, lambda v: round(v, 9))
     SELECT ord, list_transform(emb, lambda x: [greatest(-14, CASE WHEN x = 0 THEN -14 ELSE floor(log2(abs(x))) END)::DOUBLE,
       round_even(abs(x) / pow(2::DOUBLE, greatest(-14, CASE WHEN x = 0 THEN -14 ELSE floor(log2(abs(x))) END) - 10), 0)::DOUBLE, CASE WHEN x < 0 THEN 32768 ELSE 0 END::DOUBLE]) AS st FROM g))"""))
 def c1_half(spark, sf_dir):
-    """Gallery vectors as 16-bit floats and back."""
-    rows = gallery_side(spark, sf_dir).select("ord", half_codes(F.col("emb")).alias("codes"))
+    """Unit gallery vectors as 16-bit floats and back."""
+    rows = gallery_side(spark, sf_dir).select("ord", half_codes(unit(F.col("emb"))).alias("codes"))
     return rows.select("ord", F.transform("codes", lambda c: c.cast("int").bitwiseAND(0xFFFF)).alias("bits"), F.transform(half_decoded(F.col("codes")), lambda v: F.round(v, 9)).alias("decoded"))
 
 
