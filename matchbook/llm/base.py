@@ -77,12 +77,13 @@ def in_task(spark: SparkSession, fn: Callable[[], object]) -> object:
     return pickle.loads(spark.range(0, 1, 1, 1).mapInPandas(run, "out binary").first()["out"])
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], rows: int) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], rows: int, also: DataFrame | None = None) -> DataFrame:
     """Add, per new column of ``values``, the sum of its source column over the rows before this one.
 
     Rows of one key are spread over buckets by a hash of ``order``, so a key that holds a third
     of the table is summed by many tasks. The order is (bucket, order): fixed, but not sorted by
     ``order`` overall. Only bucket totals of a key (rows / BUCKET_ROWS of them) meet in one task.
+    ``also`` has one row per key; its other columns are joined to the bucket totals and added.
     """
     n = shards_for(rows, BUCKET_ROWS)
     cut = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
@@ -92,10 +93,14 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], values: dict
     zero = F.lit(0).cast("long")
     offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"),
                             *[F.coalesce(F.sum(f"_s_{out}").over(before), zero).alias(f"_o_{out}") for out in values])
+    extra = [] if also is None else [c for c in also.columns if c not in keys]
+    if also is not None:
+        named = also.select(*[F.col(k).alias(f"_a_{k}") for k in keys], *extra)
+        offsets = offsets.join(named, functools.reduce(lambda a, b: a & b, [F.col(f"_k_{k}").eqNullSafe(F.col(f"_a_{k}")) for k in keys]))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = cut.select("*", *[F.coalesce(F.sum(c).over(inside), zero).alias(f"_i_{out}") for out, c in values.items()])
     same = F.col("_bucket") == F.col("_b")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     joined = ranked.join(offsets, same)
-    return joined.select(*df.columns, *[(F.col(f"_i_{out}") + F.col(f"_o_{out}")).alias(out) for out in values])
+    return joined.select(*df.columns, *extra, *[(F.col(f"_i_{out}") + F.col(f"_o_{out}")).alias(out) for out in values])

@@ -3,7 +3,7 @@
 The words of a source are laid end to end in a fixed order of its documents and cut into blocks
 of BLOCK_WORDS. The mix is a row of slots in shards of SHARD_SLOTS. Every shard draws how many of
 its slots each source fills: the whole part of the expected counts, and a multinomial draw for
-the rest. The i-th slot of a source holds block p(i mod n) of its n blocks, where p is a
+the rest; more than FAN sources are drawn down a tree, group by group. The i-th slot of a source holds block p(i mod n) of its n blocks, where p is a
 pseudorandom permutation of the pass i div n; slots and blocks are then joined by index.
 """
 
@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.llm.base import running_total, shards_for, stored
@@ -26,8 +25,10 @@ SHARD_SLOTS = 1 << 16
 #: No source is passed over more often than this.
 PASSES = 3
 WEIGHTS = (1, 2, 3)
-#: The table of sources is planned on the driver; more sources than this are refused.
-MOST_SOURCES = 1 << 16
+#: Children of a node when slots are drawn, shards that one drawing task serves, sources per task when numbered.
+FAN = 4096
+SHARDS_EACH = 256
+SOURCES_EACH = 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 11
 
@@ -36,24 +37,36 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> dict[str | None, Fraction]:
-    """Share of the total size per source.
+def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
+    """Per row of ``sources`` (source, source_size): these, number and target (its share of the total size).
 
-    Sources in code-point order, null last, take the weights in turn; a share stops at ``passes``
-    times the source's size and the excess goes to the others by weight until none is above.
+    Sources are numbered in code-point order, null last, and take the weights in turn. A share
+    stops at ``passes`` times the source's size and the excess goes to the others by weight until
+    none is above. The sources stay a table however many they are: a round is one aggregate over
+    it, and only the size and weight that are left come to the driver. Comparisons are exact.
     """
-    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, out, open_ = Fraction(sum(sizes.values())), {}, set(names)
-    while open_:
-        whole = sum(weight[s] for s in open_)
-        over = {s for s in open_ if left * weight[s] / whole > passes * sizes[s]}
-        if not over:
-            return out | {s: left * weight[s] / whole for s in open_}
-        out |= {s: Fraction(passes * sizes[s]) for s in over}
-        left -= sum(passes * sizes[s] for s in over)
-        open_ -= over
-    return out
+    order = F.col("source").asc_nulls_last()
+    parts = shards_for(sources.count(), SOURCES_EACH)
+    ranged = stored(sources.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "sources-ranged")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(offsets, "_part")
+    numbered = numbered.select("source", "source_size", (F.col("_before") + F.col("_at") - 1).alias("number"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    numbered = stored(numbered.withColumn("_weight", weight.cast("long")).withColumn("_most", F.col("source_size") * passes), "sources-numbered")
+    exact = lambda n, digits: (F.lit(n) if isinstance(n, int) else F.col(n)).cast(f"decimal({digits},0)")
+    sums = lambda size, rows: tuple(int(x or 0) for x in rows.agg(F.sum(exact(size, 20)), F.sum("_weight")).first())
+    total = left = sums("source_size", numbered)
+    while True:
+        share = exact(left[0], 20) * exact("_weight", 10)
+        over = share > exact(left[1], 17) * exact("_most", 20)
+        stopped = sums("_most", numbered.filter(over))
+        rest = (total[0] - stopped[0], total[1] - stopped[1])
+        if rest == left:
+            break
+        left = rest
+    target = F.when(over, F.col("_most").cast("double")).otherwise(share.cast("double") / F.lit(float(left[1] or 1)))
+    return numbered.select("source", "source_size", "number", target.alias("target"))
 
 
 def permuted(index: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -80,69 +93,91 @@ def _seed(*parts) -> int:
     return int.from_bytes(hashlib.sha256(repr(parts).encode()).digest()[:8], "little")
 
 
+def _levels(leaves: DataFrame, count: int) -> list[DataFrame]:
+    """The sources as a tree of nodes with at most FAN children, the level of the sources first.
+
+    Each level: node and, in the order of the children, child, weight, blocks, name. Weights are
+    summed in that order, so they do not depend on partitioning.
+    """
+    out, below = [], leaves
+    while True:
+        held = below.groupBy(F.expr(f"number div {FAN}").alias("node")).agg(F.sort_array(F.collect_list(F.struct("number", "weight", "blocks", "name"))).alias("held"))
+        level = stored(held.select("node", *[F.col(f"held.{c}").alias(c) for c in ("number", "weight", "blocks", "name")]), "mix-tree")
+        out.append(level)
+        count = shards_for(count, FAN)
+        if count == 1:
+            return out
+        zero = F.lit(0).cast("long")
+        below = level.select(F.col("node").alias("number"), F.aggregate("weight", F.lit(0.0), lambda a, w: a + w).alias("weight"), zero.alias("blocks"), zero.alias("name"))
+
+
+def _drawn(asked: DataFrame, level: DataFrame, depth: int, seed: int) -> DataFrame:
+    """Split the slots of every (shard, number) among the children of that node of ``level``.
+
+    A task holds the children of one node and SHARDS_EACH shards that ask for it.
+    """
+
+    def draw(asked: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(node):
+            number, weight, blocks, name = (np.asarray(node[c].iloc[0]) for c in ("number", "weight", "blocks", "name"))
+            share = weight / weight.sum()
+            for shard, of, room in asked.sort_values("shard")[["shard", "node", "n"]].itertuples(index=False):
+                want = share * room
+                n = np.floor(want).astype(np.int64)
+                rest = want - n
+                if room > n.sum() and rest.sum() > 0:
+                    n += np.random.default_rng(_seed(seed, depth, int(shard), int(of))).multinomial(room - n.sum(), rest / rest.sum())
+                some = np.flatnonzero(n)
+                out.append(pd.DataFrame({"shard": shard, "number": number[some], "n": n[some], "blocks": blocks[some], "name": name[some]}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("shard", "number", "n", "blocks", "name")})
+
+    asked = asked.select("shard", F.col("number").alias("node"), "n", F.expr(f"shard div {SHARDS_EACH}").alias("chunk"))
+    sent = asked.select(F.col("node").alias("of"), F.col("chunk").alias("part")).distinct().join(level.withColumnRenamed("node", "of"), "of")
+    groups = asked.groupBy("node", "chunk").cogroup(sent.groupBy("of", "part"))
+    return groups.applyInPandas(draw, "shard long, number long, n long, blocks long, name long")
+
+
 class Mix:
     """A planned mix: ``rows`` (doc_id, source, size, ... one per document) and its pieces."""
 
     def __init__(self, docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()):
         base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *keep)
         base = stored(base, "mix-rows")
-        found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources")
-        spark = docs.sparkSession
-        sizes = {r["source"]: r["size"] for r in found}
-        share = targets(sizes)
-        order = list(share)
-        order.sort(key=lambda s: (s is None, s or ""))
-        blocks = [-(-sizes[s] // BLOCK_WORDS) for s in order]
-        # Slots a source should fill, so that its words come to the target although its last block is short.
-        slots = [float(share[s] * b / sizes[s]) if sizes[s] else 0.0 for s, b in zip(order, blocks)]
-        schema = "source string, number int, source_size long, target double"
-        self.sources = spark.createDataFrame([(s, i, sizes[s], float(share[s])) for i, s in enumerate(order)], schema)
-        same = base["source"].eqNullSafe(self.sources["source"])
-        # The table of sources has at most MOST_SOURCES rows.
-        rows = base.join(F.broadcast(self.sources), same).drop(self.sources["source"])
-        n_rows = sum(r["n"] for r in found)
-        placed = running_total(rows, ["number"], ["doc_id", "size", *keep], {"start": "size"}, n_rows)
+        found = stored(base.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+        self.sources = stored(source_targets(found), "source-targets")
+        # Sources come to the rows by way of the bucket totals, so no source's rows meet in one task.
+        placed = running_total(base, ["source"], ["doc_id", "size", *keep], {"start": "size"}, base.count(), self.sources)
         self.rows = stored(placed, "mix-placed")
-        self.pieces = self._pieces(spark, seed, order, blocks, slots)
+        self.pieces = self._pieces(docs.sparkSession, seed)
 
-    def _pieces(self, spark, seed, order, blocks, slots) -> DataFrame:
+    def _pieces(self, spark, seed) -> DataFrame:
         """shard, place, number, pass, start (names the document), from, to (its words)."""
-        total = int(np.ceil(sum(slots)))
-        shards, expected = shards_for(total, SHARD_SLOTS), np.array(slots)
-        share = expected / expected.sum() if total else expected
-        names = np.array([_seed(seed, s) for s in order], np.uint64)
-        counts = np.array(blocks, np.int64)
-
-        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for shard in batch["id"]:
-                    room = min(SHARD_SLOTS, total - shard * SHARD_SLOTS)
-                    want = share * room
-                    whole = np.floor(want).astype(np.int64)
-                    rest = want - whole
-                    if room > whole.sum() and rest.sum() > 0:
-                        whole += np.random.default_rng(_seed(seed, int(shard))).multinomial(room - whole.sum(), rest / rest.sum())
-                    some = np.flatnonzero(whole)
-                    yield pd.DataFrame({"shard": np.full(len(some), shard), "number": some.astype(np.int32), "n": whole[some]})
-
-        drawn = spark.range(0, shards if total else 0).mapInPandas(draw, "shard long, number int, n long")
-        drawn = running_total(stored(drawn, "mix-draws"), ["number"], ["shard"], {"first": "n"}, shards * max(1, len(order)))
+        blocks = F.ceil(F.col("source_size") / BLOCK_WORDS)
+        # Slots a source should fill, so that its words come to the target although its last block is short.
+        weight = F.col("target") * blocks / F.col("source_size")
+        leaves = self.sources.filter("target > 0").select("number", weight.alias("weight"), blocks.alias("blocks"), F.xxhash64(F.lit(seed), "source").alias("name"))
+        levels = _levels(leaves, self.sources.count())
+        top = levels[-1].select(F.aggregate("weight", F.lit(0.0), lambda a, w: a + w)).first()
+        total = int(np.ceil(top[0])) if top else 0
+        shards, zero = shards_for(total, SHARD_SLOTS), F.lit(0).cast("long")
+        drawn = spark.range(0, shards if total else 0).select(F.col("id").alias("shard"), zero.alias("number"), F.least(F.lit(SHARD_SLOTS).cast("long"), F.lit(total) - F.col("id") * SHARD_SLOTS).alias("n"))
+        for depth in reversed(range(len(levels))):
+            drawn = stored(_drawn(drawn, levels[depth], depth, seed), "mix-draws")
+        drawn = running_total(drawn, ["number"], ["shard"], {"first": "n"}, drawn.count())
 
         def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                number, slot = batch["number"].to_numpy(), batch["slot"].to_numpy()
-                of = counts[number]
-                inside = slot < PASSES * of  # a draw beyond the last pass stays empty
-                number, slot, of, shard = number[inside], slot[inside], of[inside], batch["shard"].to_numpy()[inside]
+                inside = batch["slot"] < PASSES * batch["blocks"]  # a draw beyond the last pass stays empty
+                batch = batch[inside]
+                slot, of, name = batch["slot"].to_numpy(), batch["blocks"].to_numpy(), batch["name"].to_numpy().astype(np.uint64)
                 turn = slot // of
-                block = permuted(slot % of, of, mix(names[number] + turn.astype(np.uint64)))
-                place = mix(names[number] ^ mix(slot.astype(np.uint64))).astype(np.int64)
-                yield pd.DataFrame({"shard": shard, "place": place, "number": number, "pass": turn.astype(np.int32), "block": block})
+                block = permuted(slot % of, of, mix(name + turn.astype(np.uint64)))
+                place = mix(name ^ mix(slot.astype(np.uint64))).astype(np.int64)
+                yield pd.DataFrame({"shard": batch["shard"], "place": place, "number": batch["number"], "pass": turn.astype(np.int32), "block": block})
 
-        exploded = drawn.repartition(shards_for(total, 1 << 18), "shard", "number").select("shard", "number", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
-        filled = exploded.mapInPandas(fill, "shard long, place long, number int, pass int, block long")
+        exploded = drawn.repartition(shards_for(total, 1 << 18), "shard", "number").select("shard", "number", "blocks", "name", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+        filled = exploded.mapInPandas(fill, "shard long, place long, number long, pass int, block long")
         last = F.col("start") + F.col("size")
         cut = self.rows.filter("size > 0").select("number", "start", "size", F.explode(F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}"))).alias("block"))
         cut = cut.select("number", "block", "start", (F.greatest(F.col("block") * BLOCK_WORDS, F.col("start")) - F.col("start")).alias("from"),

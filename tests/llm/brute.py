@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, id long"
 
@@ -160,3 +161,23 @@ def variants(rows, min_count=5):
             root = form[root]
         out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
     return out
+
+
+def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), passes: int = 3) -> dict[str | None, Fraction]:
+    """Share of the total size per source.
+
+    Sources in code-point order, null last, take the weights in turn; a share stops at ``passes``
+    times the source's size and the excess goes to the others by weight until none is above.
+    """
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, out, open_ = Fraction(sum(sizes.values())), {}, set(names)
+    while open_:
+        whole = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / whole > passes * sizes[s]}
+        if not over:
+            return out | {s: left * weight[s] / whole for s in open_}
+        out |= {s: Fraction(passes * sizes[s]) for s in over}
+        left -= sum(passes * sizes[s] for s in over)
+        open_ -= over
+    return out

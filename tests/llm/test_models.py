@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import DOCS, documents
+from brute import DOCS, documents, targets
 from pyspark.sql import functions as F
 
 from matchbook.llm import caps, chat, langid, mixing, packing, quality, tokenizing
@@ -58,11 +58,37 @@ def test_language_learns_and_is_total(spark, docs, empty):
     assert {x.lang_pred for x in langid.identify(docs, None).collect()} == {"und"}
 
 
-def test_targets_share_and_stop():
-    got = mixing.targets({"a": 10, "b": 1000, None: 5, "c": 100})
-    assert (got["a"], got[None]) == (30, 15)  # both stop at three times their size
-    assert float(sum(got.values())) == 1115 and got["c"] == 300
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
+def targets_of(spark, sizes):
+    rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    return {r.source: r for r in rows}
+
+
+def test_targets_share_and_stop(spark):
+    got = targets_of(spark, {"a": 10, "b": 1000, None: 5, "c": 100})
+    assert (got["a"].target, got[None].target) == (30, 15)  # both stop at three times their size
+    assert sum(r.target for r in got.values()) == 1115 and got["c"].target == 300
+    assert [got[s].number for s in ("a", "b", "c", None)] == [0, 1, 2, 3]
+    assert targets_of(spark, {}) == {} and targets_of(spark, {"a": 0})["a"].target == 0
+
+
+def test_targets_equal_fractions_of_many_sources(spark):
+    r = random.Random(3)
+    sizes = {chr(r.choice([0x41, 0xE9, 0x4E00, 0x1F600])) + str(i): int(10 ** r.uniform(0, 6)) - 1 for i in range(5000)} | {None: 7}
+    got, want = targets_of(spark, sizes), targets(sizes)
+    assert all(abs(got[s].target - float(t)) <= 1e-12 * max(1, float(t)) for s, t in want.items())
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1].number)] == sorted(s for s in sizes if s is not None) + [None]
+
+
+def test_mix_of_100_000_sources(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 100_000).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 90 + 1).cast("int")).alias("text"))
+    got = mixing.mix_sizes(rows)
+    whole = got.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.sum((F.col("taken") > 3 * F.col("size")).cast("int")).alias("over"),
+                    F.countDistinct("source").alias("sources")).first()
+    assert (whole.n, whole.over, whole.sources) == (200_000, 0, 100_000)
+    assert abs(whole.taken - whole["size"]) < 0.1 * whole["size"]
+    group = F.col("number") % 3 if "number" in got.columns else F.pmod(F.crc32("source"), F.lit(3))
+    for r in got.groupBy(group).agg(F.sum("taken").alias("taken"), F.sum(F.col("target") / 2).alias("target")).collect():
+        assert abs(r.taken - r.target) < 0.1 * r.target
 
 
 def test_permutation_is_one():
