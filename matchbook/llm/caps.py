@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.base import shards_for, stored
@@ -181,6 +181,14 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield t.loc[keep, ["a", "b"]]
 
 
+def _in_range(v: Column) -> Column:
+    """The vector, times a power of two if its squares could leave the range of doubles."""
+    top = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    half = F.floor(F.log2(top) / 2)  # two factors, since one alone could leave the range
+    factor = F.pow(F.lit(2.0), -half)
+    return F.when((top > 2.0**400) | (top < 2.0**-400), F.transform(v, lambda x: x * factor * factor)).otherwise(v)
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -191,7 +199,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """
     v = F.col(vec_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v")), "vectors")
+    rows = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), _in_range(v)).alias("v")), "vectors")
     nodes = stored(rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("v")), "nodes")
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -259,3 +259,25 @@ def test_rows_are_told_apart_by_all_their_columns(spark):
     df = spark.createDataFrame([(i % 3, t, "en", "s", i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     out = mixing.mix_texts(df).collect()
     assert {r.text.split()[0] for r in out} == {t.split()[0] for t in texts}
+
+
+def test_vectors_whose_squares_leave_the_range_of_doubles(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 0.99e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1e308, -1e308]), (6, [1e200, 1e200]), (7, [0.0, 0.0]), (8, [1.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (5, 1), 2: (5, 1), 3: (5, 1), 4: (5, 1), 6: (5, 1), 8: (5, 1), 5: (0, 5), 7: (0, 7)}
+
+
+def test_repeated_ids_do_not_enlarge_the_fits(spark, monkeypatch):
+    table = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" more text")).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y: sizes.append(len(y)))
+    monkeypatch.setattr(quality, "in_task", lambda spark, fn: fn())
+    monkeypatch.setattr(langid, "fit", lambda codes, y, classes: sizes.append(len(y)))
+    monkeypatch.setattr(langid, "in_task", lambda spark, fn: fn())
+    quality.train(table, labels, F.lit(True))
+    langid.train(table.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))), F.lit(True))
+    assert sizes == [3, 3]
+    monkeypatch.setattr(quality, "MAX_BYTES", 1)
+    quality.train(table, labels, F.lit(True))
+    assert sizes[2] == 0
