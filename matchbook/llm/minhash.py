@@ -28,7 +28,9 @@ from matchbook.llm.base import shards_for, stored
 from matchbook.llm.links import components
 from matchbook.llm.words import LOWER, grams, hashes, mix, rounds, spans, window_starts
 
+#: Words of a shingle: of the whole-table query, and of a stage that drops near copies.
 SHINGLE = 4
+STAGE_SHINGLE = 5
 GROUPS = 10
 PERCENT = 80
 #: Nodes of a block in the comparison of open buckets.
@@ -36,15 +38,15 @@ TILE_NODES = 1024
 _MULS = [int(x) | 1 for x in np.random.default_rng(77).integers(1 << 32, 1 << 63, 4 * GROUPS)]
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every row, sorted within the row, and where each row's begin."""
     data = LOWER[data]
     starts, ends, first = spans(data, offsets)
     h = hashes(data, starts, ends)
     counts = np.diff(first)
-    at, row = window_starts(first, SHINGLE)
-    few = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-    value = np.concatenate([grams(h, at, SHINGLE), grams(h, first[few], counts[few])])
+    at, row = window_starts(first, length)
+    few = np.flatnonzero((counts > 0) & (counts < length))
+    value = np.concatenate([grams(h, at, length), grams(h, first[few], counts[few])])
     row = np.concatenate([row, few])
     order = np.lexsort((value, row))
     value, row = value[order], row[order]
@@ -58,11 +60,11 @@ def _per_row(ufunc, values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return ufunc.reduceat(values, first[:-1])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "d1", "d2", "keys"]
     for batch in batches:
         for begin, end, data, offsets in rounds(batch.column("text")):
-            value, first = shingles(data, offsets)
+            value, first = shingles(data, offsets, length)
             size = np.diff(first)
             some = np.flatnonzero(size)
             d = np.zeros((2, end - begin), np.uint64)
@@ -84,10 +86,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * GROUPS, dtype=np.int32)), flat)], names)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin, end, data, offsets in rounds(batch.column("text")):
-            value, first = shingles(data, offsets)
+            value, first = shingles(data, offsets, length)
             yield pa.RecordBatch.from_arrays([
                 batch.column("node").slice(begin, end - begin),
                 pa.array([value[a:b].astype("<u8").tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["node", "shingles"])
@@ -240,8 +242,8 @@ def _links_across(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return sent.withColumn("shard", F.pmod("tile", F.lit(shards))).groupBy("shard").applyInPandas(_compare_tiles, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; shingles have ``length`` words.
 
     Empty and null texts have no shingles and are linked with nothing. A null id takes the least
     id of the documents with the same set (null if none has one) and is never kept beside one.
@@ -249,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(texts.mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, keys array<long>"), "signatures")
+    rows = stored(texts.mapInArrow(lambda batches: _signatures(batches, length), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "signatures")
     same = ["n", "d1", "d2"]
     groups = stored(rows.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "shingle-sets")
     nodes = groups.filter(F.col("node").isNotNull())
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _with_popularity(stored(table.join(stored(met, "buckets"), "key").select("key", "node", "n"), "members"))
     wanted = members.select("node").distinct()
     held = texts.withColumnRenamed("doc_id", "node").join(wanted, "node")
-    sets = stored(held.mapInArrow(_sets, "node long, shingles binary").distinct(), "sets")
+    sets = stored(held.mapInArrow(lambda batches: _sets(batches, length), "node long, shingles binary").distinct(), "sets")
     links = _confirmed(_hubs(members.withColumn("component", F.col("node"))), sets)
     links = stored(links.unionByName(_confirmed(_hubs(_open(members, links)), sets)), "near-links")
     links = stored(links.unionByName(_links_across(_open(members, links), sets)), "near-links")
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = STAGE_SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, of the document that stays in each group."""
-    keep = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    keep = near_duplicates(docs, id_col, text_col, length).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_kept"]), "left_semi")

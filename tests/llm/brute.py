@@ -70,12 +70,12 @@ def strings(rows, width=400):
     return out
 
 
-def near(rows):
+def near(rows, length=4):
     """component by id; rows that share an id are one node, null ids follow an equal set."""
     sets, by_id = [], defaultdict(list)
     for i, t in rows:
         w = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
-        s = frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+        s = frozenset(tuple(w[k : k + length]) for k in range(len(w) - length + 1)) if len(w) >= length else frozenset([tuple(w)] if w else [])
         sets.append(s)
         by_id[i].append(s)
     parent = {i: i for i in by_id if i is not None}

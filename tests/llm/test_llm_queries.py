@@ -45,7 +45,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids[1]) <= set(ids[0]) and len(ids[1]) > 0.7 * len(ids[0])
     texts = [" ".join((r.text or "").split()) for r in kept[2].collect()]
     assert len(texts) == len(set(texts)) and set(texts) == {" ".join((r.text or "").split()) for r in kept[1].collect()}
-    groups = near([(r.doc_id, r.text) for r in kept[2].collect()])
+    groups = near([(r.doc_id, r.text) for r in kept[2].collect()], 5)
     assert sorted(ids[3]) == sorted(i for i, _, c, _ in groups if i == c)
     assert sorted(set(ids[5])) == sorted(set(ids[4]))
     assert "pipeline" in entry.queries()
