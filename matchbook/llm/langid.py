@@ -133,11 +133,13 @@ def train(docs: DataFrame, allowed: Column, max_labelled: int = MAX_LABELLED) ->
     """Fit on text and non-null lang of documents that pass ``allowed``; None if there are none.
 
     At most ``max_labelled`` documents (first by a hash of the id) with WINDOWS_EACH windows each
-    come to the driver.
+    come to the driver; of rows that share id and lang, one.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.coalesce(allowed, F.lit(False)))
     ids = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang").orderBy("h", "doc_id", "lang").limit(max_labelled).select("doc_id", "lang").distinct()
-    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])  # at most max_labelled small rows
+    ids = F.broadcast(ids.withColumnRenamed("doc_id", "_id").withColumnRenamed("lang", "_lang"))  # at most max_labelled small rows
+    chosen = rows.select("doc_id", "lang", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min(F.struct(F.sha2("text", 256).alias("sha"), "text")).alias("first")).select("lang", "first.text")
     found = chosen.select("lang", "text").mapInArrow(_sample, "lang string, codes binary").toArrow()
     pairs = sorted(zip(found["codes"].to_pylist(), found["lang"].to_pylist()))
     if not pairs:

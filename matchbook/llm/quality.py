@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchbook.llm.base import in_task
+from matchbook.llm.base import in_task, stored
 from matchbook.llm.words import hashes, rounds, spans
 
 #: Hashed features, and the most labelled rows that a fit takes (those first by a hash of the id).
 FEATURES = 1 << 18
 MAX_LABELLED = 6000
+#: Bytes of feature lists that the fit takes to the driver.
+MAX_BYTES = 128 << 20
 THRESHOLD = 0.7
 #: Added to the number of features before its root is taken: keeps short texts near the bias.
 DAMPING = 100
@@ -65,7 +67,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = batch.column("label")
         for first, end, data, offsets in rounds(batch.column("text")):
             found = [features(data[a:b]).astype("<i4").tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([labels.slice(first, end - first), pa.array(found, pa.binary())], ["label", "features"])
+            rows = slice(first, end)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], labels[rows], pa.array(found, pa.binary())], ["doc_id", "label", "features"])
 
 
 def descend(rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, penalty: np.ndarray, epochs: int = 8, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -131,15 +134,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on labelled documents whose ``doc_id`` passes ``allowed``.
 
-    At most ``max_labelled`` rows, first by a hash of the id; null labels and null ids are left
-    out. The rows come as feature lists (each at most FEATURES numbers) to the driver.
+    At most ``max_labelled`` labels, first by a hash of the id, and of these the first MAX_BYTES of
+    feature lists, which come to the driver; null labels and null ids are left out. Of rows that
+    share id and label one is taken.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & allowed)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most max_labelled small rows
-    found = joined.select("label", "text").mapInArrow(_featurise, "label int, features binary").toArrow()
+    one = joined.groupBy("doc_id", "label").agg(F.min(F.struct(F.sha2("text", 256).alias("sha"), "text")).alias("first")).select("doc_id", "label", "first.text")
+    featured = stored(one.mapInArrow(_featurise, "doc_id long, label int, features binary"), "quality-features")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label").rowsBetween(Window.unboundedPreceding, 0)  # max_labelled small rows
+    fits = featured.select("doc_id", "label", F.sum(F.length("features")).over(upto).alias("bytes")).filter(F.col("bytes") <= MAX_BYTES)
+    found = featured.join(F.broadcast(fits.drop("bytes")), ["doc_id", "label"]).select("label", "features").toArrow()
     pairs = sorted(zip(found["features"].to_pylist(), found["label"].to_pylist()))
     rows = [np.frombuffer(f, "<i4") for f, _ in pairs]
     y = np.array([label for _, label in pairs], int)
