@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from matchbook.functions.text import seeded_order
 from matchbook.operators.boxes import components
 from matchbook.operators.ranks import running
-from matchbook.operators.similarity import Plan, within
+from matchbook.operators.similarity import Plan, nearest
 from matchbook.session import durable
 
 
@@ -147,13 +147,18 @@ def episodes(df: DataFrame, day: str, keep: dict[str, tuple[float, float]], per_
         "_e.episode", "_e.role", "ord", "vehicle_id")
 
 
-def _average_linkage(threshold: float):
+#: Clusters of one resolution that a task finishes by itself.
+TASK_CLUSTERS = 1024
+
+
+def _finish(threshold: float):
+    """Average linkage of all clusters of one resolution, from their means and sizes."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["emb"].to_numpy()).astype(np.float64)
-        x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+        pdf = pdf.sort_values("ord")
+        x, size = np.stack(pdf["emb"].to_numpy()).astype(np.float64), pdf["n"].to_numpy().astype(np.float64)
         dist = 1.0 - x @ x.T
         np.fill_diagonal(dist, np.inf)
-        size = np.ones(len(x))
         label = np.arange(len(x))
         while True:
             i, j = np.unravel_index(dist.argmin(), dist.shape)
@@ -161,28 +166,74 @@ def _average_linkage(threshold: float):
                 break
             row = (size[i] * dist[i] + size[j] * dist[j]) / (size[i] + size[j])
             row[[i, j]] = np.inf
-            row[np.isinf(dist[i]) | np.isinf(dist[j])] = np.inf
             dist[i], dist[:, i] = row, row
             dist[j], dist[:, j] = np.inf, np.inf
             size[i] += size[j]
             label[label == label[j]] = label[i]
-        first = pd.Series(pdf["ord"].to_numpy()).groupby(label).transform("min").to_numpy()
-        return pd.DataFrame({"ord": pdf["ord"].to_numpy(), "first": first})
+        ords = pdf["ord"].to_numpy()
+        return pd.DataFrame({"a": ords[label], "b": ords})
 
     return run
 
 
-def pseudo_cameras(frames: DataFrame, threshold: float = 0.35) -> DataFrame:
+def average_linkage(frames: DataFrame, threshold: float, task_clusters: int = TASK_CLUSTERS) -> DataFrame:
+    """``ord, first``: the least ordinal of each frame's cluster; only frames of one resolution join.
+
+    The average of the cosine distances between two clusters is one minus the product of the means
+    of their unit vectors, so a cluster is its mean and its size and no table of pairs exists. This
+    linkage is reducible: clusters that are each other's nearest stay so until they merge. A round
+    merges all such pairs at once, drops clusters without a neighbour below the threshold, and
+    searches anew only for clusters that are new or lost their nearest one. Resolutions with at
+    most ``task_clusters`` clusters left are finished by one task each. Equal vectors start as one
+    cluster; equally near clusters go by ordinal.
+    """
+    norm = F.sqrt(F.aggregate("emb", F.lit(0.0), lambda s, x: s + x * x)) + 1e-8
+    unit = durable(frames.select("ord", "resolution", F.transform("emb", lambda x: x / norm).alias("emb")), "frames")
+    clusters = durable(unit.groupBy("resolution", "emb").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")), "clusters")
+    start, plan = clusters, Plan(exclude=(("ord",),), require=("resolution",), normalise=False)
+    active, near, merges = clusters, None, []
+    while True:
+        counts = durable(active.groupBy("resolution").agg((F.count(F.lit(1)) <= task_clusters).alias("small")), "cluster-counts")
+        placed = active.join(counts, active["resolution"].eqNullSafe(counts["resolution"])).drop(counts["resolution"])
+        small = placed.filter("small").select("ord", "resolution", "emb", "n")
+        merges.append(durable(small.groupBy("resolution").applyInPandas(_finish(threshold), "a long, b long").filter("a <> b"), "merges"))
+        if not counts.filter("not small").limit(1).count():
+            break
+        active = durable(placed.filter("not small").select("ord", "resolution", "emb", "n"), "clusters")
+        known = near.join(active.select(F.col("ord").alias("q_ord")), "q_ord", "left_semi") if near is not None else None
+        stale = active if known is None else active.join(known.select(F.col("q_ord").alias("ord")), "ord", "left_anti")
+        found = nearest(stale, active, 1, plan).filter(1.0 - F.col("sim") < threshold).select("q_ord", "g_ord")
+        near = durable(found if known is None else found.unionByName(known), "nearest")
+        back = near.select(F.col("q_ord").alias("g_ord"), F.col("g_ord").alias("q_ord"))
+        pairs = durable(near.join(back, ["q_ord", "g_ord"]).filter("q_ord < g_ord").select(F.col("q_ord").alias("a"), F.col("g_ord").alias("b")), "merges")
+        merges.append(pairs)
+        gone = durable(pairs.select(F.explode(F.array("a", "b")).alias("ord")), "merged")
+        one, two = active.alias("one").join(pairs, F.col("one.ord") == F.col("a")), active.alias("two")
+        both = one.join(two, F.col("two.ord") == F.col("b"))
+        n = F.col("one.n") + F.col("two.n")
+        mean = F.zip_with("one.emb", "two.emb", lambda x, y: (F.col("one.n") * x + F.col("two.n") * y) / n)
+        new = both.select(F.col("a").alias("ord"), F.col("one.resolution").alias("resolution"), mean.alias("emb"), n.alias("n"))
+        open_ = active.join(near.select(F.col("q_ord").alias("ord")), "ord", "left_semi").join(gone, "ord", "left_anti")
+        active = durable(open_.select(*new.columns).unionByName(new), "clusters")
+        lost = lambda c: gone.withColumnRenamed("ord", c)
+        known = near.join(lost("q_ord"), "q_ord", "left_anti").join(lost("g_ord"), "g_ord", "left_anti").select("q_ord", "g_ord")
+        # Without a merge (rounding can make a ring of equal distances) every nearest cluster is searched anew.
+        near = durable(known, "nearest") if pairs.limit(1).count() else None
+    edges = merges[0]
+    for more in merges[1:]:
+        edges = edges.unionByName(more)
+    label = components(start.select(F.col("ord").alias("id")), edges).select(F.col("id").alias("ord"), "label")
+    named = start.join(label, "ord").select("resolution", "emb", "ord", "label")
+    same = unit["resolution"].eqNullSafe(named["resolution"]) & (unit["emb"] == named["emb"])
+    return unit.join(named, same).select(unit["ord"], named["label"].alias("first"))
+
+
+def pseudo_cameras(frames: DataFrame, threshold: float = 0.35, task_clusters: int = TASK_CLUSTERS) -> DataFrame:
     """``ord, camera_id``: frames of one resolution with similar background share a camera.
 
-    Average linkage only ever joins frames that are connected by pairs closer than the
-    threshold, so those connected components are found first, as a distributed join, and
-    each one is clustered by itself. ``frames`` has ord, resolution and emb.
+    Cameras are the clusters of average linkage below the threshold, numbered by their first
+    frame. ``frames`` has ord, resolution and emb.
     """
-    frames = durable(frames.select("ord", "resolution", "emb"), "frames")
-    near = within(frames, frames, 1.0 - threshold, Plan(exclude=(("ord",),), require=("resolution",)))
-    comp = components(frames.select(F.col("ord").alias("id")), near.select(F.col("q_ord").alias("a"), F.col("g_ord").alias("b")))
-    rows = frames.join(comp.withColumnRenamed("id", "ord"), "ord")
-    found = durable(rows.groupBy("label").applyInPandas(_average_linkage(threshold), "ord long, first long"), "clusters")
+    found = durable(average_linkage(frames, threshold, task_clusters), "clusters")
     ids = running(found.select("first").distinct(), "first", "first").select("first", F.col("rank").cast("int").alias("camera_id"))
     return found.join(ids, "first").select("ord", "camera_id")

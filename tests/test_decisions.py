@@ -123,6 +123,34 @@ def test_pseudo_cameras_follow_average_linkage(spark):
     assert all(len(v) == 1 for v in groups.values()) and len(groups) == 6
 
 
+def linkage(x, resolution, threshold):
+    """Average linkage by its definition: the nearest two clusters merge, averaged over all pairs of members."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [[i] for i in range(len(x))]
+    while True:
+        near = [(np.mean([1 - x[i] @ x[j] for i in a for j in b]), a, b) for n, a in enumerate(groups) for b in groups[n + 1 :] if resolution[a[0]] == resolution[b[0]]]
+        best = min(near, default=(np.inf, None, None), key=lambda t: t[0])
+        if not best[0] < threshold:
+            return sorted(sorted(g) for g in groups)
+        groups = [g for g in groups if g not in (best[1], best[2])] + [best[1] + best[2]]
+
+
+def test_average_linkage_by_rounds_equals_its_definition(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(48, 3))
+    x[40:44] = x[3]  # equal vectors, also across resolutions
+    resolution = [i % 2 for i in range(44)] + [2, 2, 2, 3]
+    df = spark.createDataFrame([(i, resolution[i], [float(v) for v in x[i]]) for i in range(48)], "ord long, resolution int, emb array<double>")
+    for threshold in (0.35, 0.9):
+        want = linkage(x, resolution, threshold)
+        for task_clusters in (1024, 4, 0):
+            groups = {}
+            for r in splits.average_linkage(df, threshold, task_clusters).collect():
+                groups.setdefault(r.first, []).append(r.ord)
+            assert sorted(sorted(g) for g in groups.values()) == want and all(k == min(g) for k, g in groups.items())
+    assert splits.pseudo_cameras(df.limit(0)).count() == 0
+
+
 def test_local_geometry_shape(rows):
     rng = np.random.default_rng(7)
     q, g = rows(rng.normal(size=(3, 6))), rows(rng.normal(size=(30, 6)), start=50)
