@@ -152,3 +152,21 @@ def test_joint_counts_in_one_and_in_several_parts(rows, monkeypatch, per_part):
     assert {r.track: (r.m, r.n_cand) for r in got.collect()} == want and any(n for _, n in want.values())
     none = similarity.joint_counts(q, g.filter(F.lit(False)), 0.3)
     assert {r.n_cand for r in none.collect()} == {0}
+
+
+def test_lateral_table_function_over_many_blocks(rows, monkeypatch):
+    from matchbook.functions import extensions
+
+    monkeypatch.setattr(extensions, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 5))
+    x[20:25] = x[50]  # ties
+    q, g = rows(x[:40]), rows(x, start=100)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.q_ord, r.pos): r.g_ord for r in extensions.knn_lateral(q, g, 7).collect()}
+    sims = np.round(unit[:40] @ unit.T, 12)
+    for i in range(40):
+        assert [got[i, p] for p in range(1, 8)] == [j + 100 for j in sorted(range(90), key=lambda j: (-sims[i, j], j))[:7]]
+    assert len(got) == 280
+    assert extensions.knn_lateral(q, g.limit(0), 7).count() == 0 and extensions.knn_lateral(q.limit(0), g, 7).count() == 0
+    assert extensions.knn_lateral(q, g.limit(3), 7).count() == 120
