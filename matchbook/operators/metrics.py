@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from matchbook.operators.search import valid_positives
-from matchbook.operators.similarity import JUNK, Plan, bucket_rows, score_buckets
+from matchbook.operators.search import identity_counts, valid_positives
+from matchbook.operators.similarity import JUNK, _matrix, allowed_pairs, streamed
 from matchbook.session import durable
 
 
@@ -57,43 +62,119 @@ def average_precision_at_k(
     )
 
 
-def full_average_precision(q: DataFrame, g: DataFrame, exclude=JUNK, q_rows: int = 1024, g_rows: int = 8192) -> DataFrame:
+#: Scores this close may change their order by rounding: a matrix product of unit vectors errs by less.
+ROUND = 1e-12
+
+
+class _Ranks:
+    """Places of all positives of a block of queries; the rest of the gallery streams past."""
+
+    def __init__(self, q: pa.Table, exclude):
+        self.q, self.exclude, self.qm = q, exclude, _matrix(q["emb"], True)
+        vehicle = q["vehicle_id"].to_numpy()
+        self.members = {v: np.flatnonzero(vehicle == v) for v in np.unique(vehicle)}
+        self.found = {v: ([], []) for v in self.members}
+        self.rows = None
+
+    def see(self, side: int, g: pa.Table) -> None:
+        gm, go, vehicle = _matrix(g["emb"], True), g["ord"].to_numpy(), g["vehicle_id"].to_numpy()
+        allowed = allowed_pairs(self.q, g, self.exclude)
+        if side == 0:
+            for v in np.unique(vehicle):
+                i, j = self.members[v], np.flatnonzero(vehicle == v)
+                self.found[v][0].append(np.where(allowed[np.ix_(i, j)], _fold_all(self.qm[i], gm[j]), -np.inf))
+                self.found[v][1].append(go[j])
+            return
+        self._order()
+        scores = self.qm @ gm.T
+        for v, i in self.members.items():
+            allowed[np.ix_(i, np.flatnonzero(vehicle == v))] = False
+        scores[~allowed] = -np.inf
+        scores.sort(axis=1)
+        width = scores.shape[1]
+        for r, (marks, ords, ahead) in enumerate(self.rows):
+            if not len(marks):
+                continue
+            upto = np.searchsorted(scores[r], marks, side="right")
+            below, above = scores[r, np.maximum(upto - 1, 0)], scores[r, np.minimum(upto, width - 1)]
+            if (np.abs(below - marks) > ROUND).all() and (np.abs(above - marks) > ROUND).all():
+                ahead += (width - upto).astype(np.int32)
+            else:
+                ahead += _ahead(np.where(allowed[r], _fold_all(self.qm[r : r + 1], gm)[0], -np.inf), go, marks, ords)
+
+    def _order(self) -> None:
+        if self.rows is not None:
+            return
+        self.rows = [(np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))] * len(self.qm)
+        for v, (parts, ords) in self.found.items():
+            if not parts:
+                continue
+            ords = np.concatenate(ords)
+            for at, r in enumerate(self.members[v]):
+                marks = np.concatenate([part[at] for part in parts])
+                order = np.lexsort((ords, -marks))[: int(np.isfinite(marks).sum())]
+                self.rows[r] = (marks[order], ords[order], np.zeros(len(order), dtype=np.int32))
+            self.found[v] = ([], [])
+
+    def result(self) -> dict:
+        self._order()
+        hit = [r for r, (marks, _, _) in enumerate(self.rows) if len(marks)]
+        of, at = self.q["ord"].to_numpy(), [self.rows[r][2] + np.arange(1, len(self.rows[r][2]) + 1) for r in hit]
+        return {"q_ord": of[hit], "ap": [float((np.arange(1, len(a) + 1) / a).mean()) for a in at],
+                "first_hit": [int(a[0]) for a in at], "last_hit": [int(a[-1]) for a in at], "n_pos": [len(a) for a in at]}
+
+
+def _fold_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of all pairs, each summed in dimension order."""
+    out = np.zeros((len(a), len(b)))
+    bt = np.ascontiguousarray(b.T)
+    for i in range(0, len(a), 16):
+        s = out[i : i + 16]
+        for d in range(a.shape[1]):
+            s += a[i : i + 16, d, None] * bt[d]
+    return out
+
+
+def _ahead(scores: np.ndarray, go: np.ndarray, marks: np.ndarray, ords: np.ndarray) -> np.ndarray:
+    """How many rows (ordinals ascending) have a higher score than a mark, or an equal one and a lower ordinal."""
+    order = np.argsort(scores, kind="stable")
+    scores = scores[order]
+    lo, hi = np.searchsorted(scores, marks, side="left"), np.searchsorted(scores, marks, side="right")
+    ahead = len(scores) - hi
+    tied = np.flatnonzero(hi > lo)
+    if len(tied):
+        step = len(scores) + 1
+        group = np.concatenate(([0], np.cumsum(scores[1:] != scores[:-1])))
+        place = np.searchsorted(group * step + order, group[lo[tied]] * step + np.searchsorted(go, ords[tied]))
+        ahead[tied] += place - lo[tied]
+    return ahead.astype(np.int32)
+
+
+def full_average_precision(q: DataFrame, g: DataFrame, exclude=JUNK, q_rows: int = 512, cells: int = 12 << 20) -> DataFrame:
     """AP over the whole ranking: ``q_ord, ap, first_hit, last_hit, n_pos``.
 
-    Per-query score histograms give the offset of every score bucket, and only the
-    buckets that hold a positive are ranked row by row.
+    A task holds a block of queries and the scores of their positives (about ``cells`` of them at most, fewer
+    queries per block if identities are large). The gallery streams past and adds to each positive the number of
+    rows ahead, so neither pairs nor histograms are moved: one row per query leaves the task.
     """
-    plan = Plan(exclude=(exclude,) if exclude else (), q_rows=q_rows, g_rows=g_rows)
-    w = Window.partitionBy("q_ord").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    hist = durable(
-        score_buckets(q, g, plan, "vehicle_id").select(
-            "q_ord",
-            "bucket",
-            "n_pos",
-            F.coalesce(F.sum("n").over(w), F.lit(0)).alias("ahead"),
-            F.coalesce(F.sum("n_pos").over(w), F.lit(0)).alias("pos_ahead"),
-        ).filter(F.col("n_pos") > 0),
-        "score-histogram",
-    )
-    wanted = hist.groupBy(F.col("q_ord").alias("ord")).agg(F.collect_list("bucket").alias("buckets"))
-    rows = bucket_rows(q.join(wanted, "ord"), g, plan, "vehicle_id")
-    inside = Window.partitionBy("q_ord", "bucket").orderBy(F.desc("sim"), F.asc("g_ord"))
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.col("is_pos").cast("int")
-    return (
-        rows.withColumn("_rn", F.row_number().over(inside))
-        .withColumn("_hits", F.sum(hit).over(upto))
-        .filter("is_pos")
-        .join(hist.select("q_ord", "bucket", "ahead", "pos_ahead"), ["q_ord", "bucket"])
-        .select("q_ord", (F.col("ahead") + F.col("_rn")).alias("at"), (F.col("pos_ahead") + F.col("_hits")).alias("hits"))
-        .groupBy("q_ord")
-        .agg(
-            F.avg(F.col("hits") / F.col("at")).alias("ap"),
-            F.min("at").alias("first_hit"),
-            F.max("at").alias("last_hit"),
-            F.count(F.lit(1)).alias("n_pos"),
-        )
-    )
+    rules = (tuple(exclude),) if exclude else ()
+    columns = ["ord", "emb", *dict.fromkeys(["vehicle_id", *(exclude or ())])]
+    wanted = q.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("_q")).join(identity_counts(g, ["vehicle_id"]), "vehicle_id")
+    parts = F.ceil(F.col("_q") / F.least(F.lit(q_rows), F.greatest(F.lit(1), F.floor(F.lit(cells) / F.col("_n")))))
+    wanted = durable(wanted.withColumn("parts", parts.cast("int")), "identities")
+    # Identities of one block share blocks by hash, twice as many as it takes on average.
+    small = wanted.filter("parts = 1").agg(F.sum(F.col("_q") * F.col("_n") / cells).alias("c"), F.sum("_q").alias("q")).first()
+    bins = 2 * math.ceil(max(small.c or 0, (small.q or 0) / q_rows, 1))
+    block = lambda part: F.when(F.col("parts") > 1, F.xxhash64("vehicle_id", part)).otherwise(F.pmod(F.xxhash64("vehicle_id"), F.lit(bins)))
+    homes = durable(wanted.select("vehicle_id", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        "vehicle_id", block(F.col("part")).alias("block")), "blocks")
+    blocks = homes.select("block").distinct()
+    asked = q.select(*columns).join(wanted.select("vehicle_id", "parts"), "vehicle_id")
+    asked = asked.select(*columns, block(F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int")).alias("block"))
+    rows = g.select(*columns)
+    schema = T.StructType([T.StructField(n, T.DoubleType() if n == "ap" else T.LongType()) for n in ("q_ord", "ap", "first_hit", "last_hit", "n_pos")])
+    return streamed(asked, [rows.join(homes, "vehicle_id").select(*columns, "block"), rows.crossJoin(F.broadcast(blocks))],
+                    blocks.count(), schema, lambda t: _Ranks(t, rules))
 
 
 def summary(ap: DataFrame, ranks=(1, 5, 10), keys=()) -> DataFrame:

@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,43 @@ def test_cascade_properties(spark):
         assert all(r.rescored >= floor + 1 for r in same if r.q_ord == q)
     with pytest.raises(ValueError):
         cascade.rescore(short, 1.5)
+
+
+def brute_places(qe, ge, qv, gv, qc, gc):
+    out = {}
+    for i in range(len(qe)):
+        rows = [(-sum(a * b for a, b in zip(qe[i], ge[j])), j) for j in range(len(ge)) if not (qv[i] == gv[j] and qc[i] == gc[j])]
+        at = [p for p, (_, j) in enumerate(sorted(rows), 1) if gv[j] == qv[i]]
+        if at:
+            out[i] = (sum(h / p for h, p in enumerate(at, 1)) / len(at), at[0], at[-1], len(at))
+    return out
+
+
+@pytest.mark.parametrize("cells", [12 << 20, 150])
+def test_full_ranking_with_copies_in_several_blocks(rows, cells):
+    rng = np.random.default_rng(5)
+    signs = lambda n: np.where(rng.random((n, 4)) < 0.5, -0.5, 0.5)
+    qe, ge = signs(60), signs(400)
+    qv, gv, qc, gc = rng.integers(0, 5, 60), rng.integers(0, 4, 400), rng.integers(0, 3, 60), rng.integers(0, 3, 400)
+    got = metrics.full_average_precision(rows(qe, qv, qc), rows(ge, gv, gc), q_rows=7, cells=cells).collect()
+    want = brute_places(qe, ge, qv, gv, qc, gc)
+    assert {r.q_ord: (r.first_hit, r.last_hit, r.n_pos) for r in got} == {i: w[1:] for i, w in want.items()}
+    assert all(r.ap == pytest.approx(want[r.q_ord][0]) for r in got)
+
+
+def test_a_gallery_seen_in_parts_gives_the_same_places():
+    # One task: a block of two identities, the gallery in parts of 50 rows with copies across them.
+    rng = np.random.default_rng(6)
+    qe, ge = np.where(rng.random((9, 4)) < 0.5, -0.5, 0.5), np.where(rng.random((300, 4)) < 0.5, -0.5, 0.5)
+    ge[::3] = rng.normal(size=(100, 4))
+    ge /= np.linalg.norm(ge, axis=1)[:, None]
+    qv, gv, qc, gc = rng.integers(0, 2, 9), rng.integers(0, 3, 300), rng.integers(0, 2, 9), rng.integers(0, 2, 300)
+    table = lambda e, v, c: pa.table({"ord": np.arange(len(e)), "emb": pa.array(e.tolist()), "vehicle_id": v, "camera_id": c})
+    state, g = metrics._Ranks(table(qe, qv, qc), (("vehicle_id", "camera_id"),)), table(ge, gv, gc)
+    for side in (0, 1):
+        for at in range(0, 300, 50):
+            part = g.slice(at, 50)
+            state.see(side, part.filter(pc.less(part["vehicle_id"], 2)) if side == 0 else part)
+    r = state.result()
+    want = brute_places(qe, ge, qv, gv, qc, gc)
+    assert {i: (f, l, n) for i, f, l, n in zip(r["q_ord"], r["first_hit"], r["last_hit"], r["n_pos"])} == {i: w[1:] for i, w in want.items()}

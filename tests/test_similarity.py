@@ -1,12 +1,14 @@
 """Blocked similarity: exactness, ties, copies, exclusions, thresholds and profiles."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from matchbook.operators import ann, features
+from matchbook.operators import ann, features, similarity
 from matchbook.operators.search import FAR_ORD, reciprocal_rank_fusion
-from matchbook.operators.similarity import CAMERA, FRAME, JUNK, Plan, counts_ahead, nearest, within
+from matchbook.operators.similarity import CAMERA, FRAME, JUNK, SELF, Plan, counts_ahead, nearest, within
 
 
 def unit(x):
@@ -170,3 +172,38 @@ def test_lateral_table_function_over_many_blocks(rows, monkeypatch):
     assert len(got) == 280
     assert extensions.knn_lateral(q, g.limit(0), 7).count() == 0 and extensions.knn_lateral(q.limit(0), g, 7).count() == 0
     assert extensions.knn_lateral(q, g.limit(3), 7).count() == 120
+
+
+def test_quantiles_of_a_gallery_seen_in_parts():
+    # Copies make buckets of many equal scores; the held scores are merged after every part.
+    rng = np.random.default_rng(8)
+    qe, ge = rng.normal(size=(6, 5)), rng.normal(size=(200, 5))
+    ge[:120] = ge[0]
+    table = lambda e, start: pa.table({"ord": np.arange(len(e)) + start, "emb": pa.array(e.tolist())})
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    state = features._Quantiles(table(qe, 0), Plan(exclude=(SELF,)), probs)
+    state.HELD = 10
+    for side in (0, 1):
+        for at in range(0, 200, 30):
+            state.see(side, table(ge, 3).slice(at, 30))
+    out = state.result()
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    for i in range(6):
+        s = np.delete(unit(ge) @ unit(qe)[i], [i - 3] if i >= 3 else [])
+        assert out["n"][i] == len(s)
+        assert [out["mean"][i], out["std"][i]] == pytest.approx([s.mean(), s.std()])
+        assert [out[f"p{p}"][i] for p in range(5)] == pytest.approx(np.quantile(s, probs).tolist())
+
+
+def test_a_block_is_scored_in_slices_of_its_queries():
+    seen = []
+
+    def body(b):
+        seen.append(b.scores.shape)
+        return {"q_ord": b.qo, "n": b.allowed.sum(axis=1)}
+
+    table = lambda n: pa.table({"ord": np.arange(n), "emb": pa.array(np.ones((n, 2)).tolist())})
+    schema = T.StructType([T.StructField("q_ord", T.LongType()), T.StructField("n", T.LongType())])
+    out = similarity._task(Plan(exclude=(SELF,)), schema, body, similarity.Block, False)(table(3000), table(4096))
+    assert out.num_rows == 3000 and set(out["n"].to_pylist()) == {4095}
+    assert len(seen) == 3 and max(a * b for a, b in seen) <= similarity.TILE
