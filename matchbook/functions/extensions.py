@@ -29,8 +29,8 @@ def embed(df: DataFrame, column: str, function: Callable[[list], np.ndarray], di
         F.raise_error(F.lit("embedding function returned an unusable vector")).cast("array<double>")))
 
 
-#: Rows of a query block and of a gallery block that one call of the table function compares.
-BLOCK = 1024
+#: Rows of a query block that one call of the table function compares; a gallery block has WIDER times as many.
+BLOCK, WIDER = 1024, 8
 
 
 @F.udtf(returnType="q_ord long, g_ord long, sim double", useArrow=True)
@@ -60,8 +60,8 @@ class Knn:
         yield from zip(q_ords[i[best]].tolist(), g_ords[j[best]].tolist(), sims[best].tolist())
 
 
-def _blocks(df: DataFrame, side: str) -> tuple[DataFrame, int]:
-    n = max(1, -(-df.count() // BLOCK))
+def _blocks(df: DataFrame, side: str, size: int) -> tuple[DataFrame, int]:
+    n = max(1, -(-df.count() // size))
     rows = F.sort_array(F.collect_list(F.struct("ord", "emb")))
     cut = df.groupBy(F.pmod(F.xxhash64("ord"), F.lit(n).cast("long")).alias(f"{side}_block")).agg(rows.alias("r"))
     return cut.select(f"{side}_block", F.col("r.ord").alias(f"{side}_ords"), F.flatten("r.emb").alias(f"{side}_flat")), n
@@ -71,16 +71,17 @@ def knn_lateral(q: DataFrame, g: DataFrame, k: int) -> DataFrame:
     """k nearest gallery rows of every query row, ``q_ord, pos, g_ord, sim``, from SQL.
 
     ``knn`` is registered as a table function and called LATERAL on every pair of a query block and
-    a gallery block, of about BLOCK rows each whatever the tables hold; a window keeps the k best
-    of all blocks. Ties go to the lower ordinal; fewer than k gallery rows give fewer rows. The
+    a gallery block, of about BLOCK and WIDER * BLOCK rows whatever the tables hold; a window keeps the k best
+    of all blocks. A worker turns all rows of an Arrow batch into lists at once, so there are as many
+    partitions as pairs of blocks, and a task gets few of them however large the tables are. Ties go to the lower ordinal; fewer than k gallery rows give fewer rows. The
     gallery is sent once per query block and never comes to the driver.
     """
     spark = q.sparkSession
     spark.udtf.register("knn", Knn)
-    queries, _ = _blocks(q, "q")
-    gallery, n = _blocks(g, "g")
+    queries, m = _blocks(q, "q", BLOCK)
+    gallery, n = _blocks(g, "g", WIDER * BLOCK)
     asked = queries.withColumn("g_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    met = asked.hint("merge").join(gallery, "g_block").repartition("q_block", "g_block")
+    met = asked.hint("merge").join(gallery, "g_block").repartition(m * n, "q_block", "g_block")
     return spark.sql(
         """SELECT q_ord, pos, g_ord, sim FROM (
              SELECT k.*, row_number() OVER (PARTITION BY k.q_ord ORDER BY k.sim DESC, k.g_ord) AS pos
