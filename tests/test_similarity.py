@@ -207,3 +207,20 @@ def test_a_block_is_scored_in_slices_of_its_queries():
     out = similarity._task(Plan(exclude=(SELF,)), schema, body, similarity.Block, False)(table(3000), table(4096))
     assert out.num_rows == 3000 and set(out["n"].to_pylist()) == {4095}
     assert len(seen) == 3 and max(a * b for a, b in seen) <= similarity.TILE
+
+
+def test_blocks_widen_before_they_become_many(rows):
+    # Rows of 17 x 41 once made a group per pair of such blocks, quadratic in number.
+    rng = np.random.default_rng(9)
+    q, g = rng.normal(size=(200, 3)), rng.normal(size=(500, 3))
+    schema = T.StructType([T.StructField("n", T.LongType())])
+    pairs = similarity.blocked(rows(q), rows(g, start=1000), Plan(q_rows=3, g_rows=5), schema, lambda b: {"n": [b.scores.size]})
+    n = [r.n for r in pairs.collect()]
+    assert sum(n) == 200 * 500 and len(n) <= similarity.FEW**2
+
+
+def test_counts_ahead_of_ties_at_the_marks(rows):
+    q, g = rows(np.array([[1.0, 0.0]])), rows(np.array([[1.0, 0.0]] * 4 + [[0.0, 1.0]] * 3), start=10)
+    marked = q.withColumn("marks", F.array(F.lit(1.0), F.lit(0.0), F.lit(2.0), F.lit(-1.0))).withColumn(
+        "mark_ords", F.array(F.lit(12).cast("long"), F.lit(15).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")))
+    assert {r["mark"]: r.n for r in counts_ahead(marked, g).collect()} == {0: 2, 1: 5, 2: 0, 3: 7}
