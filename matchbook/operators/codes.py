@@ -79,25 +79,28 @@ def decoded(rows: DataFrame, books: Sequence[np.ndarray]) -> DataFrame:
 
 
 class CodeBlock(Block):
-    """A query block against a block of codes: scores are sums of table entries."""
+    """A query block against a block of codes: scores are sums of table entries, proposed by products with the decoded rows."""
 
     def __init__(self, q: pa.Table, g: pa.Table, plan: Plan, books: Sequence[np.ndarray]):
         self.books = books
         super().__init__(q, g, plan)
 
     def _score(self) -> np.ndarray:
-        x = _matrix(self.q["emb"], self.plan.normalise)
-        code = np.frombuffer(b"".join(self.g["emb"].to_pylist()), np.uint8).reshape(self.g.num_rows, -1)
-        scores, part = np.zeros((len(x), len(code))), self.books[0].shape[1]
+        x, part = _matrix(self.q["emb"], self.plan.normalise), self.books[0].shape[1]
+        self.code = np.frombuffer(b"".join(self.g["emb"].to_pylist()), np.uint8).reshape(self.g.num_rows, -1)
+        self.tables = []
         for i, book in enumerate(self.books):
             entries = np.zeros((len(x), len(book)))
             for d in range(part):
                 entries += x[:, i * part + d, None] * book[None, :, d]
-            scores += entries[:, code[:, i]]
-        return scores
+            self.tables.append(entries)
+        return x @ np.hstack([book[self.code[:, i]] for i, book in enumerate(self.books)]).T
 
     def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return self.scores[i, j]
+        s = np.zeros(len(i))
+        for entries, code in zip(self.tables, self.code.T):
+            s += entries[i, code[j]]
+        return s
 
 
 class CodeIndex:
@@ -125,7 +128,10 @@ class CodeIndex:
 
     def search(self, q: DataFrame, k: int, size: int | None = None, plan: Plan = Plan()) -> DataFrame:
         """Top-k of each query's pool (10 k rows unless ``size`` says otherwise) by exact scores: ``q_ord, g_ord, sim, pos``."""
-        pool = durable(self.pool(q, size or 10 * k, plan).select("q_ord", "g_ord"), "code-pool")
+        return self.rescored(q, durable(self.pool(q, size or 10 * k, plan).select("q_ord", "g_ord"), "code-pool"), k, plan)
+
+    def rescored(self, q: DataFrame, pool: DataFrame, k: int, plan: Plan = Plan()) -> DataFrame:
+        """Top-k of a given pool (q_ord, g_ord) by exact scores: ``q_ord, g_ord, sim, pos``."""
         side = lambda df, key, out: df.select(F.col("ord").alias(key), (unit(F.col("emb")) if plan.normalise else doubles(F.col("emb"))).alias(out))
         pairs = pool.join(side(q, "q_ord", "_q"), "q_ord").join(side(self.vectors, "g_ord", "_g"), "g_ord")
         w = Window.partitionBy("q_ord").orderBy(F.desc("sim"), F.asc("g_ord"))

@@ -73,3 +73,27 @@ def test_small_and_empty_galleries(spark, vectors):
     index = codes.CodeIndex(few, 4, 16, codes.books_of_rows(few, 4, 16))
     assert index.search(frame(spark, vectors[:1], 99), 10, plan=FREE).count() == 3
     assert index.search(few.limit(0), 10, plan=FREE).count() == 0
+
+
+def test_scores_of_codes_are_sums_of_table_entries(spark, vectors):
+    # Rows of equal codes have equal scores however their products round, and go by ordinal.
+    g, q = frame(spark, vectors[:600]), frame(spark, vectors[600:605], 10_000)
+    index = codes.CodeIndex(g, 4, 16, [b[:6] for b in codes.books_of_rows(g, 4, 16)])
+    code = {r.ord: list(r.code) for r in index.rows.collect()}
+    x = np.array([v / np.sqrt(sum(y * y for y in v)) for v in vectors[600:605]])
+    pool = index.pool(q, 40, FREE)
+    for i in range(5):
+        score = {}
+        for o, c in code.items():
+            s = 0.0
+            for p, entry in enumerate(c):
+                e = 0.0
+                for d in range(4):
+                    e += x[i, 4 * p + d] * index.books[p][entry, d]
+                s += e
+            score[o] = s
+        want = sorted(score, key=lambda o: (-round(score[o], 12), o))[:40]
+        got = [r.g_ord for r in pool.filter(F.col("q_ord") == 10_000 + i).orderBy("pos").collect()]
+        assert got == want
+    kept = index.rescored(q, pool.select("q_ord", "g_ord"), 10, FREE).select("q_ord", "g_ord", "pos").collect()
+    assert sorted(kept) == sorted(index.search(q, 10, 40, FREE).select("q_ord", "g_ord", "pos").collect())
