@@ -56,10 +56,11 @@ def f2(spark, sf_dir):
     q, g = sides(spark, sf_dir)
     q2, g2 = second_space(q), second_space(g)
     main = durable(basic_features(q, g), "main")
-    aux = basic_features(q2, g2, "aux_")
+    raw, density = durable(nearest(q2, g2, 6), "raw"), durable(features.density(g2), "density")
+    aux = features.basic(durable(ranked(q2, g2), "ranked"), raw, density, "aux_")
     sim = search.pair_scores(main.select("q_ord", F.col("top").alias("g_ord")), q2, g2, "aux_sim").select("q_ord", "aux_sim")
-    best = nearest(q2, g2, 1).select("q_ord", F.col("sim").alias("_best"))
-    dens = features.density(g2).select(F.col("ord").alias("top"), F.col("density").alias("_d"))
+    best = raw.filter("pos = 1").select("q_ord", F.col("sim").alias("_best"))
+    dens = density.select(F.col("ord").alias("top"), F.col("density").alias("_d"))
     j = main.join(aux, "q_ord").join(sim, "q_ord").join(best, "q_ord").join(dens, "top")
     out = j.withColumn("agree", (F.col("top") == F.col("aux_top")).cast("double")).withColumn("aux_gap", F.col("aux_sim") - F.col("_best")).withColumn(
         "aux_sim_density", F.col("aux_sim") - F.col("_d"))
