@@ -140,3 +140,24 @@ def test_a_gallery_seen_in_parts_gives_the_same_places():
     r = state.result()
     want = brute_places(qe, ge, qv, gv, qc, gc)
     assert {i: (f, l, n) for i, f, l, n in zip(r["q_ord"], r["first_hit"], r["last_hit"], r["n_pos"])} == {i: w[1:] for i, w in want.items()}
+
+
+@pytest.mark.parametrize("normalise", [True, False])
+def test_both_protocols_in_one_pass(rows, normalise):
+    # Sign codes of 32 values: normalised, equal Hamming distances differ by rounding; as integers they are ties.
+    rng = np.random.default_rng(7)
+    qe, ge = rng.normal(size=(50, 32)), rng.normal(size=(300, 32))
+    if not normalise:
+        qe, ge = np.where(qe > 0, 1.0, -1.0), np.where(ge > 0, 1.0, -1.0)
+    qv, gv, qc, gc = rng.integers(0, 5, 50), rng.integers(0, 4, 300), rng.integers(0, 3, 50), rng.integers(0, 3, 300)
+    q, g = rows(qe, qv, qc), rows(ge, gv, gc, start=1000)
+    got = {r.q_ord: r for r in metrics.both_average_precisions(q, g, normalise, q_rows=7).collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None] if normalise else m
+    std = brute_places(unit(qe).tolist(), unit(ge).tolist(), qv, gv, qc, gc)
+    assert got.keys() == std.keys()
+    for i, r in got.items():
+        s = unit(ge) @ unit(qe)[i]
+        order = [j for j in sorted(range(300), key=lambda j: (-s[j], j)) if gc[j] != qc[i]]
+        at = [p for p, j in enumerate(order, 1) if gv[j] == qv[i]]
+        assert (r.ap, r.first_hit) == (pytest.approx(std[i][0]), std[i][1])
+        assert (r.ap_cross, r.first_hit_cross) == (pytest.approx(np.mean(np.arange(1, len(at) + 1) / at)), at[0])

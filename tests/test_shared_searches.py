@@ -1,7 +1,7 @@
 """Queries that use one search several times make it once."""
 
 from __spark_entry__ import queries
-from matchbook.operators import features
+from matchbook.operators import features, metrics
 
 
 def test_two_space_features_search_each_gallery_once_for_its_density(spark, monkeypatch):
@@ -10,3 +10,11 @@ def test_two_space_features_search_each_gallery_once_for_its_density(spark, monk
     monkeypatch.setattr(features, "density", lambda g, f=features.density: seen.append(g) or f(g))
     queries()["f2_two_space_features"](spark, "/root/testdata/sf0.001")
     assert len(seen) == 2
+
+
+def test_compression_quality_passes_the_gallery_once_per_variant(spark, monkeypatch):
+    # Both protocols were once ranked apart: six passes over the gallery for three variants.
+    seen = []
+    monkeypatch.setattr(metrics, "streamed", lambda *a, f=metrics.streamed: seen.append(a) or f(*a))
+    rows = queries()["a34_compression_quality"](spark, "/root/testdata/sf0.001").collect()
+    assert len(seen) == 3 and [r.variant for r in rows] == ["f32", "pca32_i8", "pca32_bin"]
