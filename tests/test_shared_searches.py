@@ -1,7 +1,10 @@
 """Queries that use one search several times make it once."""
 
+import numpy as np
+
 from __spark_entry__ import queries
-from matchbook.operators import features, metrics
+from matchbook.operators import features, graph, metrics, similarity
+from matchbook.plans import reranking
 
 
 def test_two_space_features_search_each_gallery_once_for_its_density(spark, monkeypatch):
@@ -18,3 +21,32 @@ def test_compression_quality_passes_the_gallery_once_per_variant(spark, monkeypa
     monkeypatch.setattr(metrics, "streamed", lambda *a, f=metrics.streamed: seen.append(a) or f(*a))
     rows = queries()["a34_compression_quality"](spark, "/root/testdata/sf0.001").collect()
     assert len(seen) == 3 and [r.variant for r in rows] == ["f32", "pca32_i8", "pca32_bin"]
+
+
+def test_grid_points_share_the_searches_of_a_space(spark, monkeypatch):
+    # Every point once searched the gallery three times and its own neighbours once.
+    seen = []
+    for module in (graph, reranking):
+        monkeypatch.setattr(module, "nearest", lambda *a, f=module.nearest: seen.append(a) or f(*a))
+    q, g = reranking.sides(spark, "/root/testdata/sf0.001")
+    reranking.grid_runs(q, g)
+    assert len(seen) == 2
+
+
+def test_a_search_moves_every_row_once(rows):
+    # Rows were once sent to each block of the other side; now packed blocks meet.
+    q, g = rows(np.eye(4)), rows(np.eye(4), start=10)
+    plan = similarity.nearest(q, g, 2, similarity.Plan(q_rows=1, g_rows=1))._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "explode" not in plan
+
+
+def test_reranking_adds_common_weights_a_bounded_number_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    v, w = rng.random((6, 9)) * (rng.random((6, 9)) < 0.5), rng.random((8, 9)) * (rng.random((8, 9)) < 0.5)
+    entries = lambda m: (*np.nonzero(m), m[np.nonzero(m)])
+    row, member, weight = entries(w)
+    order = np.argsort(member, kind="stable")
+    for most in (1, 5, 1000):
+        monkeypatch.setattr(graph, "TILE", most)
+        got = graph._minima(entries(v), {"row": row[order], "member": member[order], "weight": weight[order]}, (6, 8))
+        np.testing.assert_allclose(got, np.minimum(v[:, None], w[None]).sum(axis=2))
