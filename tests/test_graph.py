@@ -5,6 +5,7 @@ import pytest
 
 from matchbook.operators import graph, insertion
 from matchbook.operators.similarity import Plan, nearest
+from matchbook.plans import reranking
 
 
 def unit(x):
@@ -127,3 +128,37 @@ def test_sparse_gallery_is_refused(rows):
     _, g, _ = data()
     with pytest.raises(ValueError, match="too sparse"):
         graph.build_graph(rows(g[:6], frames=["a"] * 3 + ["b"] * 3), 4, 2, check=True)
+
+
+def test_insertion_works_on_few_rows_of_the_gallery(rows, monkeypatch):
+    # Four rings of the graph around every changed row were once worked on: over 1,100 list entries for these five queries.
+    q, g, frames = data(1, n=400, m=5)
+    dq, dg = rows(q), rows(g, frames=frames, start=1000)
+    gr, seen = graph.build_graph(dg, 3, 2), []
+    monkeypatch.setattr(insertion, "durable", lambda df, name, f=insertion.durable: seen.append(f(df, name)) or seen[-1])
+    check(insertion.current_query_ranking(dq, dg, 10, gr, 0.2).collect(), inserted(q, g, frames, 3, 2, 0.2), 10, 1000)
+    assert max(stage.count() for stage in seen) < 700
+
+
+def test_insertion_with_long_lists_and_copies(rows):
+    q, g, frames = data(6, n=60)
+    g[7], g[21], q[2] = g[2], g[2], g[2]
+    dq, dg = rows(q), rows(g, frames=frames, start=100)
+    got = insertion.current_query_ranking(dq, dg, 10, graph.build_graph(dg, 6, 3), 0.3).collect()
+    check(got, inserted(q, g, frames, 6, 3, 0.3), 10)
+
+
+def test_fusion_with_insertion_ranks_all_pairs(rows):
+    # Every pair is scored here: the weight of the insertion and the short lists leave no pair out.
+    q, g, frames = data(2, n=60, dim=40)
+    dq, dg = rows(q), rows(g, frames=frames, start=100)
+    got = reranking.two_space_rank(dq, dg, insertion_weight=0.25).collect()
+    second = lambda x: unit(unit(x)[:, 32:])
+    joint = lambda x: np.hstack([unit(x), second(x)])
+    parts = [isolated(q, g, frames, 3, 2, 0.2), isolated(second(q), second(g), frames, 3, 2, 0.2), inserted(joint(q), joint(g), frames, 3, 2, 0.2)]
+    want = 0.75 * (parts[0] + parts[1]) / 2 + 0.25 * parts[2]
+    for i, row in enumerate(want):
+        mine = sorted((r for r in got if r.q_ord == i), key=lambda r: r.pos)
+        order = np.argsort(np.round(row, 10), kind="stable")[:10]
+        assert [r.g_ord - 100 for r in mine] == order.tolist()
+        np.testing.assert_allclose([-r.rank for r in mine], row[order], atol=1e-9)
