@@ -148,7 +148,7 @@ def episodes(df: DataFrame, day: str, keep: dict[str, tuple[float, float]], per_
 
 
 #: Clusters of one resolution that a task finishes by itself.
-TASK_CLUSTERS = 1024
+TASK_CLUSTERS = 4096
 
 
 def _finish(threshold: float):
@@ -157,12 +157,17 @@ def _finish(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         x, size = np.stack(pdf["emb"].to_numpy()).astype(np.float64), pdf["n"].to_numpy().astype(np.float64)
-        dist = 1.0 - x @ x.T
+        dist = x @ x.T
+        np.subtract(1.0, dist, out=dist)
         np.fill_diagonal(dist, np.inf)
         label = np.arange(len(x))
+        # Each row keeps its nearest one; a merge concerns only the rows that had one of the two.
+        near = dist.argmin(axis=1)
+        least = dist[label, near]
         while True:
-            i, j = np.unravel_index(dist.argmin(), dist.shape)
-            if not dist[i, j] < threshold:
+            i = least.argmin()
+            j = near[i]
+            if not least[i] < threshold:
                 break
             row = (size[i] * dist[i] + size[j] * dist[j]) / (size[i] + size[j])
             row[[i, j]] = np.inf
@@ -170,6 +175,13 @@ def _finish(threshold: float):
             dist[j], dist[:, j] = np.inf, np.inf
             size[i] += size[j]
             label[label == label[j]] = label[i]
+            lost = (near == i) | (near == j)
+            lost[[i, j]] = True
+            nearer = ~lost & ((row < least) | ((row == least) & (i < near)))
+            near[nearer], least[nearer] = i, row[nearer]
+            lost = np.flatnonzero(lost)
+            near[lost] = dist[lost].argmin(axis=1)
+            least[lost] = dist[lost, near[lost]]
         ords = pdf["ord"].to_numpy()
         return pd.DataFrame({"a": ords[label], "b": ords})
 
@@ -191,34 +203,37 @@ def average_linkage(frames: DataFrame, threshold: float, task_clusters: int = TA
     unit = durable(frames.select("ord", "resolution", F.transform("emb", lambda x: x / norm).alias("emb")), "frames")
     clusters = durable(unit.groupBy("resolution", "emb").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")), "clusters")
     start, plan = clusters, Plan(exclude=(("ord",),), require=("resolution",), normalise=False)
-    active, near, merges = clusters, None, []
+    columns, merges = ["ord", "resolution", "emb", "n"], [clusters.filter("false").select(F.col("ord").alias("a"), F.col("ord").alias("b"))]
+    active = clusters.withColumn("near", F.lit(None).cast("long"))
     while True:
-        counts = durable(active.groupBy("resolution").agg((F.count(F.lit(1)) <= task_clusters).alias("small")), "cluster-counts")
-        placed = active.join(counts, active["resolution"].eqNullSafe(counts["resolution"])).drop(counts["resolution"])
-        small = placed.filter("small").select("ord", "resolution", "emb", "n")
-        merges.append(durable(small.groupBy("resolution").applyInPandas(_finish(threshold), "a long, b long").filter("a <> b"), "merges"))
-        if not counts.filter("not small").limit(1).count():
+        counts = active.groupBy("resolution").agg((F.count(F.lit(1)) <= task_clusters).alias("small"))
+        some = counts.agg(F.max("small").alias("small"), F.max(~F.col("small")).alias("large")).first()
+        if some.small:
+            placed = active.join(counts, active["resolution"].eqNullSafe(counts["resolution"])).drop(counts["resolution"])
+            small = placed.filter("small").select(*columns)
+            merges.append(durable(small.groupBy("resolution").applyInPandas(_finish(threshold), "a long, b long").filter("a <> b"), "merges"))
+            active = placed.filter("not small").select(*columns, "near")
+        if not some.large:
             break
-        active = durable(placed.filter("not small").select("ord", "resolution", "emb", "n"), "clusters")
-        known = near.join(active.select(F.col("ord").alias("q_ord")), "q_ord", "left_semi") if near is not None else None
-        stale = active if known is None else active.join(known.select(F.col("q_ord").alias("ord")), "ord", "left_anti")
-        found = nearest(stale, active, 1, plan).filter(1.0 - F.col("sim") < threshold).select("q_ord", "g_ord")
-        near = durable(found if known is None else found.unionByName(known), "nearest")
-        back = near.select(F.col("q_ord").alias("g_ord"), F.col("g_ord").alias("q_ord"))
-        pairs = durable(near.join(back, ["q_ord", "g_ord"]).filter("q_ord < g_ord").select(F.col("q_ord").alias("a"), F.col("g_ord").alias("b")), "merges")
-        merges.append(pairs)
-        gone = durable(pairs.select(F.explode(F.array("a", "b")).alias("ord")), "merged")
-        one, two = active.alias("one").join(pairs, F.col("one.ord") == F.col("a")), active.alias("two")
-        both = one.join(two, F.col("two.ord") == F.col("b"))
-        n = F.col("one.n") + F.col("two.n")
-        mean = F.zip_with("one.emb", "two.emb", lambda x, y: (F.col("one.n") * x + F.col("two.n") * y) / n)
-        new = both.select(F.col("a").alias("ord"), F.col("one.resolution").alias("resolution"), mean.alias("emb"), n.alias("n"))
-        open_ = active.join(near.select(F.col("q_ord").alias("ord")), "ord", "left_semi").join(gone, "ord", "left_anti")
-        active = durable(open_.select(*new.columns).unionByName(new), "clusters")
-        lost = lambda c: gone.withColumnRenamed("ord", c)
-        known = near.join(lost("q_ord"), "q_ord", "left_anti").join(lost("g_ord"), "g_ord", "left_anti").select("q_ord", "g_ord")
+        if some.small:
+            active = durable(active, "clusters")
+        found = nearest(active.filter("near is null").select(*columns), active.select(*columns), 1, plan).filter(1.0 - F.col("sim") < threshold)
+        near = durable(active.filter("near is not null").select("ord", "near").unionByName(found.select(F.col("q_ord").alias("ord"), F.col("g_ord").alias("near"))), "nearest")
+        # A cluster, its nearest, the nearest of that, and of that: pairs merge that are each other's nearest.
+        second, third = (near.select(F.col("ord").alias(x), F.col("near").alias(y)) for x, y in (("near", "_second"), ("_second", "_third")))
+        links = near.join(second, "near").join(third, "_second").select(
+            "ord", "near", (F.col("_second") == F.col("ord")).alias("merged"), (F.col("_third") == F.col("near")).alias("lost"))
+        links = durable(links, "links")
+        merges.append(links.filter("merged and ord < near").select(F.col("ord").alias("a"), F.col("near").alias("b")))
         # Without a merge (rounding can make a ring of equal distances) every nearest cluster is searched anew.
-        near = durable(known, "nearest") if pairs.limit(1).count() else None
+        known = F.when(~F.col("lost"), F.col("near")) if links.filter("merged").limit(1).count() else F.lit(None).cast("long")
+        rows = active.drop("near").join(links, "ord").withColumn("_key", F.when(F.col("merged"), F.least("ord", "near")).otherwise(F.col("ord")))
+        parts = rows.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(*columns, known.alias("near")))).alias("_p"))
+        one, two = F.col("_p")[0], F.try_element_at("_p", F.lit(2))
+        n = one["n"] + F.coalesce(two["n"], F.lit(0))
+        mean = F.when(two.isNull(), one["emb"]).otherwise(F.zip_with(one["emb"], two["emb"], lambda x, y: (one["n"] * x + two["n"] * y) / n))
+        active = durable(parts.select(
+            F.col("_key").alias("ord"), one["resolution"].alias("resolution"), mean.alias("emb"), n.alias("n"), one["near"].alias("near")), "clusters")
     edges = merges[0]
     for more in merges[1:]:
         edges = edges.unionByName(more)

@@ -192,3 +192,17 @@ def test_fingerprint_tells_cancelling_rows_and_separators_apart(spark):
     assert digest(table(("a", "x"), ("a", "x"))) != digest(table(("b", "x"), ("b", "x")))
     assert digest(table(("a|b", "c"))) != digest(table(("a", "b|c"))) and digest(table(("~", "c"))) != digest(table((None, "c")))
     assert digest(table(("1", "2"), ("3", "4"))) == digest(table(("3", "4"), ("1", "2")))
+
+
+def test_a_round_of_average_linkage_takes_few_stages(spark, monkeypatch):
+    # A round once stored eight tables (and one without small resolutions counted three times more); now three.
+    stored = []
+    monkeypatch.setattr(splits, "durable", lambda df, name, f=splits.durable: stored.append(name) or f(df, name))
+    x = np.random.default_rng(3).normal(size=(60, 3))
+    df = spark.createDataFrame([(i, 0, [float(v) for v in x[i]]) for i in range(60)], "ord long, resolution int, emb array<double>")
+    groups = {}
+    for r in splits.average_linkage(df, 0.6, 5).collect():
+        groups.setdefault(r.first, []).append(r.ord)
+    assert sorted(sorted(g) for g in groups.values()) == linkage(x, [0] * 60, 0.6)
+    rounds = stored.count("nearest")
+    assert rounds > 1 and len(stored) <= 2 + 3 * rounds + 1
